@@ -203,12 +203,12 @@ def _needs(name: str) -> list[str]:
     return [n for n in dict.fromkeys(_NAME.findall(DERIVED[name])) if n in DERIVED or n in BASE_TABLES]
 
 
-def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A base table or derived input as a DataFrame."""
+def load(spark: SparkSession, folder: str, name: str, read=read_table) -> DataFrame:
+    """A base table or derived input as a DataFrame; ``read`` may give a stream instead of a table."""
     if name in BASE_TABLES:
-        return read_table(spark, folder, name)
+        return read(spark, folder, name)
     sql = DERIVED[name].replace('"user"', "`user`")
-    return spark.sql(sql, **{n: load(spark, folder, n) for n in _needs(name)})
+    return spark.sql(sql, **{n: load(spark, folder, n, read) for n in _needs(name)})
 
 
 def with_inputs(names: list[str]) -> str:

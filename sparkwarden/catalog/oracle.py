@@ -1,0 +1 @@
+def statements(): return {}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +11,16 @@ from .. import fixed_values as V
 from .regex import expand
 
 
+def once(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is computed a single time.
+
+    Catalyst copies a projected expression to every place that names it.  A lambda binds it instead,
+    and it is evaluated outside generated code: dozens of patterns inlined into one generated method
+    would pass the JVM's method size and cost the whole stage its code.
+    """
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def lines_of(text: Column) -> Column:
     """All lines of a text; an empty text has one empty line, trailing empty lines stay."""
     return F.split(text, "\n")
@@ -42,7 +52,7 @@ def is_log_line(line: Column) -> Column:
     return line.rlike(expand(V.LOG_LINE_PATTERN))
 
 
-def lookup(key: Column, values: Mapping[str, str]) -> Column:
+def lookup(key: Column, values: Mapping) -> Column:
     """Constant map lookup; folds to one literal map."""
     pairs = [F.lit(x) for kv in values.items() for x in kv]
     return F.element_at(F.create_map(*pairs), key)

@@ -49,7 +49,7 @@ def keyword_severity(match: Column) -> Column:
 
 def _found_per_line(texts: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     hits = texts.select(*keys, text, _java(F.col("pattern")).alias("java")).where(
-        F.col(text).rlike(F.col("java"))
+        F.rlike(F.col(text), F.col("java"))
     )
     return document_lines(hits, [*keys, "java"], text).select(
         *keys, "line", F.regexp_extract_all("content", F.col("java"), F.lit(0)).alias("found")

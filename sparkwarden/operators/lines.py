@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions.regex import expand
-from ..functions.text import lines_of
+from ..functions.text import lines_of, lookup, once
 from ..model import SCANNER_PII, SCANNER_RISK_CONTENT, SCANNER_SECRET, Rule
 from .logs import log_evidence
 from .rules import SECRET_RULES
@@ -36,13 +36,17 @@ def document_lines(df: DataFrame, keys: Sequence[str], text: str = "text") -> Da
 
 
 def any_gate(text: Column, rules: Sequence[Rule]) -> Column:
-    return reduce(lambda a, b: a | b, [r.gate(text) for r in rules])
+    return once(text, lambda t: reduce(lambda a, b: a | b, [r.gate(t) for r in rules]))
 
 
 def _found(ord_: int, values: Column) -> Column:
     return F.struct(F.lit(ord_).alias("rule_ord"), values.alias("found"))
 
 
+def _present(hits: list[Column]) -> Column:
+    return F.filter(F.array(*hits), lambda hit: F.size(hit["found"]) > 0)
+
+
 def _rule_hits(line: Column, rules: Sequence[Rule]) -> list[Column]:
     return [
         _found(
@@ -66,7 +70,7 @@ def scan_lines(
     line = F.col("content")
     matches = (
         lines.where(any_gate(line, rules))
-        .select(*keys, "line", F.inline(F.array(*_rule_hits(line, rules))))
+        .select(*keys, "line", F.inline(_present(_rule_hits(line, rules))))
         .select(*keys, "line", "rule_ord", F.posexplode("found").alias("match_ord", "match"))
     )
     if not drop_false_positives:
@@ -97,7 +101,7 @@ def text_findings(texts: DataFrame, keys: Sequence[str], rules: Sequence[Rule],
     ]
     matches = (
         lines.where(first | any_gate(line, rules))
-        .select(*keys, (F.col("pos") + 1).alias("line"), F.inline(F.array(*hits)))
+        .select(*keys, (F.col("pos") + 1).alias("line"), F.inline(_present(hits)))
         .select(*keys, "line", "rule_ord", F.posexplode("found").alias("match_ord", "match"))
         .where(~is_dropped(F.col("rule_ord"), F.col("match"), rules))
     )
@@ -141,19 +145,12 @@ def redacted(rule_ord: Column, match: Column, rules: Sequence[Rule]) -> Column:
     return cases
 
 
-def _by_ord(rule_ord: Column, rules: Sequence[Rule], field: str) -> Column:
-    cases = F
-    for r in rules:
-        cases = cases.when(rule_ord == r.ord, F.lit(getattr(r, field)))
-    return cases
-
-
 def rule_name(rule_ord: Column, rules: Sequence[Rule]) -> Column:
-    return _by_ord(rule_ord, rules, "name")
+    return lookup(rule_ord, {r.ord: r.name for r in rules})
 
 
 def rule_severity(rule_ord: Column, rules: Sequence[Rule]) -> Column:
-    return _by_ord(rule_ord, rules, "severity")
+    return lookup(rule_ord, {r.ord: r.severity for r in rules})
 
 
 def line_findings(

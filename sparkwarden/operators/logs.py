@@ -8,23 +8,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from ..functions.text import is_log_line, lines_of
+from ..functions.text import is_log_line, lines_of, once
 from ..model import SCANNER_RISK_CONTENT
 
 
 def is_long(text: Column) -> Column:
-    breaks = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-    return breaks + 1 > V.LARGE_LOG_MIN_LINES
+    return once(
+        text,
+        lambda t: F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) >= V.LARGE_LOG_MIN_LINES,
+    )
 
 
 def log_line_counts(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """Lines and log-like lines of every file."""
-    lines = lines_of(F.col(text))
-    return df.select(
-        *keys,
-        F.size(lines).alias("n_lines"),
-        F.size(F.filter(lines, is_log_line)).alias("n_log_lines"),
+    counts = once(
+        lines_of(F.col(text)),
+        lambda lines: F.struct(
+            F.size(lines).alias("n_lines"), F.size(F.filter(lines, is_log_line)).alias("n_log_lines")
+        ),
     )
+    return df.select(*keys, counts.alias("counts")).select(*keys, "counts.*")
 
 
 def large_logs(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
@@ -34,15 +37,20 @@ def large_logs(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFr
     )
 
 
-def log_evidence(text: Column) -> Column:
-    """Evidence text of a large log, NULL for any other file."""
-    lines = lines_of(text)
+def _evidence(lines: Column) -> Column:
     logged = F.size(F.filter(lines, is_log_line))
-    enough = logged > F.size(lines) * F.lit(V.LARGE_LOG_MIN_RATIO)
-    told = F.format_string(
-        "Large log-like file (%d lines, %d log-pattern lines)", F.size(lines), logged
+    return once(
+        logged,
+        lambda n: F.when(
+            n > F.size(lines) * F.lit(V.LARGE_LOG_MIN_RATIO),
+            F.format_string("Large log-like file (%d lines, %d log-pattern lines)", F.size(lines), n),
+        ),
     )
-    return F.when(is_long(text), F.when(enough, told))
+
+
+def log_evidence(text: Column) -> Column:
+    """Evidence text of a large log, NULL for any other file."""
+    return once(text, lambda t: F.when(is_long(t), once(lines_of(t), _evidence)))
 
 
 def log_findings(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
