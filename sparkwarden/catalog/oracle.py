@@ -88,7 +88,6 @@ def rule_sql(name: str) -> str:
 
 
 # ---------------------------------------------------------------- names, logs, keywords, images
-BASE = r"regexp_extract(path, '[^/\\]*$')"
 BASE = "list_last(string_split(replace(path, '\\', '/'), '/'))"
 SUSPICIOUS = f"regexp_matches({BASE}, {q('(?i)' + '|'.join(V.SUSPICIOUS_NAME_WORDS))})"
 
@@ -264,7 +263,8 @@ FIX = """concat('### ', upper(severity), ': ', rule, ' in ', file,
     '- What was found: ', redacted_evidence, chr(10), '- Action: ', suggested_action, chr(10),
     '- Commit to check: ', left("commit", 7), chr(10))"""
 UNIQUE = ("uniq", f"select * from findings qualify row_number() over "
-                  f"(partition by repo, file, rule, coalesce(line, 0) order by {ORDER}) = 1")
+                  f"(partition by repo, file, rule, coalesce(line, 0) order by {ORDER}, "
+                  "redacted_evidence) = 1")
 COUNTS = ", ".join(f"count(*) filter (where severity = '{s}') \"{s}\"" for s in V.SEVERITIES)
 BY_ACCOUNT = ("by_account", f"select account, count(*) findings, {COUNTS} from findings group by account "
                             f"union all select null, count(*), {COUNTS} from findings")

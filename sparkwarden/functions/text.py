@@ -28,7 +28,7 @@ def lines_of(text: Column) -> Column:
 
 def base_name(path: Column) -> Column:
     """What follows the last ``/`` or ``\\``; empty for a trailing separator."""
-    return F.element_at(F.split(path, r"[/\\]"), -1)
+    return F.substring_index(F.translate(path, "\\", "/"), "/", -1)
 
 
 def is_image(path: Column) -> Column:
@@ -45,7 +45,11 @@ def is_scannable(path: Column, strict: bool = False) -> Column:
 
 
 def is_suspicious_name(path: Column) -> Column:
-    return base_name(path).rlike("(?i)" + "|".join(V.SUSPICIOUS_NAME_WORDS))
+    return is_suspicious_base(base_name(path))
+
+
+def is_suspicious_base(name: Column) -> Column:
+    return name.rlike("(?i)" + "|".join(V.SUSPICIOUS_NAME_WORDS))
 
 
 def is_log_line(line: Column) -> Column:

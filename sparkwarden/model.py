@@ -24,18 +24,25 @@ class ScanOptions:
 
 
 @dataclass(frozen=True)
-class Rule:
-    """A line rule.
+class Gate:
+    """A cheap condition that every match meets: a fragment or a pattern.
 
-    ``gate`` is a cheap necessary condition; it is tested on the whole text and again on each line,
-    so it must not be anchored.  ``drop`` marks matches that are false positives.
+    It is tested on the whole text and again on each line, so it must not be anchored.
     """
 
+    literal: str = ""
+    pattern: str = ""
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A line rule.  ``drop`` marks matches that are false positives."""
+
     ord: int
     name: str
     severity: str
     pattern: str
-    gate: Callable[[Column], Column]
+    gate: Gate
     redact: Callable[[Column], Column]
     group: int = 0
     drop: Callable[[Column], Column] | None = None

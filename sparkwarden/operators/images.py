@@ -83,4 +83,8 @@ def image_findings(parsed: DataFrame, keys: Sequence[str], store_exact_gps: bool
         )
         for i, ((rule, severity), (present, text, metadata)) in enumerate(zip(V.EXIF_RULES, evidence))
     ]
-    return parsed.select(*keys, F.explode(F.array_compact(F.array(*hits))).alias("hit")).select(*keys, "hit.*")
+    return (
+        parsed.select(*keys, F.explode_outer(F.array_compact(F.array(*hits))).alias("hit"))
+        .where(F.col("hit").isNotNull())
+        .select(*keys, "hit.*")
+    )

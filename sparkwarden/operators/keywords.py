@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
+from ..functions.text import lines_of
 from ..model import SCANNER_KEYWORD
-from .lines import document_lines
 
 # letters outside ASCII fold as Unicode, ASCII letters only among themselves
 _FOLD_NON_ASCII = r"([^\x00-\x7f]+)"
@@ -48,19 +48,21 @@ def keyword_severity(match: Column) -> Column:
 
 
 def _found_per_line(texts: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
-    hits = texts.select(*keys, text, _java(F.col("pattern")).alias("java")).where(
-        F.rlike(F.col(text), F.col("java"))
-    )
-    return document_lines(hits, [*keys, "java"], text).select(
-        *keys, "line", F.regexp_extract_all("content", F.col("java"), F.lit(0)).alias("found")
+    java = F.col("java")
+    with_java = texts.select(*keys, text, F.explode_outer(F.array(_java(F.col("pattern")))).alias("java"))
+    to_read = F.when(F.rlike(F.col(text), java), lines_of(F.col(text)))
+    lines = with_java.select(*keys, "java", F.posexplode_outer(to_read).alias("pos", "content"))
+    return lines.where(F.col("content").isNotNull()).select(
+        *keys, (F.col("pos") + 1).alias("line"),
+        F.explode_outer(F.array(F.regexp_extract_all("content", java, F.lit(0)))).alias("found"),
     )
 
 
 def keyword_matches(texts: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """All matches of each row's ``pattern`` in its text, line by line."""
     return _found_per_line(texts, keys, text).select(
-        *keys, "line", F.posexplode("found").alias("match_ord", "match")
-    )
+        *keys, "line", F.posexplode_outer("found").alias("match_ord", "match")
+    ).where(F.col("match").isNotNull())
 
 
 def keyword_findings(texts: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
@@ -73,7 +75,11 @@ def keyword_findings(texts: DataFrame, keys: Sequence[str], text: str = "text")
             F.get(F.col("found"), (F.array_position(low, k) - 1).cast("int")).alias("match"),
         ),
     )
-    rows = _found_per_line(texts, keys, text).select(*keys, "line", F.inline(first))
+    rows = (
+        _found_per_line(texts, keys, text)
+        .select(*keys, "line", F.inline_outer(first))
+        .where(F.col("match").isNotNull())
+    )
     return rows.select(
         *keys,
         "line",

@@ -36,7 +36,23 @@ def document_lines(df: DataFrame, keys: Sequence[str], text: str = "text") -> Da
 
 
 def any_gate(text: Column, rules: Sequence[Rule]) -> Column:
-    return once(text, lambda t: reduce(lambda a, b: a | b, [r.gate(t) for r in rules]))
+    """True if any gate lets the text through.
+
+    Plain fragments are searched in the bytes; the regular expressions are merged into one, so that
+    the text is decoded and walked once.
+    """
+    literals = [r.gate.literal for r in rules if r.gate.literal]
+    merged = "|".join(r.gate.pattern for r in rules if r.gate.pattern)
+
+    def test(t: Column) -> Column:
+        parts = [t.contains(x) for x in literals] + ([t.rlike(merged)] if merged else [])
+        return reduce(lambda a, b: a | b, parts)
+
+    return once(text, test)
+
+
+def _gate(text: Column, rule: Rule) -> Column:
+    return text.contains(rule.gate.literal) if rule.gate.literal else text.rlike(rule.gate.pattern)
 
 
 def _found(ord_: int, values: Column) -> Column:
@@ -51,7 +67,7 @@ def _rule_hits(line: Column, rules: Sequence[Rule]) -> list[Column]:
     return [
         _found(
             r.ord,
-            F.when(r.gate(line), F.regexp_extract_all(line, F.lit(expand(r.pattern)), F.lit(r.group))),
+            F.when(_gate(line, r), F.regexp_extract_all(line, F.lit(expand(r.pattern)), F.lit(r.group))),
         )
         for r in rules
     ]
@@ -66,12 +82,22 @@ def scan_lines(
     Texts, then lines, that fail every gate leave before a pattern runs.  Each rule matches on its
     own, so matches of different rules may overlap.
     """
-    lines = document_lines(df.where(any_gate(F.col(text), rules)), keys, text)
-    line = F.col("content")
+    content, line = F.col(text), F.col("content")
+    to_read = F.when(any_gate(content, rules), lines_of(content))
+    lines = df.select(*keys, F.posexplode_outer(to_read).alias("pos", "content")).where(any_gate(line, rules))
+    return _matches(lines, keys, _rule_hits(line, rules), rules, drop_false_positives)
+
+
+def _matches(
+    lines: DataFrame, keys: Sequence[str], hits: list[Column], rules: Sequence[Rule],
+    drop_false_positives: bool,
+) -> DataFrame:
+    """Outer explodes only: for an inner explode Catalyst adds a filter on the exploded expression,
+    which would run every pattern twice, and push it below a repartition."""
     matches = (
-        lines.where(any_gate(line, rules))
-        .select(*keys, "line", F.inline(_present(_rule_hits(line, rules))))
-        .select(*keys, "line", "rule_ord", F.posexplode("found").alias("match_ord", "match"))
+        lines.select(*keys, (F.col("pos") + 1).alias("line"), F.inline_outer(_present(hits)))
+        .select(*keys, "line", "rule_ord", F.posexplode_outer("found").alias("match_ord", "match"))
+        .where(F.col("match").isNotNull())
     )
     if not drop_false_positives:
         return matches
@@ -91,7 +117,7 @@ def text_findings(texts: DataFrame, keys: Sequence[str], rules: Sequence[Rule],
     content, line = F.col(text), F.col("content")
     to_read = F.when(any_gate(content, rules), lines_of(content)).otherwise(F.array(F.lit("")))
     lines = texts.select(
-        *keys, log_evidence(content).alias("log_evidence"), F.posexplode(to_read).alias("pos", "content")
+        *keys, log_evidence(content).alias("log_evidence"), F.posexplode_outer(to_read).alias("pos", "content")
     )
     first = F.col("pos") == 0
     hits = [
@@ -99,12 +125,7 @@ def text_findings(texts: DataFrame, keys: Sequence[str], rules: Sequence[Rule],
         _found(LARGE_LOG, F.when(first & F.col("log_evidence").isNotNull(), F.array("log_evidence"))),
         *_rule_hits(line, rules),
     ]
-    matches = (
-        lines.where(first | any_gate(line, rules))
-        .select(*keys, (F.col("pos") + 1).alias("line"), F.inline(_present(hits)))
-        .select(*keys, "line", "rule_ord", F.posexplode("found").alias("match_ord", "match"))
-        .where(~is_dropped(F.col("rule_ord"), F.col("match"), rules))
-    )
+    matches = _matches(lines.where(first | any_gate(line, rules)), keys, hits, rules, True)
     ord_ = F.col("rule_ord")
     log_rule, log_severity = V.LARGE_LOG_RULE
     secret = ord_ <= max(r.ord for r in SECRET_RULES)

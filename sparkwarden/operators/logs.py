@@ -27,7 +27,13 @@ def log_line_counts(df: DataFrame, keys: Sequence[str], text: str = "text") -> D
             F.size(lines).alias("n_lines"), F.size(F.filter(lines, is_log_line)).alias("n_log_lines")
         ),
     )
-    return df.select(*keys, counts.alias("counts")).select(*keys, "counts.*")
+    return _computed_once(df, keys, counts, "counts").select(*keys, "counts.*")
+
+
+def _computed_once(df: DataFrame, keys: Sequence[str], value: Column, name: str) -> DataFrame:
+    """A column that later filters and projections read without computing it again: an explode of
+    one element, which Catalyst does not look through."""
+    return df.select(*keys, F.explode_outer(F.array(value)).alias(name))
 
 
 def large_logs(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
@@ -55,9 +61,8 @@ def log_evidence(text: Column) -> Column:
 
 def log_findings(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     rule, severity = V.LARGE_LOG_RULE
-    return df.select(*keys, log_evidence(F.col(text)).alias("redacted_evidence")).where(
-        F.col("redacted_evidence").isNotNull()
-    ).select(
+    evidence = _computed_once(df, keys, log_evidence(F.col(text)), "redacted_evidence")
+    return evidence.where(F.col("redacted_evidence").isNotNull()).select(
         *keys,
         F.lit(rule).alias("rule"),
         F.lit(severity).alias("severity"),

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions.regex import expand
-from ..functions.text import base_name, is_suspicious_name
+from ..functions.text import base_name, is_suspicious_base, once
 from ..model import SCANNER_RISK_NAME, SCANNER_SUSPICIOUS_NAME
 
 RISK_NAME_PATTERNS = (
@@ -29,14 +29,13 @@ def _hit(rule: str, severity: str, evidence: Column, scanner: int, ord_: int) ->
     )
 
 
-def _suspicious(path: Column) -> Column:
+def _suspicious(name: Column) -> Column:
     rule, severity = V.SUSPICIOUS_NAME_RULE
-    evidence = F.concat(F.lit(V.EVIDENCE["suspicious-filename"]), base_name(path))
-    return F.when(is_suspicious_name(path), _hit(rule, severity, evidence, SCANNER_SUSPICIOUS_NAME, 0))
+    evidence = F.concat(F.lit(V.EVIDENCE["suspicious-filename"]), name)
+    return F.when(is_suspicious_base(name), _hit(rule, severity, evidence, SCANNER_SUSPICIOUS_NAME, 0))
 
 
-def _risks(path: Column) -> list[Column]:
-    name = base_name(path)
+def _risks(name: Column) -> list[Column]:
     return [
         F.when(
             name.rlike(expand(pattern)),
@@ -46,18 +45,30 @@ def _risks(path: Column) -> list[Column]:
     ]
 
 
-def _explode_hits(df: DataFrame, keys: Sequence[str], hits: list[Column]) -> DataFrame:
-    return df.select(*keys, F.explode(F.array_compact(F.array(*hits))).alias("hit")).select(*keys, "hit.*")
+def _explode_hits(
+    df: DataFrame, keys: Sequence[str], path: str, hits: Callable[[Column], list[Column]]
+) -> DataFrame:
+    """One row per hit.
+
+    The outer form keeps Catalyst from copying the patterns into a filter before the explode, which
+    would run them twice.
+    """
+    found = once(base_name(F.col(path)), lambda name: F.array_compact(F.array(*hits(name))))
+    return (
+        df.select(*keys, F.explode_outer(found).alias("hit"))
+        .where(F.col("hit").isNotNull())
+        .select(*keys, "hit.*")
+    )
 
 
 def suspicious_names(df: DataFrame, keys: Sequence[str], path: str = "path") -> DataFrame:
-    return _explode_hits(df, keys, [_suspicious(F.col(path))])
+    return _explode_hits(df, keys, path, lambda name: [_suspicious(name)])
 
 
 def risk_names(df: DataFrame, keys: Sequence[str], path: str = "path") -> DataFrame:
-    return _explode_hits(df, keys, _risks(F.col(path)))
+    return _explode_hits(df, keys, path, _risks)
 
 
 def name_findings(df: DataFrame, keys: Sequence[str], path: str = "path") -> DataFrame:
     """Suspicious-name and risk-name findings together; narrow, one row per hit."""
-    return _explode_hits(df, keys, [_suspicious(F.col(path)), *_risks(F.col(path))])
+    return _explode_hits(df, keys, path, lambda name: [_suspicious(name), *_risks(name)])

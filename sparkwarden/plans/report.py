@@ -76,7 +76,7 @@ def sorted_findings(findings: DataFrame) -> DataFrame:
 def unique_findings(findings: DataFrame) -> DataFrame:
     """The first finding per repository, file, rule and line, across commits."""
     keys = [F.col("repo"), F.col("file"), F.col("rule"), F.coalesce("line", F.lit(0))]
-    return first_per_key(findings, keys, ORDER_COLUMNS)
+    return first_per_key(findings, keys, [*ORDER_COLUMNS, "redacted_evidence"])
 
 
 # ---------------------------------------------------------------- text blocks

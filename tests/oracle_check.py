@@ -42,8 +42,7 @@ def compare(spark, con, folder, query, sql):
         return "no rows"
     if ours == theirs:
         return None
-    extra = [r for r in ours if r not in set(theirs)][:2]
-    missing = [r for r in theirs if r not in set(ours)][:2]
+    extra, missing = list(set(ours) - set(theirs))[:2], list(set(theirs) - set(ours))[:2]
     return f"{len(ours)} / {len(theirs)} rows; ours {extra}; duckdb {missing}"
 
 
