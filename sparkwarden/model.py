@@ -25,13 +25,15 @@ class ScanOptions:
 
 @dataclass(frozen=True)
 class Gate:
-    """A cheap condition that every match meets: a fragment or a pattern.
+    """A cheap condition that every match meets: one of some fragments, or a pattern.
 
-    It is tested on the whole text and again on each line, so it must not be anchored.
+    The pattern is ``first`` (one character) followed by ``rest``.  Gates are tested on the whole
+    text and again on each line, so they must not be anchored.
     """
 
-    literal: str = ""
-    pattern: str = ""
+    literals: tuple[str, ...] = ()
+    first: str = ""
+    rest: str = ""
 
 
 @dataclass(frozen=True)

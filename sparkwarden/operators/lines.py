@@ -41,8 +41,12 @@ def any_gate(text: Column, rules: Sequence[Rule]) -> Column:
     Plain fragments are searched in the bytes; the regular expressions are merged into one, so that
     the text is decoded and walked once.
     """
-    literals = [r.gate.literal for r in rules if r.gate.literal]
-    merged = "|".join(r.gate.pattern for r in rules if r.gate.pattern)
+    literals = [x for r in rules for x in r.gate.literals]
+    rests: dict[str, list[str]] = {}
+    for r in rules:
+        if r.gate.first:
+            rests.setdefault(r.gate.first, []).append(r.gate.rest)
+    merged = "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in rests.items())
 
     def test(t: Column) -> Column:
         parts = [t.contains(x) for x in literals] + ([t.rlike(merged)] if merged else [])
@@ -52,7 +56,9 @@ def any_gate(text: Column, rules: Sequence[Rule]) -> Column:
 
 
 def _gate(text: Column, rule: Rule) -> Column:
-    return text.contains(rule.gate.literal) if rule.gate.literal else text.rlike(rule.gate.pattern)
+    if rule.gate.first:
+        return text.rlike(f"{rule.gate.first}(?:{rule.gate.rest})")
+    return reduce(lambda a, b: a | b, [text.contains(x) for x in rule.gate.literals])
 
 
 def _found(ord_: int, values: Column) -> Column:

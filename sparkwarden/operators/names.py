@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,30 +45,38 @@ def _risks(name: Column) -> list[Column]:
     ]
 
 
-def _explode_hits(
-    df: DataFrame, keys: Sequence[str], path: str, hits: Callable[[Column], list[Column]]
-) -> DataFrame:
+# one pass tells whether any pattern can fit; most file names fit none
+_ANY_NAME = "|".join(
+    f"(?:{expand(p)})" for p in ("(?i)" + "|".join(V.SUSPICIOUS_NAME_WORDS), *(x[3] for x in RISK_NAME_PATTERNS))
+)
+
+
+def name_hits(path: Column, suspicious: bool = True, risks: bool = True) -> Column:
+    """Array of all name findings of a path."""
+
+    def hits(name: Column) -> Column:
+        found = ([_suspicious(name)] if suspicious else []) + (_risks(name) if risks else [])
+        return F.when(name.rlike(_ANY_NAME), F.array_compact(F.array(*found)))
+
+    return once(base_name(path), hits)
+
+
+def _explode_hits(df: DataFrame, keys: Sequence[str], hits: Column) -> DataFrame:
     """One row per hit.
 
     The outer form keeps Catalyst from copying the patterns into a filter before the explode, which
     would run them twice.
     """
-    found = once(base_name(F.col(path)), lambda name: F.array_compact(F.array(*hits(name))))
     return (
-        df.select(*keys, F.explode_outer(found).alias("hit"))
+        df.select(*keys, F.explode_outer(hits).alias("hit"))
         .where(F.col("hit").isNotNull())
         .select(*keys, "hit.*")
     )
 
 
 def suspicious_names(df: DataFrame, keys: Sequence[str], path: str = "path") -> DataFrame:
-    return _explode_hits(df, keys, path, lambda name: [_suspicious(name)])
+    return _explode_hits(df, keys, name_hits(F.col(path), risks=False))
 
 
 def risk_names(df: DataFrame, keys: Sequence[str], path: str = "path") -> DataFrame:
-    return _explode_hits(df, keys, path, _risks)
-
-
-def name_findings(df: DataFrame, keys: Sequence[str], path: str = "path") -> DataFrame:
-    """Suspicious-name and risk-name findings together; narrow, one row per hit."""
-    return _explode_hits(df, keys, path, lambda name: [_suspicious(name), *_risks(name)])
+    return _explode_hits(df, keys, name_hits(F.col(path), suspicious=False))

@@ -37,15 +37,16 @@ def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_salt: int = ROWS_PER_S
 
 def salted_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], spread_on: Sequence[str],
-    rows_per_salt: int = ROWS_PER_SALT,
+    rows_per_salt: int = ROWS_PER_SALT, counted: DataFrame | None = None,
 ) -> DataFrame:
     """Inner equi-join whose hot left keys are split over salts.
 
     Rows of ``right`` for a hot key are repeated once per salt; ``spread_on`` are columns that vary
     within a hot key, hashed so that a repeated task sends each row to the same place.  Without hot
     keys this is a plain join, and Catalyst broadcasts the right side if its size allows.
+    ``counted`` is a table whose keys are cheaper to count than those of ``left``.
     """
-    hot = hot_keys(left, keys, rows_per_salt)
+    hot = hot_keys(left if counted is None else counted, keys, rows_per_salt)
     if not hot:
         return left.join(right, list(keys))
     n_salts = F.coalesce(

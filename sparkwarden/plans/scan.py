@@ -69,7 +69,9 @@ def planned_files(
     files = t.tree.select(
         "commit_sha", "path", "blob_sha", route(F.col("path"), F.col("size"), options).alias("route")
     ).where(F.col("route").isNotNull())
-    return salted_join(files, selected_commits(t, options), ["commit_sha"], ["path"], rows_per_salt)
+    return salted_join(
+        files, selected_commits(t, options), ["commit_sha"], ["path"], rows_per_salt, counted=t.tree
+    )
 
 
 def blob_findings(t: ScanTables, options: ScanOptions = ScanOptions()) -> DataFrame:
@@ -92,10 +94,18 @@ def blob_findings(t: ScanTables, options: ScanOptions = ScanOptions()) -> DataFr
 
 
 def with_name_findings(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Turns the rows without a rule into the file-name findings of their path."""
-    found = rows.where(F.col("rule").isNotNull())
-    named = names.name_findings(rows.where(F.col("rule").isNull()), keys)
-    return found.unionByName(named, allowMissingColumns=True)
+    """Turns each row without a rule into the file-name findings of its path, others stay.
+
+    One explode in place, so that the join below runs once.
+    """
+    own = F.struct("rule", "severity", "redacted_evidence", "scanner_ord", "rule_ord")
+    hits = F.when(F.col("rule").isNull(), names.name_hits(F.col("path"))).otherwise(F.array(own))
+    return (
+        rows.select(*keys, "line", "metadata", "match_ord", F.explode_outer(hits).alias("hit"))
+        .where(F.col("hit").isNotNull())
+        .select(*keys, "line", "metadata",
+                "match_ord", "hit.*")
+    )
 
 
 def keyword_file_findings(
