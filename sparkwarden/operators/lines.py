@@ -122,9 +122,9 @@ def text_findings(texts: DataFrame, keys: Sequence[str], rules: Sequence[Rule],
     """
     content, line = F.col(text), F.col("content")
     to_read = F.when(any_gate(content, rules), lines_of(content)).otherwise(F.array(F.lit("")))
-    lines = texts.select(
-        *keys, log_evidence(content).alias("log_evidence"), F.posexplode_outer(to_read).alias("pos", "content")
-    )
+    # the log check stands in a step of its own: next to the explode it would run once per line
+    judged = texts.select(*keys, text, log_evidence(content).alias("log_evidence"))
+    lines = judged.select(*keys, "log_evidence", F.posexplode_outer(to_read).alias("pos", "content"))
     first = F.col("pos") == 0
     hits = [
         _found(READABLE, F.when(first, F.array(F.lit("")))),
