@@ -43,8 +43,15 @@ def severity_counts(findings: DataFrame) -> DataFrame:
 
 
 def counts_by_account(findings: DataFrame) -> DataFrame:
-    """Severity counts of every account and, with a NULL account, of the whole run."""
-    return findings.rollup("account").agg(F.count(F.lit(1)).alias("findings"), *_severity_columns())
+    """Severity counts of every account and, with a NULL account, of the whole run.
+
+    The total is summed from the accounts' counts, and is there even without findings.
+    """
+    per_account = findings.groupBy("account").agg(F.count(F.lit(1)).alias("findings"), *_severity_columns())
+    total = per_account.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("findings", *V.SEVERITIES)]
+    )
+    return per_account.unionByName(total, allowMissingColumns=True)
 
 
 def findings_by_repo(findings: DataFrame) -> DataFrame:
