@@ -129,8 +129,8 @@ def scan_tables(spark: SparkSession, folder: str, account_table: DataFrame | Non
         accounts=account_table or scanned_accounts(spark, folder),
         repos=load(spark, folder, "repos"),
         commits=load(spark, folder, "commits"),
-        tree=rec.shape_tree(load(spark, folder, "raw_tree")),
-        blobs=load(spark, folder, "doc_files").select("blob_sha", "text"),
+        tree=spread(rec.shape_tree(load(spark, folder, "raw_tree")), "commit_sha", "path"),
+        blobs=doc_files(spark, folder, "blob_sha"),
         image_metadata=load(spark, folder, "image_metadata"),
     )
 
@@ -351,8 +351,7 @@ def pii_findings(spark, folder):
 
 @query
 def suspicious_filenames(spark, folder):
-    found = names.suspicious_names(load(spark, folder, "raw_tree").select("commit_sha", "path"),
-                                   ["commit_sha", "path"])
+    found = names.suspicious_names(_tree_paths(spark, folder), ["commit_sha", "path"])
     return found.select("commit_sha", "path", "rule", "severity", "redacted_evidence")
 
 
@@ -375,8 +374,12 @@ def secret_findings(spark, folder):
 
 
 # ---------------------------------------------------------------- privacy risks
+def _tree_paths(spark, folder):
+    return spread(load(spark, folder, "raw_tree").select("commit_sha", "path"), "commit_sha", "path")
+
+
 def _tree_names(spark, folder):
-    return names.risk_names(load(spark, folder, "raw_tree").select("commit_sha", "path"), ["commit_sha", "path"])
+    return names.risk_names(_tree_paths(spark, folder), ["commit_sha", "path"])
 
 
 @query

@@ -17,10 +17,11 @@ from .rules import SECRET_RULES
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a scan that has fewer splits than the cluster has cores.
+    """Spread a table, as read from files, that has fewer splits than the cluster has cores.
 
     Such an input is at most (cores x one split) big, so the shuffle is bounded; a large input has
-    more splits than cores and is left where it is.
+    more splits than cores and is left where it is.  Not for results of joins or aggregates, which
+    are spread already.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:

@@ -37,9 +37,9 @@ def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_salt: int = ROWS_PER_S
 
 def salted_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], spread_on: Sequence[str],
-    rows_per_salt: int = ROWS_PER_SALT, counted: DataFrame | None = None,
+    rows_per_salt: int = ROWS_PER_SALT, counted: DataFrame | None = None, how: str = "inner",
 ) -> DataFrame:
-    """Inner equi-join whose hot left keys are split over salts.
+    """Inner or left equi-join whose hot left keys are split over salts.
 
     Rows of ``right`` for a hot key are repeated once per salt; ``spread_on`` are columns that vary
     within a hot key, hashed so that a repeated task sends each row to the same place.  Without hot
@@ -48,13 +48,13 @@ def salted_join(
     """
     hot = hot_keys(left if counted is None else counted, keys, rows_per_salt)
     if not hot:
-        return left.join(right, list(keys))
+        return left.join(right, list(keys), how)
     n_salts = F.coalesce(
         F.element_at(F.create_map(*[F.lit(x) for pair in hot for x in pair]), F.xxhash64(*keys)), F.lit(1)
     )
     salted = left.withColumn("salt", F.pmod(F.xxhash64(*spread_on), n_salts).cast("int"))
     copies = right.withColumn("salt", F.explode(F.sequence(F.lit(0), n_salts.cast("int") - 1)))
-    return salted.join(copies, [*keys, "salt"]).drop("salt")
+    return salted.join(copies, [*keys, "salt"], how).drop("salt")
 
 
 def first_per_key(df: DataFrame, keys: Sequence[Column], order: Sequence[str]) -> DataFrame:

@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.skew import running_totals
+from ..operators.skew import ROWS_PER_SALT, running_totals, salted_join
 
 
-def new_commits(commits: DataFrame, cursors: DataFrame, full: bool = False) -> DataFrame:
+def new_commits(
+    commits: DataFrame, cursors: DataFrame, full: bool = False, rows_per_salt: int = ROWS_PER_SALT
+) -> DataFrame:
     """Commits after each repository's cursor; all of them for a full run or without a cursor.
 
     ``commits`` has account_id, repo, commit_sha, date; ``cursors`` has account_id, repo,
@@ -20,10 +22,13 @@ def new_commits(commits: DataFrame, cursors: DataFrame, full: bool = False) -> D
     """
     if full:
         return commits
-    joined = commits.join(
+    joined = salted_join(
+        commits,
         cursors.select("account_id", "repo", "last_scanned_sha", "last_scanned_date"),
         ["account_id", "repo"],
-        "left",
+        ["commit_sha"],
+        rows_per_salt,
+        how="left",
     )
     after = (F.col("date") > F.col("last_scanned_date")) | (
         (F.col("date") == F.col("last_scanned_date")) & (F.col("commit_sha") > F.col("last_scanned_sha"))

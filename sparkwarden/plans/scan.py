@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.text import action_for, is_image, is_scannable
 from ..model import ScanOptions
 from ..operators import images, keywords, names
-from ..operators.lines import spread, text_findings
+from ..operators.lines import text_findings
 from ..operators.rules import LINE_RULES
 from ..operators.skew import ROWS_PER_SALT, salted_join
 from ..sources.files import stage
@@ -52,14 +52,16 @@ def route(path: Column, size: Column, options: ScanOptions = ScanOptions()) -> C
     )
 
 
-def selected_commits(t: ScanTables, options: ScanOptions = ScanOptions()) -> DataFrame:
+def selected_commits(
+    t: ScanTables, options: ScanOptions = ScanOptions(), rows_per_salt: int = ROWS_PER_SALT
+) -> DataFrame:
     """Commits of the chosen accounts' repositories."""
-    repos = (
-        filter_repos(t.repos, options)
-        .select("account_id", "repo", "repo_ord")
-        .join(t.accounts.select("account_id", "account_ord"), "account_id")
+    repos = filter_repos(t.repos, options).select("account_id", "repo", "repo_ord")
+    owned = salted_join(
+        repos, t.accounts.select("account_id", "account_ord"), ["account_id"], ["repo"], rows_per_salt
     )
-    return t.commits.select("repo", "commit_sha", "commit_ord").join(repos, "repo")
+    commits = t.commits.select("repo", "commit_sha", "commit_ord")
+    return salted_join(commits, owned, ["repo"], ["commit_sha"], rows_per_salt)
 
 
 def planned_files(
@@ -70,7 +72,8 @@ def planned_files(
         "commit_sha", "path", "blob_sha", route(F.col("path"), F.col("size"), options).alias("route")
     ).where(F.col("route").isNotNull())
     return salted_join(
-        files, selected_commits(t, options), ["commit_sha"], ["path"], rows_per_salt, counted=t.tree
+        files, selected_commits(t, options, rows_per_salt), ["commit_sha"], ["path"], rows_per_salt,
+        counted=t.tree,
     )
 
 
@@ -81,10 +84,9 @@ def blob_findings(t: ScanTables, options: ScanOptions = ScanOptions()) -> DataFr
     content could be read, and that row brings the news along in the same join.
     """
     key = ["blob_sha"]
-    texts = spread(t.blobs.select("blob_sha", "text"), *key)
-    records = images.parse_metadata(spread(t.image_metadata.select("blob_sha", "meta_json"), *key), key)
+    records = images.parse_metadata(t.image_metadata, key)
     return (
-        text_findings(texts, key, LINE_RULES)
+        text_findings(t.blobs, key, LINE_RULES)
         .withColumn("route", F.lit(TEXT))
         .unionByName(
             images.image_findings(records, key, options.store_exact_gps).withColumn("route", F.lit(IMAGE)),
@@ -111,9 +113,16 @@ def with_name_findings(rows: DataFrame, keys: list[str]) -> DataFrame:
 def keyword_file_findings(
     t: ScanTables, files: DataFrame, file_columns: list[str], rows_per_salt: int = ROWS_PER_SALT
 ) -> DataFrame:
-    """Keyword findings of text files: each (text, pattern) pair is matched once."""
+    """Keyword findings of text files: each (text, pattern) pair is matched once.
+
+    Few pairs are broadcast to the texts; many meet them in a join on blob_sha, for which a table
+    made by ``write_blobs`` needs no shuffle of texts.
+    """
     patterns = keywords.keyword_patterns(t.accounts)
-    texts = files.where(F.col("route") == TEXT).join(patterns, "account_id")
+    texts = salted_join(
+        files.where(F.col("route") == TEXT), patterns, ["account_id"], ["commit_sha", "path"], rows_per_salt,
+        counted=files,
+    )
     pairs = texts.select("blob_sha", "pattern").distinct()
     contents = salted_join(pairs, t.blobs.select("blob_sha", "text"), ["blob_sha"], ["pattern"], rows_per_salt)
     found = keywords.keyword_findings(contents, ["blob_sha", "pattern"])

@@ -37,6 +37,12 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def write_blobs(blobs: DataFrame, table: str, buckets: int) -> DataFrame:
+    """A blob table bucketed by blob_sha: joins on blob_sha then leave the texts where they are."""
+    blobs.write.bucketBy(buckets, "blob_sha").sortBy("blob_sha").saveAsTable(table)
+    return blobs.sparkSession.table(table)
+
+
 def read_text_files(
     spark: SparkSession, paths: str | list[str], max_file_bytes: int = V.MAX_FILE_BYTES
 ) -> DataFrame:

@@ -25,6 +25,11 @@ def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     )
 
 
+def spread_arrivals(stream: DataFrame, *keys: str) -> DataFrame:
+    """For streams whose files arrive one or two at a time: uses all cores for each of them."""
+    return stream.repartition(stream.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def keep_state_on_disk(spark: SparkSession) -> None:
     """Key state outgrows executor memory at scale; RocksDB keeps it on local disk with snapshots
     in the checkpoint folder."""

@@ -14,7 +14,8 @@ from . import jobs
 def _found(spark: SparkSession, folder: str, keys: list[str], rules) -> DataFrame:
     files = load(spark, folder, "doc_files", jobs.read_stream)
     timed = files.withColumn("seen_at", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") * 600))
-    return line_findings(timed.select(*keys, "text"), keys, rules)
+    arrived = jobs.spread_arrivals(timed.select(*dict.fromkeys(["doc_id", *keys]), "text"), "doc_id")
+    return line_findings(arrived, keys, rules)
 
 
 def scanned_documents(spark: SparkSession, folder: str) -> DataFrame:

@@ -275,3 +275,25 @@ def test_stream_restarts_where_it_stopped(spark, tmp_path):
 
 def test_order_columns_cover_findings(findings):
     assert set(ORDER_COLUMNS) <= set(findings.columns)
+
+
+def test_salted_left_join_keeps_unmatched_rows(spark):
+    left = spark.range(3_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), "id")
+    right = spark.range(1_000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    salted = salted_join(left, right, ["k"], ["id"], rows_per_salt=200, how="left")
+    assert bag(salted, "k", "id", "w") == bag(left.join(right, "k", "left"), "k", "id", "w")
+
+
+def test_bucketed_blobs_join_without_moving_texts(spark, tmp_path):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    blobs = load(spark, SMALL, "doc_files").select("blob_sha", "text")
+    try:
+        spark.sql(f"create database if not exists scratch location '{tmp_path}/db'")
+        table = src.write_blobs(blobs, "scratch.blobs", 4)
+        pairs = blobs.select("blob_sha", F.lit("the").alias("pattern")).distinct()
+        plan = salted_join(pairs, table, ["blob_sha"], ["pattern"])._jdf.queryExecution().executedPlan().toString()
+        right = plan[plan.rindex("Sort ["):]
+        assert "Exchange" not in right and "text" in right
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("drop database if exists scratch cascade")
