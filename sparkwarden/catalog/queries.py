@@ -53,8 +53,30 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- inputs
+# derived inputs that stand for big source tables, with the columns that spread their rows
+SOURCE_TABLES = {
+    "doc_files": ["doc_id"],
+    "chat_files": ["conv_id", "turn"],
+    "raw_tree": ["commit_sha", "path"],
+    "commits": ["commit_sha"],
+    "image_files": ["p_partkey"],
+    "image_metadata": ["blob_sha"],
+}
+_sources: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def source(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A source table: derived from the test tables and written once per session."""
+    if name not in SOURCE_TABLES:
+        return load(spark, folder, name)
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _sources:
+        _sources[key] = stage(spread(load(spark, folder, name), *SOURCE_TABLES[name]), name)
+    return _sources[key]
+
+
 def doc_files(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    return spread(load(spark, folder, "doc_files").select(*columns, "text"), *columns)
+    return source(spark, folder, "doc_files").select(*columns, "text")
 
 
 def accounts(spark: SparkSession, folder: str) -> DataFrame:
@@ -128,10 +150,10 @@ def scan_tables(spark: SparkSession, folder: str, account_table: DataFrame | Non
     return sc.ScanTables(
         accounts=account_table or scanned_accounts(spark, folder),
         repos=load(spark, folder, "repos"),
-        commits=load(spark, folder, "commits"),
-        tree=spread(rec.shape_tree(load(spark, folder, "raw_tree")), "commit_sha", "path"),
+        commits=source(spark, folder, "commits"),
+        tree=rec.shape_tree(source(spark, folder, "raw_tree")),
         blobs=doc_files(spark, folder, "blob_sha"),
-        image_metadata=load(spark, folder, "image_metadata"),
+        image_metadata=source(spark, folder, "image_metadata"),
     )
 
 
@@ -183,7 +205,7 @@ def commits_shaped(spark, folder):
 
 @query
 def tree_blobs(spark, folder):
-    return flat(rec.shape_tree(load(spark, folder, "raw_tree")))
+    return flat(rec.shape_tree(source(spark, folder, "raw_tree")))
 
 
 @query
@@ -232,12 +254,12 @@ def repos_filtered(spark, folder):
 
 @query
 def files_size_ok(spark, folder):
-    tree = rec.shape_tree(load(spark, folder, "raw_tree"))
+    tree = rec.shape_tree(source(spark, folder, "raw_tree"))
     return tree.where(F.col("size") <= ScanOptions().max_file_bytes).select("commit_sha", "path", "blob_sha", "size")
 
 
 def _routes(spark, folder, options):
-    tree = rec.shape_tree(load(spark, folder, "raw_tree"))
+    tree = rec.shape_tree(source(spark, folder, "raw_tree"))
     return tree.select("commit_sha", "path", F.coalesce(sc.route(F.col("path"), F.col("size"), options),
                                                         F.lit("skip")).alias("route"))
 
@@ -254,7 +276,7 @@ def route_files_strict(spark, folder):
 
 @query
 def file_basenames(spark, folder):
-    tree = load(spark, folder, "raw_tree").select("commit_sha", "path")
+    tree = source(spark, folder, "raw_tree").select("commit_sha", "path")
     slashed = tree.select("commit_sha", F.explode(F.array("path", F.replace("path", F.lit("/"), F.lit("\\")),
                                                           F.concat("path", F.lit("/")))).alias("path"))
     return slashed.select("commit_sha", "path", tx.base_name(F.col("path")).alias("base"))
@@ -345,7 +367,7 @@ def _file_findings(found: DataFrame) -> DataFrame:
 def pii_findings(spark, folder):
     files = doc_files(spark, folder, *_FILE)
     found = line_findings(files, _FILE, PII_RULES)
-    suspicious = names.suspicious_names(load(spark, folder, "doc_files").select(*_FILE), _FILE)
+    suspicious = names.suspicious_names(source(spark, folder, "doc_files").select(*_FILE), _FILE)
     return _file_findings(found.unionByName(suspicious, allowMissingColumns=True))
 
 
@@ -363,8 +385,8 @@ def secret_redacted(spark, folder):
 
 @query
 def token_entropy(spark, folder):
-    docs = doc_files(spark, folder, "doc_id", "commit_sha")
-    lines = document_lines(docs.select("doc_id", "text"), ["doc_id"]).where(F.length("content") > 0)
+    docs = doc_files(spark, folder, "doc_id")
+    lines = document_lines(docs, ["doc_id"]).where(F.length("content") > 0)
     return flat(lines.select("doc_id", "line", redact.entropy(F.col("content")).alias("entropy")))
 
 
@@ -375,7 +397,7 @@ def secret_findings(spark, folder):
 
 # ---------------------------------------------------------------- privacy risks
 def _tree_paths(spark, folder):
-    return spread(load(spark, folder, "raw_tree").select("commit_sha", "path"), "commit_sha", "path")
+    return source(spark, folder, "raw_tree").select("commit_sha", "path")
 
 
 def _tree_names(spark, folder):
@@ -404,7 +426,7 @@ def large_log_files(spark, folder):
 
 @query
 def privacy_risk_findings(spark, folder):
-    files = load(spark, folder, "doc_files")
+    files = source(spark, folder, "doc_files")
     found = names.risk_names(files.select(*_FILE), _FILE).unionByName(
         logs.log_findings(doc_files(spark, folder, *_FILE), _FILE))
     return _file_findings(found)
@@ -440,8 +462,7 @@ def keyword_findings(spark, folder):
 
 # ---------------------------------------------------------------- image metadata
 def _parsed_images(spark, folder):
-    files = load(spark, folder, "image_files")
-    return images.parse_metadata(spread(files, "p_partkey"), ["p_partkey", "path"])
+    return images.parse_metadata(source(spark, folder, "image_files"), ["p_partkey", "path"])
 
 
 @query
@@ -526,18 +547,18 @@ def findings_sorted(spark, folder):
 # ---------------------------------------------------------------- state
 @query
 def incremental_commits(spark, folder):
-    return inc.new_commits(load(spark, folder, "commits"), load(spark, folder, "cursors")).select(
+    return inc.new_commits(source(spark, folder, "commits"), load(spark, folder, "cursors")).select(
         "account_id", "repo", "commit_sha", "date")
 
 
 @query
 def incremental_commits_full(spark, folder):
-    return inc.new_commits(load(spark, folder, "commits"), load(spark, folder, "cursors"), full=True).select(
+    return inc.new_commits(source(spark, folder, "commits"), load(spark, folder, "cursors"), full=True).select(
         "account_id", "repo", "commit_sha", "date")
 
 
 def _next_cursors(spark, folder):
-    fresh = inc.new_commits(load(spark, folder, "commits"), load(spark, folder, "cursors"))
+    fresh = inc.new_commits(source(spark, folder, "commits"), load(spark, folder, "cursors"))
     return inc.next_cursors(fresh, SEEN_AT)
 
 
@@ -656,7 +677,7 @@ def pii_by_lang(spark, folder):
 
 @query
 def conversation_findings(spark, folder):
-    chats = spread(load(spark, folder, "chat_files"), "conv_id", "turn")
+    chats = source(spark, folder, "chat_files")
     return line_findings(chats, ["role"], LINE_RULES).groupBy("role", "rule", "severity").agg(
         F.count(F.lit(1)).alias("n"))
 
