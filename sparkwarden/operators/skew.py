@@ -28,9 +28,11 @@ def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_salt: int = ROWS_PER_S
         .groupBy("part")
         .agg(F.expr(f"approx_top_k_accumulate(h, {TRACKED_KEYS})").alias("sketch"))
     )
-    top = sketches.agg(F.expr(f"approx_top_k_combine(sketch, {TRACKED_KEYS})").alias("sketch")).select(
-        F.expr(f"inline(approx_top_k_estimate(sketch, {HOT_KEYS}))").alias("h", "n")
+    # grouped, because combining no sketches at all fails
+    merged = sketches.groupBy((F.col("part") * 0).alias("all")).agg(
+        F.expr(f"approx_top_k_combine(sketch, {TRACKED_KEYS})").alias("sketch")
     )
+    top = merged.select(F.expr(f"inline(approx_top_k_estimate(sketch, {HOT_KEYS}))").alias("h", "n"))
     found = top.where(F.col("n") > rows_per_salt).collect()
     return [(r.h, min(MAX_SALTS, -(-r.n // rows_per_salt))) for r in found]
 

@@ -15,7 +15,7 @@ findings, not the texts, are joined back to the files.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,14 +53,15 @@ def route(path: Column, size: Column, options: ScanOptions = ScanOptions()) -> C
 
 
 def selected_commits(
-    t: ScanTables, options: ScanOptions = ScanOptions(), rows_per_salt: int = ROWS_PER_SALT
+    t: ScanTables, options: ScanOptions = ScanOptions(), rows_per_salt: int = ROWS_PER_SALT,
+    more_columns: tuple[str, ...] = (),
 ) -> DataFrame:
     """Commits of the chosen accounts' repositories."""
     repos = filter_repos(t.repos, options).select("account_id", "repo", "repo_ord")
     owned = salted_join(
         repos, t.accounts.select("account_id", "account_ord"), ["account_id"], ["repo"], rows_per_salt
     )
-    commits = t.commits.select("repo", "commit_sha", "commit_ord")
+    commits = t.commits.select("repo", "commit_sha", "commit_ord", *more_columns)
     return salted_join(commits, owned, ["repo"], ["commit_sha"], rows_per_salt)
 
 
@@ -132,13 +133,22 @@ def keyword_file_findings(
 
 
 def scan(
-    t: ScanTables, options: ScanOptions = ScanOptions(), rows_per_salt: int = ROWS_PER_SALT
+    t: ScanTables, options: ScanOptions = ScanOptions(), rows_per_salt: int = ROWS_PER_SALT,
+    few_files: bool = False,
 ) -> DataFrame:
     """All findings with their order columns (``model.FINDING_COLUMNS`` + ``model.ORDER_COLUMNS``).
 
-    The file plan is read by several joins, so it is written once to the shared folder.
+    The file plan is read by several joins, so it is written once to the shared folder.  With
+    ``few_files`` (a run over new commits) only the blobs of planned files are read, others skipped
+    by a semi join; a full scan reads them all and needs no such join.
     """
     files = stage(planned_files(t, options, rows_per_salt), "files")
+    if few_files:
+        needed = files.select("blob_sha").distinct()
+        t = replace(
+            t, blobs=t.blobs.join(needed, "blob_sha", "left_semi"),
+            image_metadata=t.image_metadata.join(needed, "blob_sha", "left_semi"),
+        )
     columns = ["account_id", "account_ord", "repo", "repo_ord", "commit_sha", "commit_ord", "path"]
     content = with_name_findings(
         salted_join(

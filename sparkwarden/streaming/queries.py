@@ -37,7 +37,8 @@ def windowed_severity_counts(spark: SparkSession, folder: str) -> DataFrame:
     counts = jobs.severity_counts(found, "seen_at", "1 hour", "1 day")
     batches = jobs.write_batches(counts, "stream-counts", lambda batch: batch, "update")
     latest = jobs.latest_counts(batches, ["window_start", "severity"])
-    return latest.select(F.col("window_start").cast("date").cast("string").alias("window_start"), "severity", "n")
+    day = F.date_from_unix_date((F.unix_seconds("window_start") / 86_400).cast("int"))
+    return latest.select(day.cast("string").alias("window_start"), "severity", "n")
 
 
 def unseen_gists(spark: SparkSession, folder: str) -> DataFrame:

@@ -40,6 +40,7 @@ def test_salted_join_equals_plain_join(spark):
 def test_cold_keys_join_without_salt(spark):
     left = spark.range(100).select((F.col("id") % 50).alias("k"), "id")
     assert hot_keys(left, ["k"], 500) == []
+    assert hot_keys(left.where("id < 0"), ["k"], 500) == []
 
 
 def test_running_totals_equal_one_window(spark):
