@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import once
 from ..model import ScanOptions
 
 
@@ -74,19 +75,25 @@ def shape_tree(raw: DataFrame) -> DataFrame:
     )
 
 
-def decode_content(raw: DataFrame) -> DataFrame:
-    """Plain text as it is, base64 as UTF-8 with bad bytes replaced; anything else is dropped."""
-    # lenient: both alphabets, foreign characters skipped, end at the first "=", odd tail dropped
+def _from_base64(content: Column) -> Column:
+    """Lenient: both alphabets, foreign characters skipped, end at the first "=", odd tail dropped."""
     digits = F.regexp_replace(
-        F.translate(F.split_part("content", F.lit("="), F.lit(1)), "-_", "+/"), "[^A-Za-z0-9+/]", ""
-    )
-    whole = F.when(F.length(digits) % 4 == 1, F.left(digits, F.length(digits) - 1)).otherwise(digits)
-    bytes_ = F.unbase64(whole)
-    text = F.when(F.col("encoding").isNull(), F.col("content")).when(
-        (F.col("encoding") == "base64") & (F.col("content") != ""), F.make_valid_utf8(bytes_.cast("string"))
+        F.translate(F.split_part(content, F.lit("="), F.lit(1)), "-_", "+/"), "[^A-Za-z0-9+/]", ""
     )
+    whole = once(digits, lambda d: F.when(F.length(d) % 4 == 1, F.left(d, F.length(d) - 1)).otherwise(d))
+    return F.make_valid_utf8(F.unbase64(whole).cast("string"))
+
+
+def decode_content(raw: DataFrame) -> DataFrame:
+    """Plain text as it is, base64 as UTF-8 with bad bytes replaced; anything else is dropped.
+
+    What is dropped shows in the raw columns, so nothing is decoded to find out.
+    """
+    plain, encoded = F.col("encoding").isNull(), F.col("encoding") == "base64"
+    readable = raw.where((plain & F.col("content").isNotNull()) | (encoded & (F.col("content") != "")))
+    text = F.when(plain, F.col("content")).otherwise(_from_base64(F.col("content")))
     rest = [c for c in raw.columns if c not in ("content", "encoding")]
-    return raw.select(*rest, text.alias("text")).where(F.col("text").isNotNull())
+    return readable.select(*rest, text.alias("text"))
 
 
 def shape_gists(raw: DataFrame) -> DataFrame:
