@@ -180,7 +180,7 @@ DERIVED = {
                concat('acct_', user_id % 25) account_id, event_id % 97 findings_count
         from {events}""",
     "report_files": """
-        select concat('privacy-report-', cast(cast(ts as date) as string), '-',
+        select concat('audit-report-', cast(cast(ts as date) as string), '-',
                       lpad(cast(event_id as string), 10, '0'),
                       case when event_id % 5 = 4 then '.tmp' else '.md' end) name
         from {events}""",

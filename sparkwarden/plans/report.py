@@ -235,7 +235,7 @@ NO_SUMMARY = "There is no summary yet. Run a scan to get a report."
 
 
 def report_name(finished_at: str) -> str:
-    return "privacy-report-" + finished_at.replace(":", "-").replace(".", "-") + ".md"
+    return "audit-report-" + finished_at.replace(":", "-").replace(".", "-") + ".md"
 
 
 def latest_report(names: DataFrame, name: str = "name") -> DataFrame:

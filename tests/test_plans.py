@@ -246,7 +246,7 @@ def test_summary_of(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(rep.summary_of(F.col("t")))
     assert [r[0] for r in df.collect()] == [
         "## Summary\n- a: 1", "## Summary\n- a: 1\n\nNo findings. All clear.", rep.NO_SUMMARY]
-    assert rep.report_name(RUN.finished_at) == "privacy-report-2024-01-01T00-05-00-000Z.md"
+    assert rep.report_name(RUN.finished_at) == "audit-report-2024-01-01T00-05-00-000Z.md"
 
 
 def test_digests(spark):
