@@ -11,7 +11,7 @@
 5. Components come from alternating large-star and small-star.
 
 Rows with a null id take no part and are not returned; null or blank texts have an empty set and link with
-nothing; rows that repeat an id count as one node and each gets a row; only id and text are looked at.
+nothing; of rows that repeat an id the smallest text stands; only id and text are looked at.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .staging import release, stage
+from .staging import one_text_per_id, release, stage
 
 ROWS, BANDS = 6, 40
 #: Members of a bucket that are compared together in one task.
@@ -129,7 +129,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Two documents are linked if their sets of ``width``-word shingles have a Jaccard similarity of at least
     ``percent`` / 100; the component id is the smallest id reachable, and that document is kept.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    docs = one_text_per_id(docs)
     signed = stage(docs.mapInArrow(_describe(width), _SETS), "signatures")
     classes = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     reps = signed.join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"]).select(

@@ -10,12 +10,27 @@ from pyspark.sql import functions as F
 from ..sources.files import read_table
 from .near_dedup import near_duplicates
 from .packing import pack
+from .staging import one_text_per_id
+from .suffix_dedup import remove_repeats
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    lost = remove_repeats(docs).select("doc_id", "n_removed", "n_spans", F.sha2("kept", 256).alias("rest"))
+    whole = one_text_per_id(docs).select(
+        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("all")
+    )
+    zero = F.lit(0).cast("long")
+    return whole.join(lost, "doc_id", "left").select(
+        "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"),
+        F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("rest", "all").alias("kept_sha256"),
+    )
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -25,6 +40,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
 

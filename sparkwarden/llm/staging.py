@@ -8,6 +8,7 @@ reads can't be deleted here; everything else is released as soon as the next tab
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..sources.files import shared_folder
 
@@ -26,3 +27,17 @@ def release(*staged: DataFrame) -> None:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df._staged_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def one_text_per_id(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` with null texts as empty; rows without an id are left out.
+
+    Of rows that repeat an id the smallest text stands.  Only those rows are shuffled with their texts.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.where("doc_id is not null")
+    often = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if often.limit(1).count() == 0:
+        return docs
+    merged = docs.join(often, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return docs.join(often, "doc_id", "left_anti").unionByName(merged)
