@@ -10,10 +10,23 @@ from pyspark.sql import functions as F
 from ..sources.files import read_table
 from .near_dedup import near_duplicates
 from .packing import pack
+from .secret_spans import ALLOWED, CLASSES, KINDS, WINDOW, find_secrets, joined
 from .staging import one_text_per_id
 from .suffix_dedup import remove_repeats
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(read_table(spark, sf_dir, "documents"))
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *(count(kind) for kind in KINDS[:3]),
+        F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -39,9 +52,49 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_secret_scan": op5_secret_scan,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
 
-SQL: dict[str, str] = {}
+
+
+def _secrets_sql() -> str:
+    """Spans by splitting at the matches; each window's entropy worked out on its own."""
+    name = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+    assign = name + """["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    patterns = {"assign": (assign, 2, 6), "access": ("AKIA[A-Z0-9]+", 0, 20), "hex": ("[0-9a-f]+", 0, 24), "entropy": ("[A-Za-z0-9+/=_-]+", 0, WINDOW)}
+    parts = []
+    for nth, (kind, (pattern, group, least)) in enumerate(patterns.items()):
+        quoted = "'" + pattern.replace("'", "''") + "'"
+        parts.append(f"""
+            select doc_id, '{kind}' as kind, {nth} as nth, m[i] as found, length(v[i]) >= {least} as long,
+                   cast(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) as bigint) as start
+            from (select doc_id, regexp_extract_all(t, {quoted}, 0) as m, regexp_extract_all(t, {quoted}, {group}) as v, string_split_regex(t, {quoted}) as g from d),
+                 lateral (select unnest(range(1, len(m) + 1)) as i)""")
+    allowed = " or ".join(f"regexp_matches(found, '{p}')" for p in ALLOWED)
+    limit = "case " + " ".join(f"when regexp_matches(found, '{p}') then {bits}" for p, bits in CLASSES[:-1]) + f" else {CLASSES[-1][1]} end"
+    return f"""
+        with d as (select doc_id, coalesce(text, '') as t from documents),
+        every as ({" union all ".join(parts)}),
+        base as (select doc_id, kind, nth, start, start + length(found) as stop from every where long and kind <> 'entropy'),
+        windows as (
+            select doc_id, start, unnest(list_filter(range(0, length(found) - {WINDOW} + 1),
+                lambda i: list_entropy(string_split(found[i + 1:i + {WINDOW}], '')) > {limit})) as w
+            from every where long and kind = 'entropy' and regexp_matches(found, '[0-9]') and regexp_matches(found, '[A-Za-z]') and not ({allowed})),
+        high as (select doc_id, 'entropy' as kind, 3 as nth, start + min(w) as b, start + max(w) + {WINDOW} as stop from windows group by doc_id, start),
+        spans as (select * from base union all select doc_id, kind, nth, b, stop from high),
+        told as (
+            select doc_id,
+                   count(*) filter (where kind = 'assign') as n_assign, count(*) filter (where kind = 'access') as n_access,
+                   count(*) filter (where kind = 'hex') as n_hex,
+                   coalesce(string_agg(kind || ':' || start || ':' || stop, ',' order by start, nth) filter (where nth < 3), '') as base,
+                   string_agg(kind || ':' || start || ':' || stop, ',' order by start, nth) as spans
+            from spans group by doc_id)
+        select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+               sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+        from d left join told using (doc_id)"""
+
+
+SQL: dict[str, str] = {"op5_secret_scan": _secrets_sql()}
