@@ -38,7 +38,7 @@ def _tokenize(path: str, capacity: int, end_id: int):
         of = encoder(path)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in W.slices(batch, "text"):
+            for part in W.slices(batch, "text", 2 * W.SLICE_BYTES):
                 ids, counts = of.ids(part.column(1))
                 ends = np.cumsum(counts)
                 out = np.empty(len(ids) + len(counts), np.uint32)
