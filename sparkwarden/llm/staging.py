@@ -22,9 +22,14 @@ def stage(df: DataFrame, purpose: str) -> DataFrame:
 
 
 def release(*staged: DataFrame) -> None:
-    """Deletes staged tables that nothing reads any more."""
+    """Deletes staged tables that nothing reads any more.
+
+    The shuffle files of finished steps go when the driver's JVM collects its garbage, as the periodic
+    cleaning of Spark does it too; that is asked for here.
+    """
     for df in staged:
         spark = df.sparkSession
+        spark._jvm.System.gc()
         path = spark._jvm.org.apache.hadoop.fs.Path(df._staged_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -7,8 +7,9 @@ in the same one.  Strings are judged on the input, may overlap and never cross d
    (the leftmost of equals), its anchor.  Equal strings have equal anchors at equal distance, so the hash of
    the anchor names the bucket in which a suffix is sorted.  Consecutive suffixes with one anchor travel as one
    segment.  A bucket with a single segment can't hold a repeat and is not sorted.
-2. Equal segments are reduced to their first copy before anything is shuffled by bucket.  A bucket that
-   still has over ``HOT`` segments is dealt out suffix by suffix, by the hash of the whole string.
+2. A segment that equals an earlier one of the same batch of rows is a repeat and goes no further, so what
+   very many texts share is thinned out where it is read.  A bucket that still has over ``HOT`` segments is not
+   sorted in one task: its strings are grouped one by one, by 128 bits of hashes, with pre-aggregation.
 3. *Blockwise sort.*  A task takes its buckets block by block, ``BLOCK_BYTES`` of segments at a time.  Segments
    are laid out with their anchors at one residue of the cover's period.  The suffixes at residues of the
    cover are ranked first; all others are sorted by their first 16 bytes, and ties by the rank of the next
@@ -77,16 +78,6 @@ def _anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return text, a - offsets[text], n, owner[a] - a, x[owner[a]].view(np.int64)
 
 
-def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in W.slices(batch, "text", 1 << 19):
-            text, a, n, off, key = _anchors(*W.text_bytes(part.column(1)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key), part.column(0).take(pa.array(text)), pa.array(a << 16 | n << 8 | off)],
-                names=["bucket", "doc_id", "place"],
-            )
-
-
 def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pieces of a buffer, one after the other, and their offsets."""
     offsets = np.concatenate([[0], np.cumsum(sizes)])
@@ -99,6 +90,65 @@ def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     )
 
 
+def _hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of pieces of a buffer, gathered part by part."""
+    out = np.zeros(len(starts), np.uint64)
+    for at in range(0, len(starts), 1 << 14):
+        size = sizes[at : at + (1 << 14)]
+        pieces, offsets = _gather(data, starts[at : at + (1 << 14)], size)
+        scale = W.powers(_STEPS[0], int(size.max()))
+        terms = _SPREAD[pieces] * scale[np.arange(len(pieces)) - np.repeat(offsets[:-1], size)]
+        out[at : at + len(size)] = np.add.reduceat(terms, offsets[:-1])
+    return W.mix(out + sizes.astype(np.uint64))
+
+
+_FOUND = "bucket long, doc_id long, place long, end long"
+
+
+def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments with their buckets.
+
+    A segment that equals an earlier one of the same batch is a repeat whatever other documents hold; such
+    segments come as spans, without a bucket, so a passage that very many texts share is sent on once.
+    """
+    for batch in batches:
+        data, offsets = W.text_bytes(batch.column(1))
+        parts = [[np.zeros(0, np.int64)] * 5]
+        row = 0
+        for part in W.slices(batch, "text", 1 << 19):
+            text, *rest = _anchors(*W.text_bytes(part.column(1)))
+            parts.append([text + row, *rest])
+            row += len(part)
+        text, a, n, off, key = (np.concatenate(x) for x in zip(*parts))
+        doc = batch.column(0).to_numpy()[text]
+        order = np.argsort(key, kind="stable")
+        twice = np.zeros(len(key), bool)
+        same = key[order][1:] == key[order][:-1]
+        twice[order[1:][same]] = twice[order[:-1][same]] = True
+        at = np.flatnonzero(twice)
+        whole = _hashes(data, offsets[text[at]] + a[at], n[at] + LENGTH - 1)
+        order = np.lexsort((a[at], doc[at], whole, key[at]))
+        again = np.zeros(len(at), bool)
+        one, two = at[order[:-1]], at[order[1:]]
+        again[order[1:]] = (key[one] == key[two]) & (whole[order[:-1]] == whole[order[1:]])
+        gone = np.zeros(len(key), bool)
+        gone[at[again]] = True
+        place = a << 16 | n << 8 | off
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key[~gone]), pa.array(doc[~gone]), pa.array(place[~gone]), pa.nulls(int((~gone).sum()), pa.int64())],
+            names=["bucket", "doc_id", "place", "end"],
+        )
+        at = np.flatnonzero(gone)  # in the order of texts and starts
+        if len(at):
+            new = np.ones(len(at), bool)
+            new[1:] = (text[at][1:] != text[at][:-1]) | (a[at][1:] != (a + n)[at][:-1])
+            first, last = at[new], at[np.append(np.flatnonzero(new)[1:], len(at)) - 1]
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(len(first), pa.int64()), pa.array(doc[first]), pa.array(a[first]), pa.array((a + n)[last] + LENGTH - 1)],
+                names=["bucket", "doc_id", "place", "end"],
+            )
+
+
 _SEGMENTS = "bucket long, doc_id long, place long, bytes binary"
 
 
@@ -106,40 +156,38 @@ def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for part in W.slices(batch, "text"):
             data, offsets = W.text_bytes(part.column(1))
-            zones = part.column(2)
-            counts = np.diff(zones.offsets.to_numpy())
-            flat = zones.flatten()
-            place, key = flat.field("place").to_numpy(), flat.field("bucket")
-            begin = np.repeat(offsets[:-1], counts) + (place >> 16)
-            pieces, cuts = _gather(data, begin, (place >> 8 & 255) + LENGTH - 1)
+            row, place, key = _zones(part.column(2))
+            pieces, cuts = _gather(data, offsets[row] + (place >> 16), (place >> 8 & 255) + LENGTH - 1)
             yield pa.RecordBatch.from_arrays(
-                [key, part.column(0).take(pa.array(np.repeat(np.arange(len(part)), counts))), pa.array(place), _binary(pieces, cuts)],
+                [pa.array(key), part.column(0).take(pa.array(row)), pa.array(place), _binary(pieces, cuts)],
                 names=["bucket", "doc_id", "place", "bytes"],
             )
 
 
-def _each_suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments of hot buckets, cut into single strings; each is a segment with one start."""
+def _single_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two hashes of each string of the given segments, and where it starts."""
     for batch in batches:
-        for at in range(0, len(batch), 4096):
-            part = batch.slice(at, 4096)
-            data, offsets = W.text_bytes(part.column(3))
-            place = part.column(2).to_numpy()
+        for part in W.slices(batch, "text"):
+            data, offsets = W.text_bytes(part.column(1))
+            row, place, _ = _zones(part.column(2))
             n = place >> 8 & 255
-            row = np.repeat(np.arange(len(part)), n)
-            i = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            pieces, cuts = _gather(data, offsets[row] + i, np.full(len(row), LENGTH))
-            key = np.zeros(len(row), np.uint64)
-            table = pieces.reshape(-1, LENGTH)
-            for k in range(LENGTH):
-                key = key * _STEPS[0] + _SPREAD[table[:, k]]
+            of = np.repeat(np.arange(len(row)), n)
+            begin = (place[of] >> 16) + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            start, size = offsets[row[of]] + begin, np.full(len(of), LENGTH)
+            back = _hashes(data[::-1], len(data) - start - LENGTH, size)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(W.mix(key).view(np.int64)), part.column(1).take(pa.array(row)),
-                 pa.array(((place[row] >> 16) + i) << 16 | 1 << 8), _binary(pieces, cuts)],
-                names=["bucket", "doc_id", "place", "bytes"],
+                [pa.array(_hashes(data, start, size).view(np.int64)), pa.array(back.view(np.int64)),
+                 part.column(0).take(pa.array(row[of])), pa.array(begin)],
+                names=["one", "two", "doc_id", "begin"],
             )
 
 
+def _zones(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place and bucket of each segment."""
+    counts, flat = np.diff(lists.offsets.to_numpy()), lists.flatten()
+    return np.repeat(np.arange(len(lists)), counts), flat.field("place").to_numpy(), flat.field("bucket").to_numpy()
+
+
 _NEXT = np.array([min((c - r) % PERIOD for c in COVER) for r in range(PERIOD)])  # to the next cover residue
 
 
@@ -191,9 +239,8 @@ def _runs(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     row, start = row[order], start[order]
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
-    begins = np.flatnonzero(new)
-    ends = np.concatenate([begins[1:], [len(row)]]) - 1
-    return row[begins], start[begins], start[ends]
+    ends = np.append(new[1:], True) if len(row) else new
+    return row[new], start[new], start[ends]
 
 
 def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,59 +309,48 @@ def _cut(whole_characters: bool):
     return run
 
 
-def _spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _spans(docs: DataFrame, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Spans ``doc_id, begin, end`` of repeated bytes (they may overlap), the texts they are in, and whole copies."""
-    digests = docs.select("doc_id", F.sha2("text", 256).alias("digest"), F.octet_length("text").alias("n_bytes"))
-    digests = stage(digests.where(F.col("n_bytes") >= LENGTH), "digests")
+    digests = docs.select("doc_id", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"))
+    digests = digests.where(F.col("n_bytes") >= LENGTH)
     firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = digests.join(firsts, "digest").where("doc_id <> first").select("doc_id", "n_bytes")
-    copies = stage(copies, "copies")
-
-    anchors = stage(docs.mapInArrow(_find_anchors, "bucket long, doc_id long, place long"), "anchors")
-    shared = anchors.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    zones = anchors.join(shared, "bucket").groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "place")).alias("zones"))
-    zones = stage(zones.join(copies, "doc_id", "left_anti"), "zones")
-    release(anchors, digests)
-    texts = stage(docs.join(zones, "doc_id"), "texts")
-    release(zones)
-    segments = stage(texts.mapInArrow(_cut_segments, _SEGMENTS).withColumn("content", F.xxhash64("bytes")), "segments")
-
-    keys = ["bucket", "content"]
-    earliest = F.min(F.struct("doc_id", F.shiftright("place", 16).alias("at"), "place", "bytes")).alias("first")
-    reduced = stage(segments.groupBy(*keys).agg(earliest).select(*keys, "first.*"), "reduced")
-    hot = reduced.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("bucket")
-    hot = stage(hot, "hot")
-    single = segments.join(hot, "bucket", "left_semi").select("bucket", "doc_id", "place", "bytes")
-    single = single.mapInArrow(_each_suffix, _SEGMENTS).withColumn("content", F.xxhash64("bytes"))
-    single_first = single.groupBy(*keys).agg(F.min(F.struct("doc_id", F.shiftright("place", 16).alias("at"))).alias("first"))
-    cold = reduced.join(hot, "bucket", "left_anti")
-    sorted_ = (
-        cold.select("bucket", "doc_id", "place", "bytes")
-        .repartition("bucket").sortWithinPartitions("bucket")
-        .mapInArrow(_sort_buckets, "doc_id long, begin long, end long")
-    )
-    occurrences = segments.select(*keys, "doc_id", "place").join(hot, "bucket", "left_anti").join(
-        cold.select(*keys, F.struct("doc_id", "at").alias("first")), keys
+    copies = stage(digests.join(firsts, "digest").where("doc_id <> first").select("doc_id", "n_bytes"), "copies")
+    docs = docs.join(copies.select("doc_id"), "doc_id", "left_anti")
+
+    found = stage(docs.mapInArrow(_find_anchors, _FOUND), "anchors")
+    anchors = found.where("bucket is not null").select("bucket", "doc_id", "place")
+    shared = anchors.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    zones = anchors.join(shared.select("bucket", (F.col("n") > hot).alias("hot")), "bucket")
+    zones = stage(zones.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "place", "hot")).alias("zones")), "zones")
+    nearby = stage(found.where("bucket is null").select("doc_id", F.col("place").alias("begin"), "end"), "spans")
+    release(found)
+    cold = zones.select("doc_id", F.filter("zones", lambda z: ~z["hot"]).alias("zones"))
+    segments = docs.join(cold, "doc_id").select("doc_id", "text", "zones").mapInArrow(_cut_segments, _SEGMENTS)
+    sorted_ = stage(
+        segments.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sort_buckets, "doc_id long, begin long, end long"),
+        "spans",
     )
-    again = occurrences.unionByName(single.select(*keys, "doc_id", "place").join(single_first, keys))
-    at = F.shiftright("place", 16)
-    later = again.where((F.col("doc_id") != F.col("first.doc_id")) | (at != F.col("first.at"))).select(
-        "doc_id", at.alias("begin"), (at + F.shiftright("place", 8).bitwiseAND(255) + LENGTH - 1).alias("end")
-    )
-    return sorted_.unionByName(later), texts.drop("zones"), copies
-
-
-def remove_repeats(docs: DataFrame, whole_characters: bool = False) -> DataFrame:
+    spans = sorted_.unionByName(nearby)
+    warm = zones.select("doc_id", F.filter("zones", lambda z: z["hot"]).alias("zones")).where(F.size("zones") > 0)
+    if warm.limit(1).count():
+        single = docs.join(warm, "doc_id").select("doc_id", "text", "zones")
+        single = stage(single.mapInArrow(_single_strings, "one long, two long, doc_id long, begin long"), "strings")
+        first = single.groupBy("one", "two").agg(F.min(F.struct("doc_id", "begin")).alias("first"))
+        later = single.join(first, ["one", "two"]).where(F.struct("doc_id", "begin") != F.col("first"))
+        spans = spans.unionByName(later.select("doc_id", "begin", (F.col("begin") + LENGTH).alias("end")))
+    return spans, docs, copies
+
+
+def remove_repeats(docs: DataFrame, whole_characters: bool = False, hot: int = HOT) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (bytes) of every document that loses something.
 
     With ``whole_characters`` a multi-byte character goes only if all its bytes are repeated, so that what
     is kept stays valid UTF-8.
     """
-    spans, texts, copies = _spans(one_text_per_id(docs))
+    spans, texts, copies = _spans(one_text_per_id(docs), hot)
     merged = spans.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     cut = texts.join(merged, "doc_id").mapInArrow(
         _cut(whole_characters), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     )
-    long = F.col("n_bytes").cast("long")
-    whole = copies.select("doc_id", long.alias("n_bytes"), long.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"))
+    whole = copies.select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"))
     return cut.where("n_removed > 0").unionByName(whole)
