@@ -129,6 +129,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
     if not sample:
         return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), "id", F.lit(0.0).alias("score")).limit(0)
+    rows = rows.withColumn("vector", F.col("vector").cast("array<double>"))
     norm = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
     largest = float(rows.agg(F.max(norm)).first()[0]) ** 0.5
     fitted = _augmented(np.array([r.vector for r in sample]), largest)

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..sources.files import read_table
 from .near_dedup import near_duplicates
+from .neighbours import nearest
 from .packing import pack
 from .secret_spans import ALLOWED, CLASSES, KINDS, WINDOW, find_secrets, joined
 from .staging import one_text_per_id
 from .suffix_dedup import remove_repeats
+from .vector_dedup import near_duplicate_vectors
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,11 +53,23 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = nearest(read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op10_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"), cosine=0.9)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": op5_secret_scan,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
+    "op10_vector_near_dedup": op10_vector_near_dedup,
 }
 
 

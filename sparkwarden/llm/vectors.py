@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 
 def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
-    """``id, vector`` (doubles) of the rows that can take part.
+    """``id, vector`` of the rows that can take part.
 
     Rows without an id, and vectors that are null, empty, zero or hold null or non-finite components take
     no part, nor do vectors of another length than most have (the smaller length, if two are equally
     frequent).  Of rows that repeat an id the smallest vector stands.
     """
     v = F.col("vector")
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("vector")).where(
+    kind = vectors.schema[column].dataType.simpleString()
+    kept = F.col(column) if kind == "array<float>" else F.col(column).cast("array<double>")
+    rows = vectors.select(F.col(key).cast("long").alias("id"), kept.alias("vector")).where(
         F.col("id").isNotNull() & v.isNotNull()
         & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists(v, lambda x: x != 0)
@@ -30,8 +32,8 @@ def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def matrix(lists: pa.Array) -> np.ndarray:
-    """One row per vector; all have the same length."""
-    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    """One row of doubles per vector; all have the same length."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(lists), -1) if len(lists) else np.zeros((0, 1))
 
 
