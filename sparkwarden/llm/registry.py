@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import read_table
-from . import toxicity
+from . import quality, toxicity
 from .near_dedup import near_duplicates
 from .neighbours import nearest
 from .packing import pack
@@ -31,6 +31,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the same rows as op1; the others show held-out accuracy."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    known = labels.where(~_held_out()).select("doc_id", F.col("quality").alias("label"))
+    return quality.classify(docs, known).withColumn("held_out", _held_out())
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(read_table(spark, sf_dir, "documents"))
 
@@ -79,6 +86,7 @@ def op10_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_quality_cotraining": op2_quality_cotraining,
     "op5_secret_scan": op5_secret_scan,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
