@@ -2,7 +2,8 @@
 
 The *content* view sees only the text: shares of symbols, blanks, digits and capitals, repetition, shape of words
 and lines.  The *metadata* view sees only source, language, length and number of lines.  Either view cuts each of
-its features into bins and adds up log odds of the bins (both are naive Bayes classifiers on counts).
+its features into bins and adds up log odds of the bins, weighted by feature (naive Bayes on counts, calibrated
+by a logistic regression).
 
 Each of ``ROUNDS`` rounds counts bins over all rows that are labelled, or that the other view is sure about (its calibrated
 probability is beyond ``SURE``); so confident pseudo-labels go from view to view.  Counting is one
@@ -56,8 +57,9 @@ def content_features(texts: pa.Array) -> np.ndarray:
     def total(mask: np.ndarray) -> np.ndarray:
         return np.diff(np.concatenate([[0], np.cumsum(mask)])[offsets])
 
-    def share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.clip(a / np.maximum(b, 1), 0, 1)
+    def share(a: np.ndarray, b: np.ndarray, usual: float = 0.0, weight: float = 40.0) -> np.ndarray:
+        """A share, drawn towards its usual value where there is little to judge by."""
+        return np.clip((a + weight * usual) / (b + weight), 0, 1)
 
     hashes, words = W.words(data, offsets)
     text = np.repeat(np.arange(len(n)), words)
@@ -75,11 +77,11 @@ def content_features(texts: pa.Array) -> np.ndarray:
     long_words = _stretches(~W._BLANK[data], offsets, 24, np.greater)
     short_lines = _stretches(~_LINE[data], offsets, 24, np.less)
     return np.column_stack([
-        share(symbols, n), share(total(_BAR[data]), n), share(blanks, n), share(total(_DIGITS[data]), n),
-        share(total(_CAPITALS[data]), n), share(total(_LETTERS[data]), n), share(total(_MARKS[data]), words),
-        share(ink, 20 * words), share(distinct, words) ** np.clip(np.log10(np.maximum(words, 10)), 1, 3) ** -1,
-        share(repeated, words), share(long_words, words), np.clip(np.log10(n / lines + 1) / 5, 0, 1),
-        share(short_lines, lines), share(symbols, 4 * words),
+        share(symbols, n), share(total(_BAR[data]), n), share(blanks, n, 0.16), share(total(_DIGITS[data]), n),
+        share(total(_CAPITALS[data]), n, 0.03), share(total(_LETTERS[data]), n, 0.8), share(total(_MARKS[data]), words, 0.15, 10),
+        share(ink, 20 * words, 0.25, 200), share(distinct, words, 0.9, 10), share(repeated, words, 0, 10),
+        share(long_words, words, 0, 10), np.clip(np.log10((n + 100) / (lines + 1)) / 5, 0, 1),
+        share(short_lines, lines, 0.2, 5), share(symbols, 4 * words, 0, 40),
     ])
 
 
@@ -97,7 +99,7 @@ def _stretches(mask: np.ndarray, offsets: np.ndarray, size: int, test) -> np.nda
 
 def _bins(x: np.ndarray) -> np.ndarray:
     """Finer bins near 0, where shares of rare characters lie."""
-    return np.minimum((np.sqrt(x) * 24).astype(np.int64), 23)
+    return np.minimum((np.sqrt(x) * 20).astype(np.int64), 19)
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,20 +135,19 @@ def describe(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class View:
-    """Log odds of each bin of each feature, and the calibration of their sum."""
+    """Log odds of each bin of each feature, and the weights that calibrate their sum."""
 
     odds: np.ndarray
-    slope: float = 1.0
-    intercept: float = 0.0
+    weights: np.ndarray | None = None
 
-    def raw(self, bins: np.ndarray) -> np.ndarray:
-        return self.odds[np.arange(bins.shape[1]), bins].sum(1)
+    def evidence(self, bins: np.ndarray) -> np.ndarray:
+        return self.odds[np.arange(bins.shape[1]), bins]
 
     def logit(self, bins: np.ndarray) -> np.ndarray:
-        return self.slope * self.raw(bins) + self.intercept
+        return self.evidence(bins) @ self.weights[:-1] + self.weights[-1]
 
     def calibrate(self, bins: np.ndarray, y: np.ndarray) -> None:
-        self.slope, self.intercept = fit_logistic(self.raw(bins)[:, None], y, ridge=1e-4)
+        self.weights = fit_logistic(self.evidence(bins), y, ridge=1e-3)
 
 
 @dataclass
