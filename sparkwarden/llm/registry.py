@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import read_table
-from . import quality, toxicity
+from . import pieces, quality, toxicity
 from .near_dedup import near_duplicates
 from .neighbours import nearest
 from .packing import pack
@@ -38,6 +38,22 @@ def op2_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, known).withColumn("held_out", _held_out())
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and whether decoding them gives the text again."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    # The text goes along as its digest: the encoder hands on only what it needs.
+    docs = read_table(spark, sf_dir, "documents")
+    texts = docs.select("doc_id", F.sha2(F.translate(F.coalesce("text", F.lit("")), pieces.SPACE, " "), 256).alias("sha256"))
+    done = pieces.decode(pieces.encode(docs, path), path).select(
+        "doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+    return done.join(texts, "doc_id").select(
+        "doc_id", "n_ids", "ids_crc32", "decoded_sha256", (F.col("decoded_sha256") == F.col("sha256")).alias("round_trip")
+    )
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(read_table(spark, sf_dir, "documents"))
 
@@ -87,6 +103,7 @@ def op10_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_cotraining": op2_quality_cotraining,
+    "op3_sentencepiece": op3_sentencepiece,
     "op5_secret_scan": op5_secret_scan,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
