@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.files import read_table
 from . import pieces, quality, toxicity
+from .lm_scores import cross_entropy_difference
 from .near_dedup import near_duplicates
 from .neighbours import nearest
 from .packing import pack
@@ -54,6 +55,11 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is the text of the benchmark, the background all documents."""
+    return cross_entropy_difference(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(read_table(spark, sf_dir, "documents"))
 
@@ -104,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_cotraining": op2_quality_cotraining,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_lm_scores": op4_lm_scores,
     "op5_secret_scan": op5_secret_scan,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,

@@ -7,7 +7,7 @@ reads can't be deleted here; everything else is released as soon as the next tab
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import shared_folder
@@ -29,9 +29,9 @@ def release(*staged: DataFrame) -> None:
     """
     for df in staged:
         spark = df.sparkSession
-        spark._jvm.System.gc()
         path = spark._jvm.org.apache.hadoop.fs.Path(df._staged_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    SparkSession.active()._jvm.System.gc()
 
 
 def one_text_per_id(docs: DataFrame) -> DataFrame:
