@@ -128,25 +128,41 @@ def _entropy_spans(text: Column, window: int, allowed: Sequence[str]) -> Column:
     )
 
 
+def base_spans(text: Column) -> Column:
+    """Spans of the patterns as ``start, nth, end, kind``, in order of start and kind."""
+    assigned = F.filter(_found(text, ASSIGN, 2), lambda m: F.char_length(m["value"]) >= ASSIGN_LEAST)
+    return F.array_sort(
+        F.concat(_spans(assigned, "assign"), _spans(_found(text, ACCESS), "access"), _spans(_found(text, HEX), "hex"))
+    )
+
+
 def find_secrets(docs: DataFrame, allowed: Sequence[str] = ALLOWED) -> DataFrame:
     """``doc_id, text, base, spans``: arrays of ``start, nth, end, kind``, in order of start and kind.
 
     ``base`` holds the spans of the patterns, ``spans`` those and the entropy spans.
     """
     text = F.coalesce("text", F.lit(""))
-    assigned = F.filter(_found(text, ASSIGN, 2), lambda m: F.char_length(m["value"]) >= ASSIGN_LEAST)
-    base = F.concat(_spans(assigned, "assign"), _spans(_found(text, ACCESS), "access"), _spans(_found(text, HEX), "hex"))
-    found = docs.select("doc_id", "text", F.array_sort(base).alias("base"), _entropy_spans(text, WINDOW, allowed).alias("more"))
+    found = docs.select("doc_id", "text", base_spans(text).alias("base"), _entropy_spans(text, WINDOW, allowed).alias("more"))
     return found.select("doc_id", "text", "base", F.array_sort(F.concat("base", "more")).alias("spans"))
 
 
+def mask_secrets(docs: DataFrame, mask: str = "[SECRET]", allowed: Sequence[str] = ALLOWED) -> DataFrame:
+    """The same rows and columns; in ``text`` each span, or run of overlapping spans, is replaced by the mask.
+
+    Null texts stay null.
+    """
+    text = F.coalesce("text", F.lit(""))
+    spans = docs.withColumn("__base", base_spans(text)).withColumn("__more", _entropy_spans(text, WINDOW, allowed))
+    spans = spans.withColumn("__spans", F.array_sort(F.concat("__base", "__more")))
+    return spans.withColumn("text", _masked(F.col("text"), F.col("__spans"), mask)).drop("__base", "__more", "__spans")
+
+
 def joined(spans: Column) -> Column:
     """Spans as ``kind:start:end``, joined by commas."""
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
 
 
-def masked(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
-    """The text with every span, or run of overlapping spans, replaced by a mask."""
+def _masked(text: Column, spans: Column, mask: str) -> Column:
     end = F.char_length(text)
     done = F.aggregate(
         spans,
