@@ -292,12 +292,16 @@ class Model:
         return sigmoid(x @ self.weights[:-1] + self.weights[-1])
 
 
-def fit(texts: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from ``text, toxic`` (0 or 1) and an id column ``doc_id`` that only picks the sample."""
-    rows = texts.select("doc_id", "text", "toxic").where("toxic in (0, 1) and text is not null")
-    ids = rows.select("doc_id", "toxic")
-    kept = [ids.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id") for t in (0, 1)]
-    picked = stage(rows.join(kept[0].unionByName(kept[1]).distinct(), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")), "labelled")
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """A model from ``doc_id, text`` and labels ``doc_id, toxic`` (0 or 1); ids only pick the sample.
+
+    The sample is drawn from the labels, so at most twice ``sample`` ids are broadcast to the texts.
+    """
+    known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("id"))
+    known = known.agg(F.max("toxic").cast("int").alias("toxic"))
+    drawn = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("id"), "id").limit(sample) for t in (0, 1)]
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text is not null")
+    picked = stage(texts.join(F.broadcast(drawn[0].unionByName(drawn[1])), "id").select("text", "toxic"), "labelled")
     totals = {r.toxic: r.n for r in picked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     clean, toxic = totals.get(0, 0), totals.get(1, 0)
     counted = picked.mapInArrow(_prefix_counts, "term string, clean long, toxic long").groupBy("term").agg(
