@@ -83,11 +83,14 @@ def metadata_json(number: str) -> str:
            when {number} % 3 = 1 then ',"GPSLatitude":null,"GPSLongitude":null' else '' end,
       case when {number} % 4 = 0 then concat(',"SerialNumber":"SN', {n}, '00"')
            when {number} % 4 = 1 then ',"SerialNumber":"","InternalSerialNumber":"INT9"'
-           when {number} % 4 = 2 then concat(',"InternalSerialNumber":"I', {n}, '"') else '' end,
-      case when {number} % 5 = 0 then concat(',"OwnerName":"Owner ', {n}, '"') else '' end,
+           when {number} % 4 = 2 then concat(',"InternalSerialNumber":"I', {n}, '"')
+           when {number} % 8 = 3 then ',"SerialNumber":"0"' else ',"SerialNumber":0.0' end,
+      case when {number} % 5 = 0 then concat(',"OwnerName":"Owner ', {n}, '"')
+           when {number} % 5 = 1 then ',"OwnerName":"false"' when {number} % 5 = 2 then ',"OwnerName":-0'
+           when {number} % 5 = 3 then ',"OwnerName":false' else '' end,
       case when {number} % 2 = 0 then ',"Model":"Cam A"' else ',"Model":null' end,
       case when {number} % 7 = 0 then ',"CreateDate":"2024:01:01 00:00:00"' else '' end,
-      ',"Software":"17.0.1"}}}}]') end)"""
+      ',"Software":"17.0.1"}}}}]', case when {number} % 11 = 2 then ' junk' else '' end) end)"""
 
 
 DERIVED = {

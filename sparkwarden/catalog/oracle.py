@@ -159,8 +159,16 @@ def json(name: str) -> str:
     return f"(case when json_valid(meta_json) then json_extract_string(meta_json, '$[0].{name}') end)"
 
 
-def falsy(value: str) -> str:
-    return f"(case when {value} not in ('', '0', 'false') then {value} end)"
+def filled(*names: str) -> str:
+    """The first field that is not null, unless it is an empty text, a number equal to 0 or false."""
+    branches = ""
+    for name in names:
+        kind = f"(case when json_valid(meta_json) then json_type(meta_json, '$[0].{name}') end)"
+        branches += (
+            f" when {kind} = 'VARCHAR' then nullif({json(name)}, '') when {kind} = 'BOOLEAN' then nullif({json(name)}, 'false')"
+            f" when {kind} <> 'NULL' then case when try_cast({json(name)} as double) <> 0 then {json(name)} end"
+        )
+    return f"(case{branches} end)"
 
 
 def images_cte(source: str, key: str) -> tuple[str, str]:
@@ -168,10 +176,9 @@ def images_cte(source: str, key: str) -> tuple[str, str]:
     has = f"({lat} is not null and {lng} is not null)"
     return ("images", f"""select {key}, {has} has_gps,
         case when {has} then {lat} end gps_lat, case when {has} then {lng} end gps_lng,
-        {falsy(f"coalesce({json('SerialNumber')}, {json('InternalSerialNumber')})")} device_serial,
-        {falsy(json('OwnerName'))} owner_name, {falsy(json('Model'))} camera_model,
-        {falsy(json('Software'))} software,
-        {falsy(f"coalesce({json('DateTimeOriginal')}, {json('CreateDate')})")} taken_at from {source}""")
+        {filled('SerialNumber', 'InternalSerialNumber')} device_serial,
+        {filled('OwnerName')} owner_name, {filled('Model')} camera_model, {filled('Software')} software,
+        {filled('DateTimeOriginal', 'CreateDate')} taken_at from {source}""")
 
 
 def image_findings(key: str, exact: bool) -> str:

@@ -12,30 +12,55 @@ from ..functions import redact
 from ..model import SCANNER_IMAGE
 
 
-def _field(record: Column, name: str) -> Column:
-    return F.get_json_object(record, f"$[0].{name}")
+_RECORD = "__record"
 
 
-def _filled(value: Column) -> Column:
-    """NULL for what counts as absent: empty text, zero, false."""
-    return F.when(~value.isin("", "0", "false"), value)
+def _whole_json(text: Column) -> Column:
+    """``{"all": …}`` of a text that is JSON from its first to its last character, else NULL.
+
+    The parser stops after the first value.  Put into brackets and into braces, a text with anything behind
+    its first value fails in at least one of the two.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return F.when(listed.isNotNull(), F.try_parse_json(F.concat(F.lit('{"all":'), text, F.lit("}"))))
+
+
+def _field(name: str) -> Column:
+    """A field of the first record as text; NULL if it is missing or null."""
+    return F.try_variant_get(_RECORD, f"$.all[0].{name}", "string")
+
+
+def _filled(*names: str) -> Column:
+    """The first field that is there, or NULL if it counts as absent: empty text, the number 0, false.
+
+    Texts that only look like a number or false are values.
+    """
+    fields = [F.try_variant_get(_RECORD, f"$.all[0].{name}", "variant") for name in names]
+    value = F.coalesce(*[F.when(_field(name).isNotNull(), field) for name, field in zip(names, fields)])
+    text = F.try_variant_get(value, "$", "string")
+    absent = F.when(F.schema_of_variant(value) == "STRING", text == "").otherwise(
+        (text == "false") | (F.try_variant_get(value, "$", "double") == 0)
+    )
+    return F.when(~F.coalesce(absent, F.lit(False)), text)
 
 
 def parse_metadata(df: DataFrame, keys: Sequence[str], record: str = "meta_json") -> DataFrame:
-    """The first record's fields; an unreadable or empty record gives a row without values."""
-    r = F.col(record)
-    lat, lng = _field(r, "GPSLatitude"), _field(r, "GPSLongitude")
+    """The first record's fields; an unreadable or empty record gives a row without values.
+
+    A record is read as a whole or not at all: whatever follows the JSON makes it unreadable.
+    """
+    lat, lng = _field("GPSLatitude"), _field("GPSLongitude")
     has_gps = lat.isNotNull() & lng.isNotNull()
-    return df.select(
+    return df.withColumn(_RECORD, _whole_json(F.col(record))).select(
         *keys,
         has_gps.alias("has_gps"),
         F.when(has_gps, lat).alias("gps_lat"),
         F.when(has_gps, lng).alias("gps_lng"),
-        _filled(F.coalesce(_field(r, "SerialNumber"), _field(r, "InternalSerialNumber"))).alias("device_serial"),
-        _filled(_field(r, "OwnerName")).alias("owner_name"),
-        _filled(_field(r, "Model")).alias("camera_model"),
-        _filled(_field(r, "Software")).alias("software"),
-        _filled(F.coalesce(_field(r, "DateTimeOriginal"), _field(r, "CreateDate"))).alias("taken_at"),
+        _filled("SerialNumber", "InternalSerialNumber").alias("device_serial"),
+        _filled("OwnerName").alias("owner_name"),
+        _filled("Model").alias("camera_model"),
+        _filled("Software").alias("software"),
+        _filled("DateTimeOriginal", "CreateDate").alias("taken_at"),
     )
 
 

@@ -61,8 +61,7 @@ def is_pii_false_positive(match: Column) -> Column:
     """Placeholder addresses, version strings behind an ``@`` and the three reserved hosts."""
     placeholder = reduce(lambda a, b: a | b, [match.contains(f) for f in V.PII_IGNORED_FRAGMENTS])
     version = match.contains("@") & match.rlike(V.PII_VERSION_PATTERN)
-    bare_at = match.startswith("@") & ~match.rlike(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.")
-    return placeholder | version | bare_at | match.isin(*V.PII_IGNORED_VALUES)
+    return placeholder | version | match.isin(*V.PII_IGNORED_VALUES)
 
 
 def is_low_entropy(match: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
+from ..functions.regex import BLANKS
 from ..functions.text import severity_rank
 from ..model import ORDER_COLUMNS
 from ..operators.skew import first_per_key
@@ -243,9 +244,9 @@ def latest_report(names: DataFrame, name: str = "name") -> DataFrame:
 
 
 def summary_of(report: Column) -> Column:
-    """From the summary heading to the next heading or the end, trimmed."""
+    """From the summary heading to the next heading or the end, trimmed of Unicode blanks."""
     found = F.regexp_extract(report, r"(?s)(## Summary.*?)(?=\n## |\n?\z)", 1)
-    trimmed = F.regexp_replace(found, r"\s+\z", "")
+    trimmed = F.regexp_replace(found, rf"[{BLANKS}]+\z", "")
     return F.when(trimmed == "", F.lit(NO_SUMMARY)).otherwise(trimmed)
 
 

@@ -8,13 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import fixed_values as V
-
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which every executor can reach.
 
-    Only a local session without that setting gets a temporary folder of this machine.
+    Only a local session without that setting gets a temporary folder of this machine, as in tests; a
+    cluster without it is an error.
     """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
@@ -44,13 +43,16 @@ def write_blobs(blobs: DataFrame, table: str, buckets: int) -> DataFrame:
 
 
 def read_text_files(
-    spark: SparkSession, paths: str | list[str], max_file_bytes: int = V.MAX_FILE_BYTES
+    spark: SparkSession, paths: str | list[str], max_file_bytes: int | None = None
 ) -> DataFrame:
-    """Whole files as ``path, size, text``; bytes that are not UTF-8 are replaced.
+    """Whole files of any size as ``path, size, text``; bytes that are not UTF-8 are replaced.
 
-    The size filter reaches the source, so larger files are listed but never opened.
+    A size filter is for callers who want one: it reaches the source, so larger files are listed but never
+    opened.  ``plans.scan`` has its own limit and lists what it skips.
     """
-    raw = spark.read.format("binaryFile").load(paths).where(F.col("length") <= max_file_bytes)
+    raw = spark.read.format("binaryFile").load(paths)
+    if max_file_bytes is not None:
+        raw = raw.where(F.col("length") <= max_file_bytes)
     return raw.select(
         F.col("path"),
         F.col("length").alias("size"),
@@ -64,7 +66,7 @@ def read_image_records(spark: SparkSession, paths: str | list[str]) -> DataFrame
 
 
 def read_accounts(spark: SparkSession, path: str) -> DataFrame:
-    """Account list from JSON lines, in file order."""
+    """Account list from JSON lines; ``account_ord`` in the file gives the order."""
     schema = (
         "account_id string, user string, enabled boolean, contact_email string, cc_email string, "
         "keywords array<string>, account_ord int"

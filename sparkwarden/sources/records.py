@@ -25,7 +25,8 @@ def normalize_accounts(raw: DataFrame) -> DataFrame:
 
 
 def enabled_accounts(accounts: DataFrame) -> DataFrame:
-    return accounts.where("enabled")
+    """Accounts that are not switched off; a missing mark counts as on."""
+    return accounts.where(F.coalesce("enabled", F.lit(True)))
 
 
 def account_by_id(accounts: DataFrame, account_id: str) -> DataFrame:
@@ -49,10 +50,10 @@ def shape_repos(raw: DataFrame) -> DataFrame:
 
 
 def filter_repos(repos: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
-    if not options.include_forks:
-        repos = repos.where(~F.col("fork"))
-    if not options.include_archived:
-        repos = repos.where(~F.col("archived"))
+    """Without forks and archived repositories; a missing mark counts as no."""
+    for mark, included in (("fork", options.include_forks), ("archived", options.include_archived)):
+        if not included:
+            repos = repos.where(~F.coalesce(mark, F.lit(False)))
     return repos
 
 
