@@ -9,32 +9,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-HOT_KEYS = 500
-TRACKED_KEYS = 2_000
-SKETCHES = 256
 ROWS_PER_SALT = 1_000_000
-MAX_SALTS = 4_096
+#: At most so many keys are split.  A key beyond them has less than this share of the rows, so even on as
+#: many cores it is no more than one core's even part; see ``hot_keys``.
+HOT_KEYS = 10_000
+TRACKED_KEYS = 2 * HOT_KEYS
+SKETCHES = 256
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_salt: int = ROWS_PER_SALT) -> list[tuple[int, int]]:
-    """Hashes of the keys with more than ``rows_per_salt`` rows, with the salts each needs.
+def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_salt: int = ROWS_PER_SALT) -> list[tuple[int, int, int]]:
+    """Hash, rows and salts of each key that has too many rows for one task.
 
-    Frequent-item sketches of fixed size, merged in two steps: no shuffle of keys, at most
-    ``HOT_KEYS`` pairs on the driver.  A key the sketch misses holds a tiny share of the rows.  The
-    list only steers where rows go, never which rows are joined.
+    Too many is more than ``rows_per_salt``, or than an even share of ``HOT_KEYS`` tasks if that is more; so the
+    list can't be longer than ``HOT_KEYS``, whatever the number of rows.  Frequent-item sketches of fixed size,
+    merged in two steps, find the keys: no shuffle of keys.  The list only steers where rows go, never which
+    rows are joined.
     """
     sketches = (
         df.select(F.xxhash64(*keys).alias("h"), (F.spark_partition_id() % SKETCHES).alias("part"))
         .groupBy("part")
-        .agg(F.expr(f"approx_top_k_accumulate(h, {TRACKED_KEYS})").alias("sketch"))
+        .agg(F.expr(f"approx_top_k_accumulate(h, {TRACKED_KEYS})").alias("sketch"), F.count("*").alias("n"))
     )
     # grouped, because combining no sketches at all fails
     merged = sketches.groupBy((F.col("part") * 0).alias("all")).agg(
-        F.expr(f"approx_top_k_combine(sketch, {TRACKED_KEYS})").alias("sketch")
+        F.expr(f"approx_top_k_combine(sketch, {TRACKED_KEYS})").alias("sketch"), F.sum("n").alias("total")
     )
-    top = merged.select(F.expr(f"inline(approx_top_k_estimate(sketch, {HOT_KEYS}))").alias("h", "n"))
-    found = top.where(F.col("n") > rows_per_salt).collect()
-    return [(r.h, min(MAX_SALTS, -(-r.n // rows_per_salt))) for r in found]
+    top = merged.select("total", F.expr(f"inline(approx_top_k_estimate(sketch, {HOT_KEYS}))").alias("h", "n"))
+    limit = F.greatest(F.lit(rows_per_salt), F.ceil(F.col("total") / HOT_KEYS))
+    found = top.where(F.col("n") > limit).select("h", "n", F.ceil(F.col("n") / limit).cast("int").alias("salts"))
+    return [(r.h, r.n, r.salts) for r in found.collect()]
 
 
 def salted_join(
@@ -43,19 +46,29 @@ def salted_join(
 ) -> DataFrame:
     """Inner or left equi-join whose hot left keys are split over salts.
 
-    Rows of ``right`` for a hot key are repeated once per salt; ``spread_on`` are columns that vary
-    within a hot key, hashed so that a repeated task sends each row to the same place.  Without hot
-    keys this is a plain join, and Catalyst broadcasts the right side if its size allows.
-    ``counted`` is a table whose keys are cheaper to count than those of ``left``.
+    Rows of ``right`` for a hot key are repeated once per salt, but never into more rows than the left side has for
+    the key; ``spread_on`` are columns that vary within a hot key, hashed so that a repeated task sends each
+    row to the same place.  Without hot keys this is a plain join, and Catalyst broadcasts the right side if
+    its size allows.  ``counted`` is a table whose keys are cheaper to count than those of ``left``.
     """
     hot = hot_keys(left if counted is None else counted, keys, rows_per_salt)
     if not hot:
         return left.join(right, list(keys), how)
-    n_salts = F.coalesce(
-        F.element_at(F.create_map(*[F.lit(x) for pair in hot for x in pair]), F.xxhash64(*keys)), F.lit(1)
+    # At most HOT_KEYS rows of three numbers, so the broadcasts below are bounded.
+    spark = left.sparkSession
+    table = spark.createDataFrame(hot, "h long, n long, salts int")
+    matches = right.select(F.xxhash64(*keys).alias("h")).join(F.broadcast(table.select("h")), "h")
+    copied = table.join(matches.groupBy("h").agg(F.count("*").alias("m")), "h", "left").select(
+        "h", F.least("salts", F.greatest(F.lit(1), F.floor(F.col("n") / F.coalesce("m", F.lit(1))))).cast("int").alias("salts")
     )
-    salted = left.withColumn("salt", F.pmod(F.xxhash64(*spread_on), n_salts).cast("int"))
-    copies = right.withColumn("salt", F.explode(F.sequence(F.lit(0), n_salts.cast("int") - 1)))
+    salts = F.broadcast(spark.createDataFrame([tuple(r) for r in copied.collect()], "salt_key long, salts int"))
+
+    def with_salts(df: DataFrame) -> DataFrame:
+        return df.withColumn("salt_key", F.xxhash64(*keys)).join(salts, "salt_key", "left").drop("salt_key")
+
+    n_salts = F.coalesce("salts", F.lit(1))
+    salted = with_salts(left).withColumn("salt", F.pmod(F.xxhash64(*spread_on), n_salts).cast("int")).drop("salts")
+    copies = with_salts(right).withColumn("salt", F.explode(F.sequence(F.lit(0), n_salts - 1))).drop("salts")
     return salted.join(copies, [*keys, "salt"], how).drop("salt")
 
 
@@ -79,25 +92,26 @@ def running_totals(
 ) -> DataFrame:
     """Running sums of ``values`` (column -> output name) along a dense ``position`` in each group.
 
-    Two levels: sums inside blocks of positions, plus the running sum over block totals.  Only the
-    block totals of a group, ``block`` times fewer than its rows, meet in one task.
+    Sums inside blocks of positions, plus the running sums over block totals, which are found in the same
+    way; so never more than ``block`` rows of a group meet in one task, however many it has.
     """
-    with_block = df.withColumn("block", F.floor(F.col(position) / block))
-    totals = with_block.groupBy(*group, "block").agg(
-        *[F.sum(c).alias(f"total_{out}") for c, out in values.items()]
-    )
-    before = W.partitionBy(*group).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(
-        *group,
-        "block",
-        *[
-            F.coalesce(F.sum(f"total_{out}").over(before), F.lit(0)).alias(f"offset_{out}")
-            for out in values.values()
-        ],
+    whole = {c: f"whole_{out}" for c, out in values.items()}
+    at = f"{position}_block"
+    blocked = df.withColumn(at, F.floor(F.col(position) / block))
+    totals = blocked.groupBy(*group, at).agg(*[F.sum(c).alias(total) for c, total in whole.items()])
+    farthest = totals.agg(F.max(at)).first()[0] or 0
+    through = {total: f"through_{total}" for total in whole.values()}
+    if farthest >= block:
+        running = running_totals(totals, group, at, through, block)
+    else:
+        along = W.partitionBy(*group).orderBy(at).rowsBetween(W.unboundedPreceding, 0)
+        running = totals.select("*", *[F.sum(total).over(along).alias(out) for total, out in through.items()])
+    offsets = running.select(
+        *group, at,
+        *[(F.col(through[whole[c]]) - F.col(whole[c])).alias(f"offset_{out}") for c, out in values.items()],
     )
-    inside = W.partitionBy(*group, "block").orderBy(position).rowsBetween(W.unboundedPreceding, 0)
-    sums = with_block.join(offsets, [*group, "block"])
-    return sums.select(
+    inside = W.partitionBy(*group, at).orderBy(position).rowsBetween(W.unboundedPreceding, 0)
+    return blocked.join(offsets, [*group, at]).select(
         *df.columns,
         *[
             (F.col(f"offset_{out}") + F.sum(c).over(inside)).cast(T.LongType()).alias(out)
