@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .staging import release, stage
+from .staging import free_shuffles, stage
 
 BATCH = 2_000_000
 RANGE_BYTES = 16 << 20
@@ -193,7 +193,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     vocabulary = words.agg(F.approx_count_distinct("word", 0.01)).first()[0]
     asked = read.select("batch", "target", "counts", "words", "tokens").mapInArrow(_ask(ranges), _ASKED)
     told = stage(asked.groupBy("range").applyInArrow(_answer, _TOLD), "counts")
-    release()
+    free_shuffles(docs.sparkSession)
     scored = (
         read.where(~F.col("target")).groupBy("batch")
         .cogroup(told.groupBy("batch"))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .staging import one_text_per_id, release, stage
+from .staging import free_shuffles, one_text_per_id, release, stage
 
 ROWS, BANDS = 6, 40
 #: Members of a bucket that are compared together in one task.
@@ -150,6 +150,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         .select(F.col("doc_id").alias("a"), F.col("hub").alias("b")),
         "links",
     )
+    free_shuffles(docs.sparkSession)
     parts = stage(components(links), "parts")
 
     placed = (

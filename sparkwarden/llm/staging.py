@@ -7,6 +7,8 @@ reads can't be deleted here; everything else is released as soon as the next tab
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,16 +24,22 @@ def stage(df: DataFrame, purpose: str) -> DataFrame:
 
 
 def release(*staged: DataFrame) -> None:
-    """Deletes staged tables that nothing reads any more.
-
-    The shuffle files of finished steps go when the driver's JVM collects its garbage, as the periodic
-    cleaning of Spark does it too; that is asked for here.
-    """
+    """Deletes staged tables that nothing reads any more."""
     for df in staged:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df._staged_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    SparkSession.active()._jvm.System.gc()
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets the shuffle files of finished steps go before the next large one.
+
+    Spark deletes them once the driver's JVM has collected what refers to them, which it makes sure of by a
+    periodic collection; that is asked for here.  What a running or later step needs is still referred to.
+    """
+    for _ in range(2):
+        time.sleep(0.3)  # until listeners have let go of the last step
+        spark._jvm.System.gc()
 
 
 def one_text_per_id(docs: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .staging import one_text_per_id, release, stage
+from .staging import free_shuffles, one_text_per_id, release, stage
 
 LENGTH, GRAM = 100, 32
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)  # a perfect difference set: each difference modulo 31 occurs once
@@ -324,6 +324,7 @@ def _spans(docs: DataFrame, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     zones = stage(zones.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "place", "hot")).alias("zones")), "zones")
     nearby = stage(found.where("bucket is null").select("doc_id", F.col("place").alias("begin"), "end"), "spans")
     release(found)
+    free_shuffles(docs.sparkSession)
     cold = zones.select("doc_id", F.filter("zones", lambda z: ~z["hot"]).alias("zones"))
     segments = docs.join(cold, "doc_id").select("doc_id", "text", "zones").mapInArrow(_cut_segments, _SEGMENTS)
     sorted_ = stage(
@@ -338,6 +339,7 @@ def _spans(docs: DataFrame, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         first = single.groupBy("one", "two").agg(F.min(F.struct("doc_id", "begin")).alias("first"))
         later = single.join(first, ["one", "two"]).where(F.struct("doc_id", "begin") != F.col("first"))
         spans = spans.unionByName(later.select("doc_id", "begin", (F.col("begin") + LENGTH).alias("end")))
+    free_shuffles(docs.sparkSession)
     return spans, docs, copies
 
 
