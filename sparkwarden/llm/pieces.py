@@ -2,7 +2,8 @@
 
 The model is a BPE model with identity normalization, a space put before every text and byte fallback.  In its
 vocabulary a space stands only at the start of a piece, so a text falls into units (spaces and what follows up
-to the next space) that are encoded on their own, each distinct one once.
+to the next space) that are encoded on their own, each distinct one once; a unit is cut further between a letter and
+punctuation that no piece has behind a letter.
 
 1. The new units of a slice of texts are put one after the other, and the suffix array of that text is built by doubling
    as far as the longest piece reaches.
@@ -20,7 +21,9 @@ one by one.  Other columns are not looked at.
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,7 @@ from .tokens import _spread
 
 SPACE = "▁"
 #: Units that one worker remembers; beyond that it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Units beyond this length are relaxed through a heap.
 LONG = 96
 
@@ -68,6 +71,10 @@ class Vocabulary:
         self.names = [names[i] for i in order]
         self.points, self.offsets = _code_points(self.names)
         self.longest = int(np.diff(self.offsets).max())
+        # Punctuation that no piece has right behind a letter: a unit can be cut there.
+        behind = {b for name in self.names for a, b in zip(name, name[1:]) if a.isalpha()}
+        cuts = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in behind)
+        self.cut = rf"(?s)^(?P<word>.*\pL)(?P<rest>[{re.escape(cuts)}].*)$" if cuts else None
         self.flat, self.flat_offsets = np.frombuffer(b"".join(self.text), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in self.text])])
 
     # Encoding of distinct units ------------------------------------------------------------------------------
@@ -83,7 +90,7 @@ class Vocabulary:
         for k in range(each):
             word = word << bits | padded[k : k + len(word)]
         # Suffix array: by the first word, then by doubling.
-        order = np.argsort(word[:n], kind="stable")
+        order = np.argsort(word[:n])
         reach = each
         while True:
             rank = np.zeros(n + max(reach, self.longest) + 1, np.int64)
@@ -94,7 +101,7 @@ class Vocabulary:
             if reach >= self.longest:
                 break
             key = rank[:n] * (n + 2) + rank[reach : reach + n]
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             reach *= 2
         # Pieces in the same words; those with letters that don't occur have no range.
         sizes = np.diff(self.offsets)
@@ -152,10 +159,13 @@ class Vocabulary:
         token = np.full(len(points), -1)
         single = length == 1
         token[start[single]] = self.ids[rank[single]]
-        rank, start, length = rank[~single], start[~single], length[~single]
-        order = np.lexsort((start, rank, unit[start]))
-        rank, start, end = rank[order], start[order], start[order] + length[order]
-        of = unit[start]
+        # In the order of units, ranks and places: the three in one number.
+        rank, start = rank[~single], start[~single]
+        edge = np.sort((unit[start] * len(self.names) + rank) * int(size.max(initial=0) + 1) + start - offsets[unit[start]])
+        edge, start = np.divmod(edge, int(size.max(initial=0) + 1))
+        of, rank = np.divmod(edge, len(self.names))
+        start = start + offsets[of]
+        end = start + np.diff(self.offsets)[rank]
         rank, start, end, of = (x.astype(np.int32) for x in (rank, start, end, of))
         if (size > LONG).any():
             self._relax_long(np.flatnonzero(size > LONG), of, rank, start, end, boundary, token, offsets, size)
@@ -269,25 +279,50 @@ class Codec:
         text = np.repeat(np.arange(len(texts)), np.diff(offsets))[keep]
         pair = spaces[keep] * len(distinct) + code[keep]
         pair, which = np.unique(pair, return_inverse=True)
-        units = [SPACE * (p // len(distinct)) + distinct[p % len(distinct)] for p in pair.tolist()]
-        if len(self.place) + len(units) > REMEMBERED:
+        spaces, run = np.divmod(pair, max(len(distinct), 1))
+        word, rest = self._cut(flat.dictionary)
+        head = [SPACE * k + word[i] for k, i in zip(spaces.tolist(), run.tolist())]
+        units, nth = np.unique(np.array(rest, object)[run], return_inverse=True) if len(run) else (np.array([], object), run)
+        if len(self.place) + len(head) + len(units) > REMEMBERED:
             self._forget()
-        if new := [u for u in units if u not in self.place]:
-            self._learn(new)
-        place = np.fromiter((self.place[u] for u in units), np.int64, len(units))[which]
-        begin, size = self.ends[place], self.ends[place + 1] - self.ends[place]
-        return self.flat[_spread(begin, size)], np.bincount(text, size, minlength=len(texts)).astype(np.int64)
-
-    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        place = np.stack([self._places(head), self._places(units.tolist())[nth]], axis=1)
+        size = self.ends[place + 1] - self.ends[place]
+        known = self.flat[_spread(self.ends[place].ravel(), size.ravel())]  # ids of each distinct run
+        size = size.sum(1)
+        begin = np.cumsum(size) - size
+        return known[_spread(begin[which], size[which])], np.bincount(text, size[which], minlength=len(texts)).astype(np.int64)
+
+    def _cut(self, runs: pa.Array) -> tuple[list[str], list[str]]:
+        """Runs cut before the last punctuation that ends a unit; the second part may be empty."""
+        if self.vocabulary.cut is None:
+            return runs.to_pylist(), [""] * len(runs)
+        split = pc.extract_regex(runs, self.vocabulary.cut)
+        word = pc.coalesce(pc.struct_field(split, "word"), runs)
+        return word.to_pylist(), pc.fill_null(pc.struct_field(split, "rest"), "").to_pylist()
+
+    def _places(self, units: list[str]) -> np.ndarray:
+        place = np.fromiter(map(self.place.get, units, repeat(-1)), np.int64, len(units))
+        if len(new := np.flatnonzero(place < 0)):
+            self._learn(list(dict.fromkeys(units[i] for i in new)))
+            place[new] = [self.place[units[i]] for i in new]
+        return place
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """One text for each number of ids; broken UTF-8 is replaced."""
         v = self.vocabulary
         size = v.flat_offsets[ids + 1] - v.flat_offsets[ids]
-        data = v.flat[_spread(v.flat_offsets[ids], size)].tobytes()
+        data = v.flat[_spread(v.flat_offsets[ids], size)]
         cuts = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
-        out = []
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            text = data[a:b].decode("utf-8", "replace")
-            out.append(text[1:] if text.startswith(" ") else text)
-        return out
+        keep = np.ones(len(data), bool)  # all but the space put before each text
+        begin = cuts[:-1][np.diff(cuts) > 0]
+        keep[begin] = data[begin] != 32
+        cuts = np.concatenate([[0], np.cumsum(keep)])[cuts]
+        data = data[keep]
+        texts = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(cuts), pa.py_buffer(data)])
+        try:
+            return texts.cast(pa.large_string())
+        except pa.ArrowInvalid:
+            return pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.large_string())
 
 
 _CODECS: dict[str, Codec] = {}
@@ -300,34 +335,39 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id, n_ids, ids`` (little-endian unsigned 32-bit numbers) of every row with an id."""
+def encode(docs: DataFrame, path: str, *more: str) -> DataFrame:
+    """``doc_id, n_ids, ids`` (little-endian unsigned 32-bit numbers) of every row with an id, and its columns ``more``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = codec(path)
         for batch in batches:
-            for part in W.slices(batch, "text", 2 * W.SLICE_BYTES):
+            for part in W.slices(batch, "text"):
                 ids, counts = of.encode(part.column(1))
                 offsets = np.concatenate([[0], np.cumsum(counts)]) * 4
                 blobs = pa.Array.from_buffers(
                     pa.large_binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(np.uint32))]
                 )
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), blobs.cast(pa.binary())], names=["doc_id", "n_ids", "ids"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(counts), blobs.cast(pa.binary()), *part.columns[2:]], names=["doc_id", "n_ids", "ids", *more]
+                )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    return rows.mapInArrow(run, "doc_id long, n_ids long, ids binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more).where("doc_id is not null")
+    kinds = "".join(f", {name} {docs.schema[name].dataType.simpleString()}" for name in more)
+    return rows.mapInArrow(run, f"doc_id long, n_ids long, ids binary{kinds}")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """``doc_id, n_ids, ids, decoded``: the texts that ids stand for; broken UTF-8 is replaced."""
+    """The same rows with a column ``decoded``: the texts that ``ids`` stand for; broken UTF-8 is replaced."""
+    place = encoded.columns.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = codec(path)
         for batch in batches:
-            for part in W.slices(batch, "ids", 4 * W.SLICE_BYTES):
-                data, offsets = W.text_bytes(part.column(2))
+            for part in W.slices(batch, "ids", 2 * W.SLICE_BYTES):
+                data, offsets = W.text_bytes(part.column(place))
                 ids = np.frombuffer(data.tobytes(), np.uint32).astype(np.int64)
-                texts = of.decode(ids, np.diff(offsets) // 4)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["doc_id", "n_ids", "ids", "decoded"])
+                texts = of.decode(ids, np.diff(offsets) // 4).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, "doc_id long, n_ids long, ids binary, decoded string")
+    kinds = ", ".join(f"{name} {kind}" for name, kind in encoded.dtypes)
+    return encoded.mapInArrow(run, f"{kinds}, decoded string")

@@ -43,14 +43,12 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    # The text goes along as its digest: the encoder hands on only what it needs.
-    docs = read_table(spark, sf_dir, "documents")
-    texts = docs.select("doc_id", F.sha2(F.translate(F.coalesce("text", F.lit("")), pieces.SPACE, " "), 256).alias("sha256"))
-    done = pieces.decode(pieces.encode(docs, path), path).select(
-        "doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256")
-    )
-    return done.join(texts, "doc_id").select(
-        "doc_id", "n_ids", "ids_crc32", "decoded_sha256", (F.col("decoded_sha256") == F.col("sha256")).alias("round_trip")
+    text = F.translate(F.coalesce("text", F.lit("")), pieces.SPACE, " ")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(text, 256).alias("sha256"))
+    done = pieces.decode(pieces.encode(docs, path, "sha256"), path)
+    decoded = F.sha2("decoded", 256)
+    return done.select(
+        "doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), decoded.alias("decoded_sha256"), (decoded == F.col("sha256")).alias("round_trip")
     )
 
 
