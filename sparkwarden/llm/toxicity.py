@@ -13,8 +13,10 @@ ones may have one or two edits; stems accept whatever follows.
 *Context.*  For each hit the ``WINDOW`` words around it are looked at: quotation marks around the hit and words of
 reporting or disapproval count as signs of quotation.
 
-*Score.*  A logistic regression on what a text holds: exact and misspelled hits that look like abuse, hits that look
-like quotation, and their density.  It is fitted on the same sample.  Labels, language, source and id are no inputs.
+*Score.*  A logistic regression on what a text holds: hits that look like abuse, their density, and hits that look like
+quotation.  A misspelled hit counts for less than an exact one: by the log odds that it speaks for abuse, if one toxic hit
+in ``1 / MISSPELLED`` is misspelled, given how many clean texts of the sample have such hits.  The regression is fitted
+on the same sample.  Labels, language, source and id are no inputs.
 
 Null and empty texts have no hits and get the score of a text without any.  Rows without an id are left out;
 rows that repeat an id are scored one by one.  Without labelled rows of both kinds the lexicon is empty
@@ -185,13 +187,13 @@ class Automaton:
         return best
 
 
-FEATURES = 5
+MISSPELLED = 0.05
 
 
-def features(automaton: Automaton, texts: pa.Array) -> np.ndarray:
-    """One row per text: exact abuse, misspelled abuse, quotation, any hit, density."""
+def hits(automaton: Automaton, texts: pa.Array) -> np.ndarray:
+    """One row per text: exact hits, misspelled hits, quoted hits and words."""
     data, offsets = W.text_bytes(texts)
-    out = np.zeros((len(texts), FEATURES))
+    out = np.zeros((len(texts), 4))
     if len(data) == 0:
         return out
     raw, data = data, _lower(data)
@@ -216,13 +218,17 @@ def features(automaton: Automaton, texts: pa.Array) -> np.ndarray:
     quoted = (opened & closed) | (told[end + 1] - told[begin] > 0)
     exact = edits[hit] == 0
     for k, keep in enumerate((exact & ~quoted, ~exact & ~quoted, quoted)):
-        out[:, k] = np.log1p(np.bincount(text[hit[keep]], minlength=len(texts)))
-    abuse = np.bincount(text[hit[~quoted & exact]], minlength=len(texts))
-    out[:, 3] = abuse > 0
-    out[:, 4] = np.sqrt(abuse / np.maximum(counts, 1))
+        out[:, k] = np.bincount(text[hit[keep]], minlength=len(texts))
+    out[:, 3] = counts
     return out
 
 
+def features(found: np.ndarray, misspelled: float) -> np.ndarray:
+    """Abuse, whether there is any, its density, and quotation; ``misspelled`` is what such a hit counts."""
+    abuse = found[:, 0] + misspelled * found[:, 1]
+    return np.column_stack([np.log1p(abuse), abuse >= 0.5, np.sqrt(abuse / np.maximum(found[:, 3], 1)), np.log1p(found[:, 2])])
+
+
 def _hash_of(words: list[str]) -> np.ndarray:
     data, offsets = W.text_bytes(pa.array(words))
     data = _lower(data)
@@ -285,10 +291,11 @@ def choose_terms(counted: dict[str, tuple[int, int]], clean: int, toxic: int) ->
 @dataclass
 class Model:
     automaton: Automaton
+    misspelled: float
     weights: np.ndarray
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        x = features(self.automaton, texts)
+        x = features(hits(self.automaton, texts), self.misspelled)
         return sigmoid(x @ self.weights[:-1] + self.weights[-1])
 
 
@@ -315,17 +322,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.slices(batch, "text"):
-                x = features(automaton, part.column(0))
-                yield pa.RecordBatch.from_arrays([pa.array(list(x)), part.column(1)], names=["x", "toxic"])
+                x = hits(automaton, part.column(0))
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), part.column(1)], names=["x", "toxic"])
 
+    misspelled, weights = 0.0, np.append(np.zeros(4), 35.0 if toxic else -35.0)
     if clean and toxic:
         table = picked.mapInArrow(describe, "x array<double>, toxic int").collect()
         x, y = np.array([r.x for r in table]), np.array([r.toxic for r in table], float)
-        weights = fit_logistic(x, y, ridge=1e-4)
-    else:
-        weights = np.append(np.zeros(FEATURES), 35.0 if toxic else -35.0)
+        abused, (exact, wrong) = (x[y == 1, 0] > 0).mean(), (((x[y == 0, :2] > 0).sum(0) + 0.5) / (clean + 1))
+        if abused > exact:
+            misspelled = float(np.clip(np.log(max(MISSPELLED * abused / wrong, 1)) / np.log(abused / exact), 0, 1))
+        weights = fit_logistic(features(x, misspelled), y, ridge=1e-4)
     release(picked)
-    return Model(automaton, weights)
+    return Model(automaton, misspelled, weights)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
