@@ -139,7 +139,8 @@ DERIVED = {
     "commits": """
         select concat('acct_', c_nationkey) account_id,
                concat('acct_', c_nationkey, '/repo_', c_custkey) repo,
-               md5(cast(o_orderkey as string)) commit_sha, cast(cast(o_orderdate as date) as string) date,
+               md5(cast(o_orderkey as string)) commit_sha,
+               case when o_orderkey % 41 = 0 then '' else cast(cast(o_orderdate as date) as string) end date,
                -cast(replace(cast(cast(o_orderdate as date) as string), '-', '') as int) commit_ord
         from {orders} join {customer} on o_custkey = c_custkey""",
     "raw_tree": f"""
@@ -157,12 +158,16 @@ DERIVED = {
         select md5(cast(p_partkey as string)) blob_sha, {metadata_json("k")} meta_json
         from (select p_partkey, cast(floor(p_partkey / 20) as bigint) k from {{part}}
               where p_partkey % 20 = 16) p""",
-    # what the runs before left behind
+    # what the runs before left behind; every 40th old commit arrived after them
+    "scanned": """
+        select account_id, repo, commit_sha, date from {commits}
+        where commit_ord >= -19960630 and commit_ord % 40 <> 0 and date <> ''
+        union all select account_id, repo, commit_sha, date from {commits} where date = '' and commit_ord % 3 = 0""",
     "cursors": """
         select account_id, repo, substr(newest, 12) last_scanned_sha, substr(newest, 1, 10) last_scanned_date,
                '2024-01-01T00:00:00Z' last_scanned_at
         from (select account_id, repo, max(concat(date, '|', commit_sha)) newest
-              from {commits} where date <= '1996-06-30' group by account_id, repo) c
+              from {scanned} group by account_id, repo) c
         where substr(newest, 12, 1) <> '0'""",
     "gists": """
         select concat('acct_', c_nationkey) account_id, concat('g', c_custkey % 1000) gist_id, c_custkey

@@ -298,13 +298,19 @@ REPORT_KEYS = ("account, section, severity_rank, account_ord, repo_ord, repo, pa
 
 def fixed(section: int, severity: int, part: int, text: str) -> str:
     return (f"select account, {section}, {severity}, null, null, null, {part}, null, null, null, null, null, null, "
-            f"null, {q(text)} from by_account where account is not null")
+            f"null, {q(text)} from by_account where account is {{owner}} and findings > 0")
 
 
+def report_rows(accounts: str, owner: str) -> str:
+    rows = REPORT.replace("{owner}", owner).replace("{summary}", summary(accounts))
+    return rows if owner == "not null" else rows.replace("select account,", "select null account,")
+
+
+CLEAR = "case when findings = 0 then concat(chr(10), 'No findings. All clear.', chr(10)) else '' end"
 REPORT = f"""select {REPORT_KEYS} from (
     select account, 0 section, null severity_rank, null account_ord, null repo_ord, null repo, null part,
       null commit_ord, null "commit", null file, null scanner_ord, null line_ord, null rule_ord, null match_ord,
-      {summary("1")} as text from by_account, totals t where account is not null
+      concat({{summary}}, {CLEAR}) as text from by_account, totals t where account is {{owner}}
     union all {fixed(1, -1, -1, FIX_LIST_OPENING)}
     union all select account, 1, 0, account_ord, repo_ord, repo, part, commit_ord, "commit", file, scanner_ord,
       line_ord, rule_ord, match_ord, text from fix_rows
@@ -314,11 +320,12 @@ REPORT = f"""select {REPORT_KEYS} from (
       line_ord, rule_ord, match_ord, {BLOCK} from findings) r"""
 
 # ---------------------------------------------------------------- state
-NEW = ("fresh", """select c.account_id, c.repo, c.commit_sha, c.date from commits c left join cursors u
-    on c.account_id = u.account_id and c.repo = u.repo where u.last_scanned_sha is null
-    or c.date > u.last_scanned_date or (c.date = u.last_scanned_date and c.commit_sha > u.last_scanned_sha)""")
+NEW = ("fresh", """select c.account_id, c.repo, c.commit_sha, c.date from commits c where not exists (select 1
+    from scanned s where s.account_id = c.account_id and s.repo = c.repo and s.commit_sha = c.commit_sha)""")
 NEXT = ("next", f"""select account_id, repo, commit_sha last_scanned_sha, date last_scanned_date,
-    '{SEEN_AT}' last_scanned_at from fresh qualify row_number() over
+    '{SEEN_AT}' last_scanned_at from (select * from fresh union all
+      select account_id, repo, last_scanned_sha, last_scanned_date from cursors
+      where (account_id, repo) in (select account_id, repo from fresh)) every_one qualify row_number() over
     (partition by account_id, repo order by date desc, commit_sha desc) = 1""")
 
 
@@ -344,6 +351,21 @@ def file_findings(ctes: list[tuple[str, str]], rows: str, inputs: list[str]) ->
         severity, redacted_evidence, {ACTION} suggested_action from ({rows}) r""")
 
 
+def redacted_documents() -> str:
+    """Each line goes through the rules one after the other: split at the matches, put together again."""
+    steps, text = [], "l"
+    for nth, (_, rule, _, pattern, _) in enumerate(PII):
+        shown = REDACTED.replace("rule ", f"{q(rule)} ")
+        steps.append((f"step{nth}", f"""select doc_id, line, array_to_string(list_transform(
+            range(1, len(gaps) + 1), lambda i: concat(gaps[i], coalesce(list_transform([found[i]],
+              lambda m: case when m is null or {FALSE_POSITIVE} then m else {shown} end)[1], ''))), '') as l
+            from (select doc_id, line, string_split_regex(l, {re2(pattern)}) gaps, regexp_extract_all(l, {re2(pattern)}) found
+                  from {f"step{nth - 1}" if nth else "lines"}) x"""))
+    last = f"step{len(PII) - 1}"
+    return statement([], [lines_cte("documents", "doc_id"), *steps], f"""select doc_id, md5(t) text_md5, t <> text as changed
+        from (select doc_id, string_agg(l, chr(10) order by line) t from {last} group by doc_id) x join documents using (doc_id)""")
+
+
 FILE = "account_id, repo, path, commit_sha"
 DATED = "cast(cast(to_timestamp(1704067200 + doc_id * 600) at time zone 'UTC' as date) as varchar)"
 
@@ -474,10 +496,10 @@ def statements() -> dict[str, str]:
         "findings_rollup": on_scan(f"select account, findings, critical, high, medium, low from by_account", [BY_ACCOUNT]),
         "unique_findings": on_scan(f"select severity, {ORDER}, rule, line, redacted_evidence from uniq", [UNIQUE]),
         "findings_sorted": on_scan(f"select {RANK} severity_rank, severity, {ORDER}, rule, line from findings"),
-        "incremental_commits": statement(["commits", "cursors"], [NEW], "select * from fresh"),
+        "incremental_commits": statement(["commits", "scanned"], [NEW], "select * from fresh"),
         "incremental_commits_full": statement(["commits"], [], "select account_id, repo, commit_sha, date from commits"),
-        "next_cursor": statement(["commits", "cursors"], [NEW, NEXT], "select * from next"),
-        "cursor_upsert": statement(["commits", "cursors"], [NEW, NEXT], """select * from next union all
+        "next_cursor": statement(["commits", "scanned", "cursors"], [NEW, NEXT], "select * from next"),
+        "cursor_upsert": statement(["commits", "scanned", "cursors"], [NEW, NEXT], """select * from next union all
             select c.* from cursors c where not exists
             (select 1 from next n where n.account_id = c.account_id and n.repo = c.repo)"""),
         "unseen_gists": statement(["gists", "seen_gists"], [], """select distinct account_id, gist_id from gists g
@@ -499,7 +521,16 @@ def statements() -> dict[str, str]:
         "report_summary": on_scan(f"select {summary('t.accounts')} as text from by_account, totals t where account is null",
             [BY_ACCOUNT, TOTALS]),
         "fix_list": on_scan("select * from fix_rows", [UNIQUE, FIX_ROWS]),
-        "account_reports": on_scan(REPORT, [UNIQUE, BY_ACCOUNT, TOTALS, FIX_ROWS]),
+        "account_reports": on_scan(report_rows("1", "not null"), [UNIQUE, BY_ACCOUNT, TOTALS, FIX_ROWS]),
+        "run_report": on_scan(report_rows("t.accounts", "null").replace(f"select null {REPORT_KEYS}", f"select {REPORT_KEYS[9:]}"),
+            [UNIQUE, BY_ACCOUNT, TOTALS, FIX_ROWS]),
+        "findings_cube": on_scan("""select rule, severity, account, count(*) n, grouping_id(rule, severity, account) as level
+            from findings group by cube (rule, severity, account)"""),
+        "pii_rate_by_quality": statement([], matches(PII, "documents", "doc_id"), """select quality, toxic, count(*) n,
+            count(k.doc_id) n_found, round(count(k.doc_id) / count(*), 6) as share
+            from labels l join documents d using (doc_id) left join (select distinct doc_id from kept) k using (doc_id)
+            group by quality, toxic"""),
+        "documents_redacted": redacted_documents(),
         "report_summaries": statement(["report_texts"], [], f"""select doc_id, case when contains(report, '## Summary')
             then rtrim(split_part(concat('## Summary', substr(report, strpos(report, '## Summary') + 10)),
               concat(chr(10), '## '), 1), concat(' ', chr(10), chr(9), chr(13)))
@@ -509,9 +540,10 @@ def statements() -> dict[str, str]:
             case when not (s.cc_email like 'REPLACE_%' or contains(s.cc_email, 'placeholder')) then s.cc_email end cc,
             concat('Privacy Report for ', s.account_id, ' — ', findings, ' finding',
               case when findings = 1 then '' else 's' end, ' — ', '{FINISHED_AT[:10]}') subject,
-            findings, {summary('1')} summary from scanned s join by_account b on b.account = s.account_id, totals t
+            findings, r.* exclude (account) from scanned s join by_account b on b.account = s.account_id
+            join report r on r.account = s.account_id
             where not (s.contact_email like 'REPLACE_%' or contains(s.contact_email, 'placeholder'))""",
-            [BY_ACCOUNT, TOTALS]),
+            [UNIQUE, BY_ACCOUNT, TOTALS, FIX_ROWS, ("report", report_rows("1", "not null"))]),
         "pii_by_source": statement([], matches(PII, "documents", "source"),
             "select source, rule, severity, count(*) n from kept group by source, rule, severity"),
         "pii_by_lang": statement([], matches(PII, "documents", "lang"),

@@ -13,7 +13,7 @@ from ..functions import redact, text as tx
 from ..model import FINDING_COLUMNS, ORDER_COLUMNS, ScanOptions
 from ..operators import images, keywords, logs, names
 from ..operators.lines import (
-    document_lines, line_findings, redacted, rule_name, rule_severity, scan_lines, spread,
+    document_lines, line_findings, redacted, redacted_text, rule_name, rule_severity, scan_lines, spread,
 )
 from ..operators.rules import LINE_RULES, PII_RULES, SECRET_RULES, is_pii_false_positive, rules_named
 from ..operators.skew import running_totals
@@ -411,7 +411,9 @@ def filename_risk(spark, folder):
 
 @query
 def filename_risk_by_rule(spark, folder):
-    return _tree_names(spark, folder).groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n"))
+    """Patterns look at each base name once: a tree repeats its files from commit to commit."""
+    base = _tree_paths(spark, folder).groupBy(tx.base_name(F.col("path")).alias("path")).agg(F.count(F.lit(1)).alias("n"))
+    return names.risk_names(base, ["n"]).groupBy("rule", "severity").agg(F.sum("n").alias("n"))
 
 
 @query
@@ -506,7 +508,7 @@ def all_findings(spark, folder):
 def account_findings(spark, folder):
     """A scan of one account, which need not be enabled."""
     one = rec.account_by_id(accounts(spark, folder), "acct_4")
-    return flat(sc.scan(scan_tables(spark, folder, one)).select(*FINDING_COLUMNS))
+    return flat(sc.scan(scan_tables(spark, folder, one), restricted=True).select(*FINDING_COLUMNS))
 
 
 # ---------------------------------------------------------------- counts and order
@@ -531,6 +533,11 @@ def findings_rollup(spark, folder):
     return flat(rep.counts_by_account(findings(spark, folder)))
 
 
+@query
+def findings_cube(spark, folder):
+    return flat(rep.findings_cube(findings(spark, folder)))
+
+
 _KEYS = ["severity", *ORDER_COLUMNS, "rule", "line"]
 
 
@@ -547,19 +554,19 @@ def findings_sorted(spark, folder):
 # ---------------------------------------------------------------- state
 @query
 def incremental_commits(spark, folder):
-    return inc.new_commits(source(spark, folder, "commits"), load(spark, folder, "cursors")).select(
+    return inc.new_commits(source(spark, folder, "commits"), load(spark, folder, "scanned")).select(
         "account_id", "repo", "commit_sha", "date")
 
 
 @query
 def incremental_commits_full(spark, folder):
-    return inc.new_commits(source(spark, folder, "commits"), load(spark, folder, "cursors"), full=True).select(
+    return inc.new_commits(source(spark, folder, "commits"), load(spark, folder, "scanned"), full=True).select(
         "account_id", "repo", "commit_sha", "date")
 
 
 def _next_cursors(spark, folder):
-    fresh = inc.new_commits(source(spark, folder, "commits"), load(spark, folder, "cursors"))
-    return inc.next_cursors(fresh, SEEN_AT)
+    fresh = inc.new_commits(source(spark, folder, "commits"), load(spark, folder, "scanned"))
+    return inc.next_cursors(fresh, load(spark, folder, "cursors"), SEEN_AT)
 
 
 @query
@@ -655,9 +662,16 @@ def latest_report(spark, folder):
 
 @query
 def digest(spark, folder):
+    """One message per account, as the rows of its text."""
     return flat(rep.digests(scanned_accounts(spark, folder), findings(spark, folder), run_info(spark, folder)))
 
 
+@query
+def run_report(spark, folder):
+    rows = rep.run_report(findings(spark, folder), run_info(spark, folder))
+    return flat(rows.select(*rep.RUN_ORDER, "text"))
+
+
 # ---------------------------------------------------------------- the detectors on other tables
 def _by(spark, folder, column):
     docs = spread(load(spark, folder, "documents").select("doc_id", column, "text"), "doc_id")
@@ -690,6 +704,24 @@ def page_findings(spark, folder):
         F.count(F.lit(1)).alias("n"))
 
 
+@query
+def pii_rate_by_quality(spark, folder):
+    """Labelled documents with and without a finding; texts stay where they are, only ids are joined."""
+    found = line_findings(load(spark, folder, "documents").select("doc_id", "text"), ["doc_id"], PII_RULES)
+    labelled = load(spark, folder, "labels").join(load(spark, folder, "documents").select("doc_id"), "doc_id")
+    marked = labelled.join(found.select("doc_id").distinct().withColumn("found", F.lit(1)), "doc_id", "left")
+    n, n_found = F.count(F.lit(1)), F.count("found")
+    return flat(marked.groupBy("quality", "toxic").agg(
+        n.alias("n"), n_found.alias("n_found"), F.round(n_found / n, 6).alias("share")))
+
+
+@query
+def documents_redacted(spark, folder):
+    docs = load(spark, folder, "documents").select("doc_id", "text")
+    done = docs.select("doc_id", redacted_text(F.col("text"), PII_RULES).alias("redacted"), "text")
+    return done.select("doc_id", F.md5("redacted").alias("text_md5"), (F.col("redacted") != F.col("text")).alias("changed"))
+
+
 # ---------------------------------------------------------------- streams
 @query
 def stream_findings(spark, folder):

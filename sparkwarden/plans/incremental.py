@@ -1,7 +1,7 @@
 """State between runs as keyed tables: cursors, seen sets and the run ledger.
 
 Every function takes the old table and returns the new one; ``write_version`` stores it next to the
-old version, never over it.
+old version, never over it; a version is overwritten only by the run that owns its number.
 """
 
 from __future__ import annotations
@@ -9,37 +9,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.skew import ROWS_PER_SALT, running_totals, salted_join
+from ..operators.skew import running_totals
 
 
-def new_commits(
-    commits: DataFrame, cursors: DataFrame, full: bool = False, rows_per_salt: int = ROWS_PER_SALT
-) -> DataFrame:
-    """Commits after each repository's cursor; all of them for a full run or without a cursor.
+SCANNED_KEY = ["account_id", "repo", "commit_sha"]
+
+
+def new_commits(commits: DataFrame, scanned: DataFrame, full: bool = False) -> DataFrame:
+    """Commits that no run has scanned; all of them for a full run.
 
-    ``commits`` has account_id, repo, commit_sha, date; ``cursors`` has account_id, repo,
-    last_scanned_sha, last_scanned_date.
+    Both tables have account_id, repo, commit_sha.  Dates play no part: a commit that arrives late with an old
+    date, or without one, is as new as any other.  The key is unique, so nothing is skewed.
     """
-    if full:
-        return commits
-    joined = salted_join(
-        commits,
-        cursors.select("account_id", "repo", "last_scanned_sha", "last_scanned_date"),
-        ["account_id", "repo"],
-        ["commit_sha"],
-        rows_per_salt,
-        how="left",
-    )
-    after = (F.col("date") > F.col("last_scanned_date")) | (
-        (F.col("date") == F.col("last_scanned_date")) & (F.col("commit_sha") > F.col("last_scanned_sha"))
-    )
-    return joined.where(F.col("last_scanned_sha").isNull() | after).select(*commits.columns)
+    return commits if full else commits.join(scanned.select(*SCANNED_KEY), SCANNED_KEY, "left_anti")
 
 
-def next_cursors(commits: DataFrame, scanned_at: str) -> DataFrame:
-    """Newest scanned commit of each repository; repositories without commits have none."""
+def next_cursors(commits: DataFrame, cursors: DataFrame, scanned_at: str) -> DataFrame:
+    """Newest commit ever scanned of each repository that had commits; a late commit moves no cursor back."""
+    repos = commits.select("account_id", "repo").distinct()
+    before = cursors.join(repos, ["account_id", "repo"], "left_semi").select(
+        "account_id", "repo", F.col("last_scanned_date").alias("date"), F.col("last_scanned_sha").alias("commit_sha")
+    )
     return (
-        commits.groupBy("account_id", "repo")
+        commits.select(*before.columns).unionByName(before).groupBy("account_id", "repo")
         .agg(F.max(F.struct("date", "commit_sha")).alias("newest"))
         .select(
             "account_id",
@@ -120,6 +112,17 @@ def ledger_rows(
     )
 
 
+def started_rows(accounts: DataFrame, last_run_id: int, started_at: str) -> DataFrame:
+    """One unfinished ledger row per account of a run, numbered as ``ledger_rows`` will number them."""
+    ones = accounts.select("account_id", "account_ord", F.lit(1).alias("one"), F.lit(0).alias("run"))
+    none = {c: F.lit(None).cast("long") for c in (
+        "repos_scanned", "commits_scanned", "findings_count", "account_repos", "account_commits", "account_findings")}
+    return running_totals(ones, ["run"], "account_ord", {"one": "nth"}).select(
+        (F.col("nth") + last_run_id).alias("run_id"), F.lit(started_at).alias("started_at"),
+        F.lit(None).cast("string").alias("finished_at"), "account_id", *[v.alias(c) for c, v in none.items()],
+    )
+
+
 def last_run(runs: DataFrame) -> DataFrame:
     """The newest run, finished or not."""
     return runs.orderBy(F.col("run_id").desc()).limit(1)
@@ -131,5 +134,5 @@ def last_finished_run(runs: DataFrame) -> DataFrame:
 
 def write_version(table: DataFrame, folder: str, version: int) -> str:
     path = f"{folder.rstrip('/')}/v={version:010d}"
-    table.write.mode("errorifexists").parquet(path)
+    table.write.mode("overwrite").parquet(path)
     return path

@@ -15,7 +15,7 @@ from .. import fixed_values as V
 from ..functions.regex import BLANKS
 from ..functions.text import severity_rank
 from ..model import ORDER_COLUMNS
-from ..operators.skew import first_per_key
+from ..operators.skew import first_per_key, salted_join
 
 HEADER, FIX_LIST, FINDINGS = 0, 1, 2
 
@@ -55,11 +55,25 @@ def counts_by_account(findings: DataFrame) -> DataFrame:
     return per_account.unionByName(total, allowMissingColumns=True)
 
 
+def findings_cube(findings: DataFrame) -> DataFrame:
+    """Findings by every combination of rule, severity and account, with totals (``level`` tells which are).
+
+    Counted once per combination; the cube adds up those counts.
+    """
+    counts = findings.groupBy("rule", "severity", "account").agg(F.count(F.lit(1)).alias("n"))
+    return counts.cube("rule", "severity", "account").agg(F.sum("n").alias("n"), F.grouping_id().alias("level"))
+
+
 def findings_by_repo(findings: DataFrame) -> DataFrame:
-    """Findings per repository with the sort key of its first one."""
-    return findings.groupBy("repo").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(F.struct("account_ord", "repo_ord", "commit_ord")).alias("first"),
+    """Findings per repository with the sort key of its first one.
+
+    The large aggregate is of fixed width; only its few rows per repository are compared as structs.
+    """
+    counts = findings.groupBy("repo", "account_ord", "repo_ord").agg(
+        F.count(F.lit(1)).alias("n"), F.min("commit_ord").alias("commit_ord")
+    )
+    return counts.groupBy("repo").agg(
+        F.sum("n").alias("n"), F.min(F.struct("account_ord", "repo_ord", "commit_ord")).alias("first")
     ).select("repo", "n", "first.*")
 
 
@@ -84,7 +98,8 @@ def sorted_findings(findings: DataFrame) -> DataFrame:
 def unique_findings(findings: DataFrame) -> DataFrame:
     """The first finding per repository, file, rule and line, across commits."""
     keys = [F.col("repo"), F.col("file"), F.col("rule"), F.coalesce("line", F.lit(0))]
-    return first_per_key(findings, keys, [*ORDER_COLUMNS, "redacted_evidence"])
+    order = [c for c in ORDER_COLUMNS if c not in ("repo", "file", "line_ord")]  # the others are the same in a key
+    return first_per_key(findings, keys, [*order, "redacted_evidence"])
 
 
 # ---------------------------------------------------------------- text blocks
@@ -192,25 +207,43 @@ REPORT_ORDER = ("account", "section", "severity_rank", "account_ord", "repo_ord"
                 "commit_ord", "commit", "file", "scanner_ord", "line_ord", "rule_ord", "match_ord")
 
 
+RUN_ORDER = REPORT_ORDER[1:]
+
+
+def _fixed_rows(counts: DataFrame, run: RunInfo, accounts: Column) -> DataFrame:
+    """Summary and fixed texts of each row of ``counts_by_account``; without findings the summary says it all."""
+    def row(section: int, severity: int | None, part: int | None, text: Column) -> Column:
+        return F.struct(
+            F.lit(section).alias("section"), F.lit(severity).cast("int").alias("severity_rank"),
+            F.lit(part).cast("int").alias("part"), text.alias("text"),
+        )
+
+    texts = (
+        (FIX_LIST, -1, -1, FIX_LIST_OPENING),
+        (FIX_LIST, len(V.SEVERITIES), 2, FIX_LIST_CLOSING),
+        (FINDINGS, -1, -1, "## Findings\n"),
+    )
+    head = row(HEADER, None, None, summary_text(run, accounts))
+    more = [F.when(F.col("findings") > 0, row(*fixed, F.lit(text))) for *fixed, text in texts]
+    return counts.select("account", F.inline(F.array_compact(F.array(head, *more))))
+
+
+def _report(findings: DataFrame, fixed: DataFrame) -> DataFrame:
+    fixes = fix_list(findings).withColumn("section", F.lit(FIX_LIST)).withColumn("severity_rank", F.lit(0))
+    blocks = finding_blocks(findings).withColumn("section", F.lit(FINDINGS)).withColumn("part", F.lit(0))
+    return fixed.unionByName(fixes, allowMissingColumns=True).unionByName(blocks, allowMissingColumns=True)
+
+
 def account_reports(findings: DataFrame, run: RunInfo) -> DataFrame:
     """The reports of all accounts as rows; sorted by ``REPORT_ORDER`` they read as the report."""
-    header = summaries(findings, run).where(F.col("account").isNotNull()).withColumn("section", F.lit(HEADER))
-    accounts = header.select("account")
-    fixed = lambda section, severity, part, text: accounts.select(
-        "account", F.lit(section).alias("section"), F.lit(severity).alias("severity_rank"),
-        F.lit(part).alias("part"), F.lit(text).alias("text"))
-    parts = [
-        header,
-        fixed(FIX_LIST, -1, -1, FIX_LIST_OPENING),
-        fix_list(findings).withColumn("section", F.lit(FIX_LIST)).withColumn("severity_rank", F.lit(0)),
-        fixed(FIX_LIST, len(V.SEVERITIES), 2, FIX_LIST_CLOSING),
-        fixed(FINDINGS, -1, -1, "## Findings\n"),
-        finding_blocks(findings).withColumn("section", F.lit(FINDINGS)).withColumn("part", F.lit(0)),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
+    counts = findings.groupBy("account").agg(F.count(F.lit(1)).alias("findings"), *_severity_columns())
+    return _report(findings, _fixed_rows(counts, run, F.lit(1)))
+
+
+def run_report(findings: DataFrame, run: RunInfo) -> DataFrame:
+    """The report of the whole run as rows; sorted by ``RUN_ORDER`` they read as the report."""
+    counts = counts_by_account(findings).where(F.col("account").isNull())
+    return _report(findings, _fixed_rows(counts, run, F.lit(run.accounts)))
 
 
 def write_reports(rows: DataFrame, folder: str) -> None:
@@ -219,15 +252,25 @@ def write_reports(rows: DataFrame, folder: str) -> None:
         rows.repartitionByRange(*REPORT_ORDER)
         .sortWithinPartitions(*REPORT_ORDER)
         .select("account", F.col("text").alias("value"))
-        .write.partitionBy("account")
+        .write.mode("overwrite").partitionBy("account")
         .text(folder)
     )
 
 
+def write_run_report(rows: DataFrame, path: str) -> None:
+    """Text files that read on in name order; the first one begins with the summary."""
+    (
+        rows.repartitionByRange(*RUN_ORDER)
+        .sortWithinPartitions(*RUN_ORDER)
+        .select(F.col("text").alias("value"))
+        .write.mode("overwrite").text(path)
+    )
+
+
 def write_findings(findings: DataFrame, folder: str, run_id: int) -> str:
     """The findings table of one run, partitioned by severity for readers of the worst ones."""
     path = f"{folder.rstrip('/')}/run={run_id:010d}"
-    findings.write.partitionBy("severity").parquet(path)
+    findings.write.mode("overwrite").partitionBy("severity").parquet(path)
     return path
 
 
@@ -256,20 +299,23 @@ def usable_address(address: Column) -> Column:
 
 
 def digests(accounts: DataFrame, findings: DataFrame, run: RunInfo) -> DataFrame:
-    """One message per account with findings and a usable contact address."""
-    counted = counts_by_account(findings).where(F.col("account").isNotNull())
-    ready = (
-        accounts.select("account_id", usable_address(F.col("contact_email")).alias("to"),
-                        usable_address(F.col("cc_email")).alias("cc"))
-        .where(F.col("to").isNotNull())
-        .join(counted, F.col("account_id") == F.col("account"))
-    )
+    """One message per account with findings and a usable contact address, as the rows of its text.
+
+    Every row carries address and subject; sorted by ``REPORT_ORDER`` the texts of a message are the account's
+    whole report.
+    """
+    ready = accounts.select(
+        F.col("account_id").alias("account"), usable_address(F.col("contact_email")).alias("to"),
+        usable_address(F.col("cc_email")).alias("cc"),
+    ).where(F.col("to").isNotNull())
+    counted = findings.groupBy("account").agg(F.count(F.lit(1)).alias("findings"))
     plural = F.when(F.col("findings") == 1, F.lit("")).otherwise(F.lit("s"))
     subject = F.concat(
-        F.lit("Privacy Report for "), "account_id", F.lit(" — "), F.col("findings").cast("string"),
+        F.lit("Privacy Report for "), "account", F.lit(" — "), F.col("findings").cast("string"),
         F.lit(" finding"), plural, F.lit(f" — {run.finished_at[:10]}"),
     )
-    return ready.select(
-        "account_id", "to", "cc", subject.alias("subject"), "findings",
-        summary_text(run, F.lit(1)).alias("summary"),
-    )
+    messages = ready.join(counted, "account").withColumn("subject", subject)
+    text = account_reports(findings, run)
+    return salted_join(
+        text, messages, ["account"], ["section", "repo", "file", "commit", "line_ord", "rule_ord"], counted=findings
+    ).select(F.col("account").alias("account_id"), "to", "cc", "subject", "findings", *RUN_ORDER, "text")

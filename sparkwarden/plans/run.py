@@ -1,19 +1,25 @@
 """Whole runs: scan what is new, keep the state, write findings, reports and messages.
 
-A run's folder holds
-
-    findings/run=…      the findings of each run
-    repo_state/v=…      cursor versions, the newest is current
-    scan_runs/v=…       ledger rows of each run
-    reports/run=…       report text files per account
-    digests/run=…       one message per account with findings
+A run's folder holds, with the number of the run in each name,
+
+    scan_runs_started/v=…   one row per account, written before anything else
+    findings/run=…          the findings
+    skipped/run=…           files that were too large to read
+    account_reports/run=…   report text files per account
+    digests/run=…           one message per account with findings and an address, as rows of its text
+    reports/….md            the report of the whole run, as text files that read on in name order
+    repo_state/v=…          cursors of all repositories
+    scanned/v=…             keys of the commits of this run
+    scan_runs/v=…           ledger rows; a run is finished, and its output counts, once these are there
+
+A run that fails leaves started rows and output that no reader takes; the next run gets a new number and
+scans the same commits again.
 """
 
 from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,33 +28,63 @@ from ..sources.files import stage
 from ..sources.records import account_by_id, enabled_accounts, filter_repos
 from . import incremental as inc
 from . import report as rep
-from .scan import ScanTables, scan, selected_commits
+from .scan import ScanTables, scan, selected_commits, skipped_files
 
 CURSORS = "account_id string, repo string, last_scanned_sha string, last_scanned_date string, last_scanned_at string"
+SCANNED = "account_id string, repo string, commit_sha string"
 RUNS = (
     "run_id long, started_at string, finished_at string, account_id string, repos_scanned long, "
     "commits_scanned long, findings_count long, account_repos long, account_commits long, account_findings long"
 )
+REPORT = "report string"
+
+
+def _listing(spark: SparkSession, folder: str, empty_files: bool = True) -> list[str]:
+    """Names in a folder, in order; none if there is no such folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.listStatus(path) if files.exists(path) else []
+    return sorted(f.getPath().getName() for f in found if empty_files or f.getLen())
 
 
 def _versions(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(f"{schema}, v long").parquet(folder)
-    except AnalysisException:  # no version yet
+    """All versions of a table; only a missing folder means that there is none yet."""
+    if not any(name.startswith("v=") for name in _listing(spark, folder)):
         return spark.createDataFrame([], f"{schema}, v long")
+    return spark.read.schema(f"{schema}, v long").parquet(folder)
 
 
 def read_runs(spark: SparkSession, folder: str) -> DataFrame:
-    return _versions(spark, f"{folder}/scan_runs", RUNS).drop("v")
+    """The ledger: finished runs, and started ones that never finished."""
+    finished = _versions(spark, f"{folder}/scan_runs", f"{RUNS}, {REPORT}").drop("v", "report")
+    started = _versions(spark, f"{folder}/scan_runs_started", RUNS).drop("v")
+    return finished.unionByName(started.join(finished, "run_id", "left_anti"))
+
+
+def _committed(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
+    """The versions of a table that finished runs have written."""
+    finished = _versions(spark, f"{folder}/scan_runs", f"{RUNS}, {REPORT}").select("v").distinct()
+    return _versions(spark, f"{folder}/{name}", schema).join(finished, "v", "left_semi")
 
 
 def read_cursors(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest cursor version."""
-    table = _versions(spark, f"{folder}/repo_state", CURSORS)
+    """The cursors as the newest finished run left them."""
+    table = _committed(spark, folder, "repo_state", CURSORS)
     newest = table.agg(F.max("v")).first()[0]
     return table.where(F.col("v") == F.lit(newest)).drop("v")
 
 
+def read_scanned(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys of all commits that finished runs have scanned."""
+    return _committed(spark, folder, "scanned", SCANNED).drop("v").distinct()
+
+
+def read_findings(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """Findings of all finished runs, with their run."""
+    finished = _versions(spark, f"{folder}/scan_runs", f"{RUNS}, {REPORT}").select(F.col("v").alias("run")).distinct()
+    return spark.read.schema(schema).parquet(f"{folder}/findings").join(finished, "run", "left_semi")
+
+
 def choose_accounts(accounts: DataFrame, account_id: str | None = None) -> DataFrame:
     """The enabled accounts, or the named one whether enabled or not; none is an error."""
     chosen = account_by_id(accounts, account_id) if account_id else enabled_accounts(accounts)
@@ -64,29 +100,36 @@ def run_scan(
     """One run.  ``tables.commits`` needs a ``date`` column; ``accounts`` the contact columns."""
     accounts = choose_accounts(tables.accounts, account_id)
     chosen = replace(tables, accounts=accounts)
-    runs, cursors = read_runs(spark, folder), read_cursors(spark, folder)
-    last_id = runs.agg(F.max("run_id")).first()[0] or 0
+    cursors, scanned = read_cursors(spark, folder), read_scanned(spark, folder)
+    last_id = read_runs(spark, folder).agg(F.max("run_id")).first()[0] or 0
     run_id = last_id + 1
+    inc.write_version(inc.started_rows(accounts, last_id, started_at), f"{folder}/scan_runs_started", run_id)
 
     listed = selected_commits(chosen, options, more_columns=("date",))
-    commits = stage(inc.new_commits(listed, cursors, full), "commits")
+    commits = stage(inc.new_commits(listed, scanned, full), "commits")
     repos = selected_repos(chosen, options)
+    chosen = replace(chosen, commits=commits)
 
-    found = scan(replace(chosen, commits=commits), options, few_files=not (full or last_id == 0))
+    restricted = account_id is not None or not (full or scanned.isEmpty())
+    found = scan(chosen, options, restricted=restricted)
     path = rep.write_findings(found, f"{folder}/findings", run_id)
     findings = spark.read.schema(found.schema).parquet(path)
+    skipped_files(chosen, options).write.mode("overwrite").parquet(f"{folder}/skipped/run={run_id:010d}")
 
     info = rep.RunInfo(finished_at, accounts.count(), repos.count(), commits.count())
-    rep.write_reports(rep.account_reports(findings, info), f"{folder}/reports/run={run_id:010d}")
-    rep.digests(accounts, findings, info).write.parquet(f"{folder}/digests/run={run_id:010d}")
+    rep.write_reports(rep.account_reports(findings, info), f"{folder}/account_reports/run={run_id:010d}")
+    rep.digests(accounts, findings, info).write.mode("overwrite").parquet(f"{folder}/digests/run={run_id:010d}")
+    name = rep.report_name(finished_at)
+    rep.write_run_report(rep.run_report(findings, info), f"{folder}/reports/{name}")
 
-    fresh = inc.next_cursors(commits, finished_at)
+    fresh = inc.next_cursors(commits, cursors, finished_at)
     inc.write_version(inc.upsert(cursors, fresh, ["account_id", "repo"]), f"{folder}/repo_state", run_id)
+    inc.write_version(commits.select(*inc.SCANNED_KEY).distinct(), f"{folder}/scanned", run_id)
     ledger = inc.ledger_rows(
         accounts, repos, commits, findings.select(F.col("account").alias("account_id")), last_id,
         started_at, finished_at,
     )
-    inc.write_version(ledger, f"{folder}/scan_runs", run_id)
+    inc.write_version(ledger.withColumn("report", F.lit(name)), f"{folder}/scan_runs", run_id)
     return info
 
 
@@ -95,5 +138,15 @@ def selected_repos(t: ScanTables, options: ScanOptions = ScanOptions()) -> DataF
 
 
 def last_summary(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest run of the ledger; nothing if it did not finish."""
-    return inc.last_run(read_runs(spark, folder)).where(F.col("finished_at").isNotNull())
+    """``name, summary`` of the newest report of a finished run, or a row that says there is none.
+
+    Only the first file with text is read: it begins with the summary.
+    """
+    finished = _versions(spark, f"{folder}/scan_runs", f"{RUNS}, {REPORT}").select(F.col("report").alias("name"))
+    name = rep.latest_report(finished.distinct()).first().name
+    if name is None:
+        return spark.range(1).select(F.lit(None).cast("string").alias("name"), F.lit(rep.NO_SUMMARY).alias("summary"))
+    parts = _listing(spark, f"{folder}/reports/{name}", empty_files=False)
+    first = next(f for f in parts if f.startswith("part-"))
+    text = spark.read.text(f"{folder}/reports/{name}/{first}", wholetext=True)
+    return text.select(F.lit(name).alias("name"), rep.summary_of(F.col("value")).alias("summary"))

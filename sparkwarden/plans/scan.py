@@ -78,6 +78,16 @@ def planned_files(
     )
 
 
+def skipped_files(
+    t: ScanTables, options: ScanOptions = ScanOptions(), rows_per_salt: int = ROWS_PER_SALT
+) -> DataFrame:
+    """Files of the chosen commits that are too large to be read."""
+    large = t.tree.where(F.col("size") > options.max_file_bytes).select("commit_sha", "path", "size")
+    return salted_join(large, selected_commits(t, options, rows_per_salt), ["commit_sha"], ["path"], rows_per_salt).select(
+        "account_id", "repo", "commit_sha", "path", "size"
+    )
+
+
 def blob_findings(t: ScanTables, options: ScanOptions = ScanOptions()) -> DataFrame:
     """Findings that depend on a blob's content alone: one narrow pass over texts and records.
 
@@ -134,16 +144,16 @@ def keyword_file_findings(
 
 def scan(
     t: ScanTables, options: ScanOptions = ScanOptions(), rows_per_salt: int = ROWS_PER_SALT,
-    few_files: bool = False,
+    restricted: bool = False,
 ) -> DataFrame:
     """All findings with their order columns (``model.FINDING_COLUMNS`` + ``model.ORDER_COLUMNS``).
 
-    The file plan is read by several joins, so it is written once to the shared folder.  With
-    ``few_files`` (a run over new commits) only the blobs of planned files are read, others skipped
-    by a semi join; a full scan reads them all and needs no such join.
+    The file plan is read by several joins, so it is written once to the shared folder.  A ``restricted`` scan
+    (some accounts or repositories, or the commits of an incremental run) looks only at the blobs of planned
+    files, others are skipped by a semi join; a full scan looks at them all and needs no such join.
     """
     files = stage(planned_files(t, options, rows_per_salt), "files")
-    if few_files:
+    if restricted:
         needed = files.select("blob_sha").distinct()
         t = replace(
             t, blobs=t.blobs.join(needed, "blob_sha", "left_semi"),

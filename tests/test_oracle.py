@@ -5,8 +5,11 @@ from conftest import SMALL
 from oracle_check import compare, duck
 
 import __spark_entry__ as entry_points
+from sparkwarden.catalog.queries import REGISTRY as QUERIES
 
-QUERIES, STATEMENTS = entry_points.queries(), entry_points.oracle_sql()
+STATEMENTS = entry_points.oracle_sql()
+#: Rules whose matches all belong to another rule or are dropped in the planted lines of the small tables.
+MAY_BE_EMPTY: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -16,12 +19,12 @@ def con():
 
 
 def test_every_query_has_a_statement():
-    assert set(QUERIES) == set(STATEMENTS)
+    assert set(QUERIES) <= set(STATEMENTS)
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
-    assert compare(spark, con, SMALL, QUERIES[name], STATEMENTS[name]) in (None, "no rows")
+    assert compare(spark, con, SMALL, QUERIES[name], STATEMENTS[name]) is None
 
 
 def test_entry(spark):
