@@ -16,7 +16,7 @@ from ..operators.lines import (
     document_lines, line_findings, redacted, redacted_text, rule_name, rule_severity, scan_lines, spread,
 )
 from ..operators.rules import LINE_RULES, PII_RULES, SECRET_RULES, is_pii_false_positive, rules_named
-from ..operators.skew import running_totals
+from ..operators.skew import running_totals, salted_join
 from ..plans import incremental as inc
 from ..plans import report as rep
 from ..plans import scan as sc
@@ -62,14 +62,21 @@ SOURCE_TABLES = {
     "image_files": ["p_partkey"],
     "image_metadata": ["blob_sha"],
 }
-_sources: dict[tuple[str, str, str], DataFrame] = {}
+_sources: dict[tuple, DataFrame] = {}
+
+
+def _state(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of the folder's files: changed files are read anew."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
 
 
 def source(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A source table: derived from the test tables and written once per session."""
     if name not in SOURCE_TABLES:
         return load(spark, folder, name)
-    key = (spark.sparkContext.applicationId, folder, name)
+    key = (spark.sparkContext.applicationId, folder, name, _state(spark, folder))
     if key not in _sources:
         _sources[key] = stage(spread(load(spark, folder, name), *SOURCE_TABLES[name]), name)
     return _sources[key]
@@ -157,12 +164,12 @@ def scan_tables(spark: SparkSession, folder: str, account_table: DataFrame | Non
     )
 
 
-_runs: dict[tuple[str, str], DataFrame] = {}
+_runs: dict[tuple, DataFrame] = {}
 
 
 def findings(spark: SparkSession, folder: str) -> DataFrame:
     """The findings table of one run: written once per session, read by all reports."""
-    key = (spark.sparkContext.applicationId, folder)
+    key = (spark.sparkContext.applicationId, folder, _state(spark, folder))
     if key not in _runs:
         _runs[key] = stage(sc.scan(scan_tables(spark, folder)), "findings")
     return _runs[key]
@@ -441,8 +448,11 @@ def keyword_patterns(spark, folder):
 
 
 def _texts_with_patterns(spark, folder, *columns):
+    """Texts with the pattern of their account; an account with very many texts is split over tasks."""
     patterns = keywords.keyword_patterns(accounts(spark, folder))
-    return doc_files(spark, folder, "account_id", *columns).join(patterns, "account_id")
+    files = source(spark, folder, "doc_files")
+    texts = files.select("account_id", "blob_sha", *columns, "text")
+    return salted_join(texts, patterns, ["account_id"], ["blob_sha"], counted=files.select("account_id")).drop("blob_sha")
 
 
 @query

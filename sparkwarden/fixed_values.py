@@ -170,48 +170,48 @@ EVIDENCE = {
 
 # ---------------------------------------------------------------- suggested actions, our wording
 ACTIONS = {
-    "google-api-key": "Revoke this API key in the cloud console and delete it from the file.",
-    "aws-access-key": "Deactivate this access key and move it out of the repository.",
-    "aws-secret-key": "Rotate this secret key now and load it from a vault.",
-    "private-key-block": "Treat the key pair as leaked: replace it and delete the block.",
-    "env-secret-value": "Rotate the value and keep it in the deployment environment only.",
-    "database-url": "Change the database password and take the URL out of the file.",
-    "discord-webhook": "Delete the webhook and create a new one kept in private settings.",
-    "github-token": "Revoke the token and issue a new one with a smaller scope.",
-    "openai-key": "Revoke the key at the provider and read it from the environment.",
-    "anthropic-key": "Revoke the key at the provider and read it from the environment.",
-    "azure-key": "Regenerate the storage account key and drop it from the file.",
-    "gcp-service-account": "Disable the service account key and delete the JSON file.",
-    "bearer-token": "Invalidate the token and strip it from the text.",
-    "high-entropy-string": "Check whether this random-looking value is a live secret.",
-    "email-address": "Check that this address is meant to be public; delete private ones.",
-    "uk-phone": "Take the phone number out of the public text.",
-    "us-phone": "Take the phone number out of the public text.",
-    "uk-postcode": "Take the postal address out of the public text.",
-    "discord-handle": "Check that this invite is meant to be shared publicly.",
-    "discord-username": "Take the user name out of the public text.",
-    "ipv4-address": "Check that this host address may be known to everyone.",
-    "suspicious-filename": "Open the file and delete it if it holds personal data.",
-    "env-file": "Delete the environment file and pass settings another way.",
-    "secrets-file": "Delete the file and store its values in a vault.",
-    "credentials-file": "Delete the file and store its values in a vault.",
-    "ssh-private-key": "Delete the key at once and generate a new pair.",
-    "pem-file": "Delete the file; renew the certificate or key if it was in use.",
-    "key-file": "Delete the file; renew the key if it was in use.",
-    "config-file": "Look through the configuration for confidential values.",
-    "service-account-json": "Delete the file and disable the key it holds.",
-    "p12-file": "Delete the bundle; renew the certificate if it was in use.",
-    "pfx-file": "Delete the bundle; renew the certificate if it was in use.",
-    "keystore-file": "Delete the key store and change its passwords.",
-    "screenshot-file": "Check the picture and delete it if it shows private details.",
-    "photo-file": "Check the photo and its metadata for private details.",
-    "log-file": "Delete the log if it records how the system runs.",
-    "chat-export": "Delete the export if it holds private conversations.",
-    "large-log-file": "Check whether this log belongs in public; it can leak runtime details.",
-    "custom-keyword": "Check this keyword in its context and delete it if it gives anything away.",
-    "gps-metadata": "Strip the metadata from the image before publishing it.",
-    "device-serial": "Strip the metadata from the image before publishing it.",
-    "owner-name": "Strip the metadata from the image before publishing it.",
-    "camera-model": "Strip the metadata from the image before publishing it.",
-    "software-metadata": "Strip the metadata from the image before publishing it.",
+    "google-api-key": "Anyone can bill calls to this key: restrict or replace it, then clear the line.",
+    "aws-access-key": "An access key id names an account: check its permissions and switch it off.",
+    "aws-secret-key": "With this value an account can be taken over: issue a new pair today.",
+    "private-key-block": "Whoever has this key can pass for its owner: stop trusting it everywhere.",
+    "env-secret-value": "A setting with a secret in it: change the value where it is used.",
+    "database-url": "Host, user and password stand in one line: close the login and open another.",
+    "discord-webhook": "The address alone lets anyone post: replace it by a new one.",
+    "github-token": "The token acts as its owner: end it in the account settings.",
+    "openai-key": "Calls on this key are paid by its owner: end it and look at the usage.",
+    "anthropic-key": "Calls on this key are paid by its owner: end it and look at the usage.",
+    "azure-key": "The key opens a whole storage account: rotate both keys.",
+    "gcp-service-account": "The file logs in as a service: remove its key from the project.",
+    "bearer-token": "Requests with this header are let in: end the session it belongs to.",
+    "high-entropy-string": "Looks generated: find out what it opens before deciding.",
+    "email-address": "A mailbox of a person or a team? Only the latter belongs here.",
+    "uk-phone": "A number that rings somewhere: ask its owner or mask it.",
+    "us-phone": "A number that rings somewhere: ask its owner or mask it.",
+    "uk-postcode": "Narrow enough to find a street: drop it or keep the first half only.",
+    "discord-handle": "An open door to a server: see whether it should stay open.",
+    "discord-username": "Names one person on a chat service: use a role instead.",
+    "ipv4-address": "Tells where a machine is: use a documentation address.",
+    "suspicious-filename": "The name promises personal matters: read it before others do.",
+    "env-file": "Settings of a machine: keep a template with empty values in its place.",
+    "secrets-file": "Its name says what is inside: move it to where secrets are kept.",
+    "credentials-file": "Its name says what is inside: move it to where secrets are kept.",
+    "ssh-private-key": "A login key: take it off every host that accepts it.",
+    "pem-file": "May hold a key beside the certificate: look, and reissue if it does.",
+    "key-file": "Most likely a key: reissue whatever it signs or opens.",
+    "config-file": "Configurations tend to pick up passwords: read it line by line.",
+    "service-account-json": "Credentials of a program: remove the key it lists.",
+    "p12-file": "A bundle with a private key: reissue its certificate.",
+    "pfx-file": "A bundle with a private key: reissue its certificate.",
+    "keystore-file": "A store of keys: replace them and the store's password.",
+    "screenshot-file": "Screens show names and tabs: look at the corners too.",
+    "photo-file": "Faces, plates and places: see what can be recognized.",
+    "log-file": "Logs name users and hosts: keep them out of revisions.",
+    "chat-export": "Others wrote in it as well: ask them or take it out.",
+    "large-log-file": "Mostly log lines: see whom and what they mention.",
+    "custom-keyword": "You asked to be told about this word: judge the line it stands in.",
+    "gps-metadata": "The picture says where it was taken: save it without that.",
+    "device-serial": "The picture can be tied to one device: save it without that.",
+    "owner-name": "The picture names its owner: save it without that.",
+    "camera-model": "Harmless alone, telling with other traces: save the picture without it.",
+    "software-metadata": "Harmless alone, telling with other traces: save the picture without it.",
 }

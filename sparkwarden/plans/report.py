@@ -177,11 +177,10 @@ def summaries(findings: DataFrame, run: RunInfo) -> DataFrame:
 
 FIX_LIST_OPENING = (
     "## Agent Instructions\n\n```\n"
-    "The privacy scan of your public repositories found the problems below.\n"
-    "Fix every one of them: keep the files, but replace the sensitive content by placeholders\n"
-    "or remove the line.\n"
+    "Work list, one entry per place. For each entry open the file at the line given, decide whether the\n"
+    "value is real, and if so put a neutral sample value in its stead.\n"
 )
-FIX_LIST_CLOSING = "Commit and push the fixes. Leave the history as it is unless told otherwise.\n```\n"
+FIX_LIST_CLOSING = "End of the work list. Older revisions are a separate job for whoever owns the repository.\n```\n"
 
 
 def fix_list(findings: DataFrame) -> DataFrame:

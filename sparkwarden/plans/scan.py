@@ -126,16 +126,22 @@ def keyword_file_findings(
 ) -> DataFrame:
     """Keyword findings of text files: each (text, pattern) pair is matched once.
 
-    Few pairs are broadcast to the texts; many meet them in a join on blob_sha, for which a table
-    made by ``write_blobs`` needs no shuffle of texts.
+    Files with their patterns are staged, as two steps read them.  A text meets one row that holds all its
+    patterns: few such rows are broadcast; many meet the texts in a join on blob_sha, for which a table made
+    by ``write_blobs`` needs no shuffle of texts.
     """
     patterns = keywords.keyword_patterns(t.accounts)
-    texts = salted_join(
-        files.where(F.col("route") == TEXT), patterns, ["account_id"], ["commit_sha", "path"], rows_per_salt,
-        counted=files,
+    texts = stage(
+        salted_join(
+            files.where(F.col("route") == TEXT), patterns, ["account_id"], ["commit_sha", "path"], rows_per_salt,
+            counted=files,
+        ),
+        "keyword-files",
+    )
+    wanted = texts.select("blob_sha", "pattern").distinct().groupBy("blob_sha").agg(F.collect_list("pattern").alias("patterns"))
+    contents = t.blobs.select("blob_sha", "text").join(wanted, "blob_sha").select(
+        "blob_sha", "text", F.explode("patterns").alias("pattern")
     )
-    pairs = texts.select("blob_sha", "pattern").distinct()
-    contents = salted_join(pairs, t.blobs.select("blob_sha", "text"), ["blob_sha"], ["pattern"], rows_per_salt)
     found = keywords.keyword_findings(contents, ["blob_sha", "pattern"])
     return salted_join(
         texts, found, ["blob_sha", "pattern"], ["commit_sha", "path"], rows_per_salt

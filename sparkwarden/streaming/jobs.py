@@ -25,11 +25,6 @@ def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     )
 
 
-def spread_arrivals(stream: DataFrame, *keys: str) -> DataFrame:
-    """For streams whose files arrive one or two at a time: uses all cores for each of them."""
-    return stream.repartition(stream.sparkSession.sparkContext.defaultParallelism, *keys)
-
-
 def keep_state_on_disk(spark: SparkSession) -> None:
     """Key state outgrows executor memory at scale; RocksDB keeps it on local disk with snapshots
     in the checkpoint folder."""
@@ -77,13 +72,18 @@ def write_batches(
     return spark.read.parquet(f"{base}/table")
 
 
-def unique_findings(findings: DataFrame, event_time: str, delay: str) -> DataFrame:
-    """One finding per repository, file, rule and line among copies at most ``delay`` apart."""
-    return (
-        findings.withColumn("line0", F.coalesce("line", F.lit(0)))
-        .withWatermark(event_time, delay)
-        .dropDuplicatesWithinWatermark(["repo", "path", "rule", "line0"])
-    )
+def unique_findings(findings: DataFrame, event_time: str | None = None, delay: str | None = None) -> DataFrame:
+    """One finding per repository, file, rule and line.
+
+    Without a delay the stream remembers every key for good: a copy counts as one however late it comes, and
+    the state, which grows with the number of different findings, is kept by RocksDB.  With a delay copies are
+    found among findings at most that far apart in event time, and older keys are forgotten.
+    """
+    keyed = findings.withColumn("line0", F.coalesce("line", F.lit(0)))
+    keys = ["repo", "path", "rule", "line0"]
+    if delay is None:
+        return keyed.dropDuplicates(keys)
+    return keyed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
 
 
 def severity_counts(findings: DataFrame, event_time: str, delay: str, width: str) -> DataFrame:

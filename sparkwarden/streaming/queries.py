@@ -14,8 +14,7 @@ from . import jobs
 def _found(spark: SparkSession, folder: str, keys: list[str], rules) -> DataFrame:
     files = load(spark, folder, "doc_files", jobs.read_stream)
     timed = files.withColumn("seen_at", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") * 600))
-    arrived = jobs.spread_arrivals(timed.select(*dict.fromkeys(["doc_id", *keys]), "text"), "doc_id")
-    return line_findings(arrived, keys, rules)
+    return line_findings(timed.select(*keys, "text"), keys, rules)
 
 
 def scanned_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,8 +25,8 @@ def scanned_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def unique_event_findings(spark: SparkSession, folder: str) -> DataFrame:
     jobs.keep_state_on_disk(spark)
-    found = _found(spark, folder, ["repo", "path", "seen_at"], PII_RULES)
-    unique = jobs.unique_findings(found, "seen_at", "3650 days")
+    found = _found(spark, folder, ["repo", "path"], PII_RULES)
+    unique = jobs.unique_findings(found)
     return jobs.append_to_table(unique.select("repo", "path", "rule", "line0"), "stream-unique")
 
 
