@@ -8,8 +8,6 @@ import __spark_entry__ as entry_points
 from sparkwarden.catalog.queries import REGISTRY as QUERIES
 
 STATEMENTS = entry_points.oracle_sql()
-#: Rules whose matches all belong to another rule or are dropped in the planted lines of the small tables.
-MAY_BE_EMPTY: set[str] = set()
 
 
 @pytest.fixture(scope="module")
