@@ -59,9 +59,13 @@ class Encoder:
         plain = [u for u in others if BETWEEN not in u]
         odd = [u for u in others if BETWEEN in u]
         found, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        words.sort(key=str.isascii)  # words in ASCII are written as they are
         for i in range(0, len(words), 4096):
             part = words[i : i + 4096]
-            done = self.bare.encode(" ".join(part).encode().decode("latin-1").translate(_SHOWN), add_special_tokens=False)
+            text = " ".join(part)
+            if not text.isascii():
+                text = text.encode().decode("latin-1").translate(_SHOWN)
+            done = self.bare.encode(text, add_special_tokens=False)
             found.append(np.array(done.ids, np.int32))
             sizes.append(np.bincount(np.array(done.word_ids, np.int64), minlength=len(part)))
         for i in range(0, len(plain), 4096):
@@ -122,8 +126,10 @@ class Encoder:
 def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Places begin, begin + 1, ... of each run, one run after the other."""
     ends = np.cumsum(size)
-    out = np.repeat(begin - (ends - size), size)
-    out += np.arange(len(out))
+    top = max(int(begin.max(initial=0)) + int(size.max(initial=0)), int(ends[-1]) if len(ends) else 0)
+    kind = np.int32 if top < 1 << 31 else np.int64
+    out = np.repeat((begin - (ends - size)).astype(kind), size)
+    out += np.arange(len(out), dtype=kind)
     return out
 
 
