@@ -1,7 +1,7 @@
 """Toxicity: misspelled terms by an automaton, and context windows that tell quotation from abuse.
 
-*Lexicon.*  From a bounded sample of labelled texts (``SAMPLE`` of each label, the smallest hashes of ids) come
-the words, and the stems of inflected words, that toxic texts have far more often.  A walk down the trie of
+*Lexicon.*  From a bounded sample of labelled texts (``SAMPLE`` of each label, the smallest hashes of ids, of near
+copies only a few) come the words, and the stems of inflected words, that toxic texts have far more often.  A walk down the trie of
 all prefixes keeps a prefix as a stem where its texts spread over several continuations, and a whole word
 where one word accounts for them.
 
@@ -31,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -42,7 +42,7 @@ SAMPLE = 4000
 TERMS, LEAST_TEXTS = 64, 6
 #: Least log odds of a term, and least log-likelihood ratio (chance alone gives 30 once in 10**7 terms).
 LEAST_ODDS, LEAST_RATIO = 2.0, 30.0
-SHORTEST, LONGEST = 3, 12
+SHORTEST, LONGEST = 4, 12
 WINDOW = 8
 #: Words that report or reject what others said; they count if they stand in the window of a hit.
 REPORTING = "said says wrote called calling quote quoted quoting alleged dit disait sagte schrieb dijo escribió zitat citation cita".split()
@@ -258,6 +258,26 @@ def _prefix_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             )
 
 
+KINDS = 1
+_KINDS = np.random.default_rng(12).integers(0, 1 << 64, size=KINDS, dtype=np.uint64) | np.uint64(1)
+
+
+def _mark_kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with the minima of a few hash functions over five words in a row: near copies share most of them."""
+    for batch in batches:
+        for part in W.slices(batch, "text"):
+            sets, counts = W.shingles(*W.words(*W.text_bytes(part.column(0))), 5)
+            starts = (np.cumsum(counts) - counts)[counts > 0]
+            kinds = np.zeros((len(part), KINDS), np.uint64)  # texts without words are of one kind
+            for k, a in enumerate(_KINDS):
+                if len(starts):
+                    kinds[counts > 0, k] = np.minimum.reduceat(W.mix(sets * a), starts)
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns, *(pa.array(np.ascontiguousarray(kinds[:, k]).view(np.int64)) for k in range(KINDS))],
+                names=["text", "toxic", "id", *(f"kind_{k}" for k in range(KINDS))],
+            )
+
+
 def choose_terms(counted: dict[str, tuple[int, int]], clean: int, toxic: int) -> list[Term]:
     """Terms among prefixes (and words, ended by a blank) with their numbers of clean and toxic texts."""
 
@@ -308,7 +328,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = known.agg(F.max("toxic").cast("int").alias("toxic"))
     drawn = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("id"), "id").limit(sample) for t in (0, 1)]
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text is not null")
-    picked = stage(texts.join(F.broadcast(drawn[0].unionByName(drawn[1])), "id").select("text", "toxic"), "labelled")
+    picked = texts.join(F.broadcast(drawn[0].unionByName(drawn[1])), "id").select("text", "toxic", "id")
+    picked = picked.mapInArrow(_mark_kinds, "text string, toxic int, id long, " + ", ".join(f"kind_{k} long" for k in range(KINDS)))
+    for k in range(KINDS):  # of near copies few are left, so that no word counts because one text was copied
+        same = Window.partitionBy(f"kind_{k}").orderBy("id", "text")
+        picked = picked.withColumn("nth", F.row_number().over(same)).where("nth = 1").drop("nth")
+    picked = stage(picked.select("text", "toxic"), "labelled")
     totals = {r.toxic: r.n for r in picked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     clean, toxic = totals.get(0, 0), totals.get(1, 0)
     counted = picked.mapInArrow(_prefix_counts, "term string, clean long, toxic long").groupBy("term").agg(
