@@ -43,13 +43,13 @@ def planted(number: str) -> str:
         f"concat('Authorization: Bea', 'rer ', {h})",
         f"concat('token = \"', {h}, 'ABCDEF01\"')",
         "concat('token = \"', repeat('a', 40), '\"')",
-        f"concat('mail john.doe', {n}, '@personal-mail.co.uk or x@example.com')",
+        f"concat('write to mira.holt', {n}, '@north-post.co.uk, not to x@example.com')",
         "'a@1.2.3.com and b@mail.org'",
-        f"concat('call me at 0207 123 ', lpad({n}, 4, '0'), '.')",
-        "'+44 7911 123456'",
-        "'SW1A 2AA and M11AA'",
+        f"concat('ring 0161 496 ', lpad({n}, 4, '0'), ' after six.')",
+        "'+44 7700 900461'",
+        "'from EH8 9YL to B12QP'",
         f"concat('see discord.gg/AbC', {n}, ' or DISCORD.GG/x')",
-        f"concat('john_doe', {n}, '#1234')",
+        f"concat('mira_h', {n}, '#4821')",
         f"concat('127.0.0.1 10.0.0.', cast({number} % 250 as string), ' 255.255.255.255')",
         "'0123456789'",
         "'é0123456789'",

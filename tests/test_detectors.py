@@ -36,19 +36,19 @@ PLANTED = {
     "br": ("Authorization: Bea" + "rer abcdefghijklmnopqrstuvwxyz", ["bearer-token"]),
     "ent": ('token = "' + HEX * 2 + 'abcdef01"', ["high-entropy-string"]),
     "ent0": ('token = "' + "a" * 40 + '"', []),
-    "em": ("mail john.doe@personal-mail.co.uk or x@example.com", ["email-address"]),
+    "em": ("write to mira.holt@north-post.co.uk, not to x@example.com", ["email-address"]),
     "v": ("a@1.2.3.com", []),
     "more": ("a@example.community b@mail6.example.com", ["email-address"]),
-    "uk": ("call me at 0207 123 4567.", ["uk-phone"]),
-    "uk2": ("+44 7911 123456", []),
+    "uk": ("ring 0161 496 0321 after six.", ["uk-phone"]),
+    "uk2": ("+44 7700 900461", []),
     "us": ("(212) 555-0100", ["us-phone"]),
-    "pc": ("SW1A 2AA and M11AA", ["uk-postcode", "uk-postcode"]),
+    "pc": ("from EH8 9YL to B12QP", ["uk-postcode", "uk-postcode"]),
     "di": ("see discord.gg/AbC123 or DISCORD.GG/x", ["discord-handle", "discord-handle"]),
-    "du": ("john_doe#1234", ["discord-username"]),
+    "du": ("mira_h#4821", ["discord-username"]),
     "ip": ("127.0.0.1 10.0.0.7 255.255.255.255", ["ipv4-address"]),
     "both": ("0123456789", ["uk-phone", "us-phone"]),
     "fr": ("é0123456789", ["uk-phone", "us-phone"]),
-    "nb": ("0207 123 4567", ["uk-phone"]),
+    "nb": ("0161 496 0321", ["uk-phone"]),
     "none": ("const total = items.length; // nothing to see", []),
 }
 
@@ -88,10 +88,10 @@ def test_gates_lose_nothing(planted, spark):
 def test_redaction_shapes(found):
     evidence = {(r.id, r.rule): r.redacted_evidence for r in found}
     assert evidence["g1", "google-api-key"] == "AIzaSy...Fake"
-    assert evidence["em", "email-address"] == "jo***@personal-mail.co.uk"
-    assert evidence["uk", "uk-phone"] == "0207...67"
-    assert evidence["pc", "uk-postcode"] in ("SW***AA", "M1***AA")
-    assert evidence["du", "discord-username"] == "joh***234"
+    assert evidence["em", "email-address"] == "mi***@north-post.co.uk"
+    assert evidence["uk", "uk-phone"] == "0161...21"
+    assert evidence["pc", "uk-postcode"] in ("EH***YL", "B1***QP")
+    assert evidence["du", "discord-username"] == "mir***821"
     assert evidence["ip", "ipv4-address"] == "10.0.0.7"
 
 
@@ -121,7 +121,7 @@ def test_lines(spark):
 
 
 def test_blank_does_not_cross_lines(spark):
-    df = spark.createDataFrame([(1, "0207 123\n4567")], "id int, text string")
+    df = spark.createDataFrame([(1, "0161 496\n0321")], "id int, text string")
     assert line_findings(df, ["id"], PII_RULES).count() == 0
 
 
@@ -199,9 +199,9 @@ def test_keywords(spark):
 
 
 # ---------------------------------------------------------------- image records
-GPS = json.dumps([{"SourceFile": "x.jpg", "GPSLatitude": 51.5074, "GPSLongitude": -0.1278, "Model": "iPhone 14 Pro",
-                   "Software": "17.0.1", "DateTimeOriginal": "2024:06:15 14:30:00", "OwnerName": "John Doe",
-                   "SerialNumber": "ABC123DEF456"}])
+GPS = json.dumps([{"SourceFile": "x.jpg", "GPSLatitude": 46.9481, "GPSLongitude": 7.4474, "Model": "Boxy 300",
+                   "Software": "17.0.1", "DateTimeOriginal": "2021:11:02 07:45:10", "OwnerName": "Mira Holt",
+                   "SerialNumber": "KX77-00419-Q2"}])
 EMPTY = json.dumps([{k: None for k in ("GPSLatitude", "GPSLongitude", "Model", "OwnerName", "SerialNumber")}])
 
 
@@ -209,28 +209,36 @@ def test_image_records(spark):
     df = spark.createDataFrame(
         [("gps", GPS), ("none", EMPTY), ("bad", "not json"), ("nothing", "[]"), ("object", '{"Model":"x"}'),
          ("serial", '[{"SerialNumber":"","InternalSerialNumber":"I9"}]'), ("short", '[{"SerialNumber":"A123"}]'),
-         ("zero", '[{"GPSLatitude":0,"GPSLongitude":0,"Model":0}]'), ("create", '[{"CreateDate":"2024"}]')],
+         ("zero", '[{"GPSLatitude":0,"GPSLongitude":0,"Model":0}]'), ("create", '[{"CreateDate":"2024"}]'),
+         ("texts", '[{"SerialNumber":"0","OwnerName":"false"}]'), ("junk", '[{"Model":"Cam"}] junk'),
+         ("falsy", '[{"SerialNumber":0.0,"OwnerName":-0,"Model":false,"Software":2.50}]'),
+         ("closed", '[{"Model":"Cam"}]] junk'), ("second", '[{"Model":"Cam"}], [1]')],
         "id string, meta_json string")
     parsed = {r.id: r for r in images.parse_metadata(df, ["id"]).collect()}
     gps = parsed["gps"]
-    assert gps.has_gps and gps.camera_model == "iPhone 14 Pro" and gps.owner_name == "John Doe"
-    assert gps.device_serial == "ABC123DEF456" and gps.gps_lat == "51.5074"
+    assert gps.has_gps and gps.camera_model == "Boxy 300" and gps.owner_name == "Mira Holt"
+    assert gps.device_serial == "KX77-00419-Q2" and gps.gps_lat == "46.9481"
     for key in ("none", "bad", "nothing", "object"):
         assert not parsed[key].has_gps and parsed[key].camera_model is None
     assert parsed["serial"].device_serial is None
     assert parsed["zero"].has_gps and parsed["zero"].camera_model is None
     assert parsed["create"].taken_at == "2024"
+    assert parsed["texts"].device_serial == "0" and parsed["texts"].owner_name == "false"
+    assert parsed["falsy"].device_serial is None and parsed["falsy"].owner_name is None
+    assert parsed["falsy"].camera_model is None and parsed["falsy"].software == "2.5"
+    for key in ("junk", "closed", "second"):
+        assert parsed[key].camera_model is None
 
     table = images.parse_metadata(df, ["id"])
     hidden = {(r.id, r.rule): r for r in images.image_findings(table, ["id"]).collect()}
-    assert "51.5074" not in hidden["gps", "gps-metadata"].redacted_evidence
-    assert hidden["gps", "gps-metadata"].metadata["cameraModel"] == "iPhone 14 Pro"
-    assert hidden["gps", "device-serial"].redacted_evidence == "Device serial: AB...56"
+    assert "46.9481" not in hidden["gps", "gps-metadata"].redacted_evidence
+    assert hidden["gps", "gps-metadata"].metadata["cameraModel"] == "Boxy 300"
+    assert hidden["gps", "device-serial"].redacted_evidence == "Device serial: KX...Q2"
     assert hidden["short", "device-serial"].redacted_evidence == "Device serial: ..."
     assert sum(1 for k in hidden if k[0] == "gps") == 5 and ("none", "gps-metadata") not in hidden
     shown = {(r.id, r.rule): r for r in images.image_findings(table, ["id"], True).collect()}
-    assert shown["gps", "gps-metadata"].redacted_evidence == "GPS: 51.5074, -0.1278"
-    assert shown["gps", "gps-metadata"].metadata["gpsLat"] == "51.5074"
+    assert shown["gps", "gps-metadata"].redacted_evidence == "GPS: 46.9481, 7.4474"
+    assert shown["gps", "gps-metadata"].metadata["gpsLat"] == "46.9481"
 
 
 def test_every_rule_has_an_action(spark):
