@@ -1,5 +1,8 @@
 """Scan, state, reports and streams: properties on the small tables and hand-made rows."""
 
+import re
+from dataclasses import replace
+
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
@@ -154,13 +157,17 @@ def test_two_incremental_runs_equal_one_full_run(spark):
     commits = load(spark, SMALL, "commits").select("account_id", "repo", "commit_sha", "date")
     nothing = spark.createDataFrame(
         [], "account_id string, repo string, last_scanned_sha string, last_scanned_date string, last_scanned_at string")
-    early = commits.where("date <= '1997-01-01'")
-    first = inc.new_commits(early, nothing)
-    cursors = inc.upsert(nothing, inc.next_cursors(first, "t1"), ["account_id", "repo"])
-    second = inc.new_commits(commits, cursors)
-    assert bag(first.unionByName(second)) == bag(inc.new_commits(commits, nothing, full=True))
-    after = inc.upsert(cursors, inc.next_cursors(second, "t2"), ["account_id", "repo"])
-    assert inc.new_commits(commits, after).count() == 0
+    unscanned = spark.createDataFrame([], "account_id string, repo string, commit_sha string")
+    early = commits.where("date <= '1997-01-01' and hash(commit_sha) % 5 <> 0")  # the others arrive late
+    first = inc.new_commits(early, unscanned)
+    cursors = inc.upsert(nothing, inc.next_cursors(first, nothing, "t1"), ["account_id", "repo"])
+    second = inc.new_commits(commits, first)
+    assert bag(first.unionByName(second)) == bag(inc.new_commits(commits, unscanned, full=True))
+    assert second.where("date = '' or date < '1996-01-01'").count() > 0
+    after = inc.upsert(cursors, inc.next_cursors(second, cursors, "t2"), ["account_id", "repo"])
+    once = inc.next_cursors(commits, nothing, "t2")
+    assert bag(after.select("account_id", "repo", "last_scanned_sha")) == bag(once.select("account_id", "repo", "last_scanned_sha"))
+    assert inc.new_commits(commits, first.unionByName(second)).count() == 0
 
 
 def test_seen_sets(spark):
@@ -268,9 +275,41 @@ def test_digests(spark):
     accounts = spark.createDataFrame(
         [("M", "m@mail.org", "REPLACE_CC"), ("N", "REPLACE_X", None), ("O", "o@mail.org", None)],
         "account_id string, contact_email string, cc_email string")
-    rows = rep.digests(accounts, make(spark, {}, {"account": "N"}), RUN).collect()
-    assert [(r.to, r.cc, r.subject) for r in rows] == [
-        ("m@mail.org", None, "Privacy Report for M — 1 finding — 2024-01-01")]
+    found = make(spark, {}, {"account": "N"})
+    messages = rep.digests(accounts, found, RUN)
+    assert {(r.to, r.cc, r.subject) for r in messages.collect()} == {
+        ("m@mail.org", None, "Privacy Report for M — 1 finding — 2024-01-01")}
+    # the text of the message is the whole report of the account
+    text = "\n".join(r.text for r in messages.orderBy(*rep.RUN_ORDER).collect())
+    assert text == read_report(rep.account_reports(found, RUN).where("account = 'M'"))
+    assert "### HIGH: env-file" in text and "## Findings" in text
+
+
+def test_run_report(spark):
+    read = lambda found: "\n".join(r.text for r in rep.run_report(found, RUN).orderBy(*rep.RUN_ORDER).collect())
+    text = read(make(spark, {}, {"account": "N", "severity": "critical"}))
+    assert text.startswith("# Privacy Report") and "- Findings: 2" in text
+    findings = text[text.index("## Findings"):]
+    assert findings.index("### CRITICAL") < findings.index("### HIGH")
+    clear = read(make(spark, {}).limit(0))
+    assert clear.endswith("No findings. All clear.\n") and "## Findings" not in clear
+
+
+def test_no_exchange_carries_texts(spark):
+    """With blobs bucketed by their key neither a full scan nor an incremental one shuffles texts."""
+    tables = Q.scan_tables(spark, SMALL)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        blobs = src.write_blobs(tables.blobs, "texts_for_plan", 4)
+        for restricted in (False, True):
+            found = sc.scan(replace(tables, blobs=blobs), restricted=restricted)
+            plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+            moved = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", plan)
+            assert moved and not any(re.search(r"\btext#", columns) for columns in moved)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        spark.sql("drop table if exists texts_for_plan")
 
 
 # ---------------------------------------------------------------- streams
