@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .staging import release, stage
-from .vectors import rotation, usable
+from .vectors import drawn, rotation, usable
 
 SAMPLE, LISTS, ROUNDS = 16_384, 128, 8
 FOUND = 0.97
@@ -126,13 +126,13 @@ def _top(found: DataFrame, k: int) -> DataFrame:
 def nearest(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """``query_id, rank, id, score``: the ``k`` nearest found for every row for which ``queries`` holds."""
     rows = usable(vectors, key, column)
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
-    if not sample:
+    sample = drawn(rows, SAMPLE)
+    if not len(sample):
         return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), "id", F.lit(0.0).alias("score")).limit(0)
     rows = rows.withColumn("vector", F.col("vector").cast("array<double>"))
     norm = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
     largest = float(rows.agg(F.max(norm)).first()[0]) ** 0.5
-    fitted = _augmented(np.array([r.vector for r in sample]), largest)
+    fitted = _augmented(sample, largest)
     centres, probes = _fit(fitted, k)
     turn = rotation(fitted.shape[1], 9)
 

@@ -37,6 +37,12 @@ def matrix(lists: pa.Array) -> np.ndarray:
     return flat.reshape(len(lists), -1) if len(lists) else np.zeros((0, 1))
 
 
+def drawn(rows: DataFrame, n: int) -> np.ndarray:
+    """The ``n`` vectors with the smallest hashes of ids, one row of doubles each."""
+    taken = rows.orderBy(F.xxhash64("id"), "id").limit(n).select("vector").toArrow().column("vector")
+    return matrix(taken.combine_chunks()) if len(taken) else np.zeros((0, 1))
+
+
 def rotation(n: int, seed: int) -> np.ndarray:
     """A random orthogonal matrix."""
     q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, n)))
