@@ -313,8 +313,11 @@ def _spans(docs: DataFrame, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Spans ``doc_id, begin, end`` of repeated bytes (they may overlap), the texts they are in, and whole copies."""
     digests = docs.select("doc_id", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"))
     digests = digests.where(F.col("n_bytes") >= LENGTH)
+    # Staged, so that the join below is one of two plain tables, whose skewed parts adaptive execution may split.
     firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = stage(firsts.select("digest", "first"), "firsts")
     copies = stage(digests.join(firsts, "digest").where("doc_id <> first").select("doc_id", "n_bytes"), "copies")
+    release(firsts)
     docs = docs.join(copies.select("doc_id"), "doc_id", "left_anti")
 
     found = stage(docs.mapInArrow(_find_anchors, _FOUND), "anchors")
