@@ -159,10 +159,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         .select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("part"))
     )
     sizes = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"))
-    open_ = (
+    open_ = stage(
         sizes.groupBy("bucket")
         .agg(F.max_by("part", "n").alias("main"), F.count("*").alias("parts"), F.sum("n").alias("members"))
-        .where("parts > 1")
+        .where("parts > 1"),
+        "open-buckets",
     )
     left = placed.join(open_, "bucket").select(
         "bucket", "doc_id", "part", (F.col("part") != F.col("main")).alias("query"),
@@ -178,7 +179,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     more = met.join(sets, "doc_id").groupBy("bucket", "of", "with").applyInPandas(_block_links(percent), "a long, b long")
     more = stage(more, "links")
     final = stage(components(links.unionByName(more)), "components")
-    release(members, sets, links, more, parts)
+    release(members, sets, links, more, parts, open_)
 
     rep = signed.where("digest is not null").select("doc_id", "n_shingles", "digest").join(classes, "digest")
     known = rep.join(final, rep.rep == final.node, "left").select(
