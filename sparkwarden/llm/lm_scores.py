@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import words as W
 from .staging import free_shuffles, stage
 
-BATCH = 2_000_000
+BATCH = 1_200_000
 RANGE_BYTES = 16 << 20
 MU, NU, FLOOR = 8.0, 2000.0, 0.5
 
