@@ -25,7 +25,7 @@ from sparkwarden.llm import quality
 from sparkwarden.llm.near_dedup import near_duplicates
 from sparkwarden.llm.packing import pack
 from sparkwarden.llm.secret_spans import mask_secrets
-from sparkwarden.llm.staging import stage
+from sparkwarden.llm.staging import free_shuffles, stage
 from sparkwarden.llm.suffix_dedup import remove_repeats
 from sparkwarden.sources.files import read_table
 
@@ -48,10 +48,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    free_shuffles(spark)  # of the stage before
     return _without(docs, near_duplicates(docs, width=5, percent=80).where(~F.col("kept")))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    free_shuffles(spark)  # of the stage before
     cut = remove_repeats(docs, whole_characters=True).select(
         F.col("doc_id").alias("__id"), F.col("kept").cast("string").alias("__kept")
     )
