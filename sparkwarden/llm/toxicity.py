@@ -14,9 +14,10 @@ ones may have one or two edits; stems accept whatever follows.
 reporting or disapproval count as signs of quotation.
 
 *Score.*  A logistic regression on what a text holds: hits that look like abuse, their density, and hits that look like
-quotation.  A misspelled hit counts for less than an exact one: by the log odds that it speaks for abuse, if one toxic hit
-in ``1 / MISSPELLED`` is misspelled, given how many clean texts of the sample have such hits.  The regression is fitted
-on the same sample.  Labels, language, source and id are no inputs.
+quotation.  A misspelled hit counts for less than an exact one: by the log odds that its word speaks for abuse, if one toxic hit
+in ``1 / MISSPELLED`` is misspelled, given how many clean texts of the sample hold this very word.  Words that the sample
+doesn't hold are judged by how many words near the same term only one of its clean texts holds.  The regression is fitted
+on the same sample, each text without its own part in these counts.  Labels, language, source and id are no inputs.
 
 Null and empty texts have no hits and get the score of a text without any.  Rows without an id are left out;
 rows that repeat an id are scored one by one.  Without labelled rows of both kinds the lexicon is empty
@@ -108,17 +109,18 @@ class Automaton:
             self.classes[c] = i + 1
         # Trie nodes: one trie for each number of edits allowed.
         children: list[dict[int, int]] = []
-        limit, ends, stems = [], [], []
+        limit, ends, stems, owner = [], [], [], []
 
         def node(k: int) -> int:
             children.append({})
             limit.append(k)
             ends.append(False)
             stems.append(False)
+            owner.append(-1)
             return len(children) - 1
 
         roots: dict[int, int] = {}
-        for t in terms:
+        for k, t in enumerate(terms):
             at = roots.setdefault(t.edits, None)
             if at is None:
                 at = roots[t.edits] = node(t.edits)
@@ -128,6 +130,7 @@ class Automaton:
                 at = children[at][c]
             ends[at] = True
             stems[at] |= t.stem
+            owner[at] = k if owner[at] < 0 else owner[at]
 
         def closed(states: dict[int, int]) -> frozenset:
             todo = list(states.items())
@@ -166,13 +169,18 @@ class Automaton:
                 row.append(number[to])
             rows.append(row)
         self.table = np.array(rows, np.int32)
-        far = 9
-        self.at_end = np.array([min([e for n, e in s if ends[n]], default=far) for s in order], np.int8)
-        self.on_the_way = np.array([min([e for n, e in s if stems[n]], default=far) for s in order], np.int8)
+        far = (9, -1)
+        # Least edits and the first term that they lead to, as one number.
+        self.at_end = np.array([_rank(*min([(e, owner[n]) for n, e in s if ends[n]], default=far)) for s in order], np.int64)
+        self.on_the_way = np.array([_rank(*min([(e, owner[n]) for n, e in s if stems[n]], default=far)) for s in order], np.int64)
 
     def edits(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Least edits from each word to a term, 9 if there is none."""
-        best = np.full(len(starts), 9, np.int8)
+        return self.nearest(data, starts, ends)[0]
+
+    def nearest(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least edits from each word to a term, 9 if there is none, and the number of the first such term, or -1."""
+        best = np.full(len(starts), _rank(9, -1), np.int64)
         alive, state = np.arange(len(starts)), np.ones(len(starts), np.int32)
         i = 0
         while len(alive):
@@ -184,25 +192,44 @@ class Automaton:
             going = state > 0
             alive, state = alive[going], state[going]
             i += 1
-        return best
+        return best >> 32, (best & 0xFFFFFFFF) - 1
+
+
+def _rank(edits: int, term: int) -> int:
+    return (edits << 32) + term + 1
 
 
 MISSPELLED = 0.05
 
 
-def hits(automaton: Automaton, texts: pa.Array) -> np.ndarray:
-    """One row per text: exact hits, misspelled hits, quoted hits and words."""
+@dataclass
+class Hits:
+    """Hits with their texts, and the number of words of each text."""
+
+    words: np.ndarray
+    text: np.ndarray
+    exact: np.ndarray
+    quoted: np.ndarray
+    term: np.ndarray
+    word: np.ndarray  # its hash
+
+    def table(self, weight: np.ndarray) -> np.ndarray:
+        """One row per text: exact hits, misspelled hits by their weights, quoted hits and words."""
+        n = len(self.words)
+        columns = [np.where(self.exact & ~self.quoted, 1.0, 0.0), np.where(~self.exact & ~self.quoted, weight, 0.0), self.quoted]
+        return np.column_stack([*(np.bincount(self.text, c, n) for c in columns), self.words])
+
+
+def hits(automaton: Automaton, texts: pa.Array) -> Hits:
     data, offsets = W.text_bytes(texts)
-    out = np.zeros((len(texts), 4))
-    if len(data) == 0:
-        return out
+    none = np.zeros(0, np.int64)
     raw, data = data, _lower(data)
-    starts, ends, counts = _spans(data, offsets)
+    starts, ends, counts = _spans(data, offsets) if len(data) else (none, none, np.zeros(len(texts), np.int64))
     if len(starts) == 0:
-        return out
+        return Hits(counts, none, none.astype(bool), none.astype(bool), none, none.astype(np.uint64))
     hashes = _word_hashes(data, starts, ends)
     _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-    edits = automaton.edits(data, starts[first], ends[first])[which]
+    edits, terms = (x[which] for x in automaton.nearest(data, starts[first], ends[first]))
     hit = np.flatnonzero(edits < 9)
     text = np.repeat(np.arange(len(counts)), counts)
     # Signs of quotation: an odd number of marks before the hit in its text and a mark behind it in the window.
@@ -216,16 +243,12 @@ def hits(automaton: Automaton, texts: pa.Array) -> np.ndarray:
     telling = np.isin(hashes, _REPORTING_HASHES)
     told = np.concatenate([[0], np.cumsum(telling)])
     quoted = (opened & closed) | (told[end + 1] - told[begin] > 0)
-    exact = edits[hit] == 0
-    for k, keep in enumerate((exact & ~quoted, ~exact & ~quoted, quoted)):
-        out[:, k] = np.bincount(text[hit[keep]], minlength=len(texts))
-    out[:, 3] = counts
-    return out
+    return Hits(counts, text[hit], edits[hit] == 0, quoted, terms[hit], hashes[hit])
 
 
-def features(found: np.ndarray, misspelled: float) -> np.ndarray:
-    """Abuse, whether there is any, its density, and quotation; ``misspelled`` is what such a hit counts."""
-    abuse = found[:, 0] + misspelled * found[:, 1]
+def features(found: np.ndarray) -> np.ndarray:
+    """Abuse, whether there is any, its density, and quotation."""
+    abuse = found[:, 0] + found[:, 1]
     return np.column_stack([np.log1p(abuse), abuse >= 0.5, np.sqrt(abuse / np.maximum(found[:, 3], 1)), np.log1p(found[:, 2])])
 
 
@@ -308,17 +331,77 @@ def choose_terms(counted: dict[str, tuple[int, int]], clean: int, toxic: int) ->
     return [Term(t.rstrip(" ").encode(), not t.endswith(" ")) for _, _, t in terms]
 
 
+@dataclass
+class Spelling:
+    """What misspelled hits count, by numbers of clean and toxic texts of the sample.
+
+    ``words`` are the hashes of all misspelled words that the sample holds, ascending, ``seen`` their clean and toxic texts;
+    ``usual`` is expected of a word near each term.  ``scale`` brings the log odds of an exact hit to 1.
+    """
+
+    words: np.ndarray
+    seen: np.ndarray
+    usual: np.ndarray
+    odds: float
+    scale: float
+
+    def _seen(self, word: np.ndarray) -> np.ndarray:
+        if len(self.words) == 0:
+            return np.zeros((len(word), 2))
+        at = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
+        return np.where((self.words[at] == word)[:, None], self.seen[at], 0)
+
+    def weight(self, found: Hits, toxic: np.ndarray | None = None) -> np.ndarray:
+        """The weight of each hit; texts of the sample (with labels) are left out of their own counts."""
+        seen, usual = self._seen(found.word), self.usual[found.term]
+        if toxic is not None:
+            own = np.column_stack([~toxic[found.text], toxic[found.text]])
+            usual = usual - np.column_stack([(seen[:, 0] == 1) & own[:, 0], np.zeros(len(own), bool)])
+            seen = np.maximum(seen - own, 0)
+        clean, abuse = (seen + usual).T
+        return np.clip((np.log(abuse) - np.log(clean) + self.odds) * self.scale, 0, 1)
+
+
+def fit_spelling(found: Hits, toxic: np.ndarray, terms: int) -> Spelling:
+    """From the hits in the sample and the labels of its texts."""
+    n = np.array([(~toxic).sum(), toxic.sum()])
+    plain = ~found.quoted
+
+    def texts(keep: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys of hits, and clean and toxic texts with each."""
+        keys, which = np.unique(key[keep], return_inverse=True)
+        pairs = np.unique(np.column_stack([found.text[keep], which]), axis=0)
+        return keys, np.column_stack([np.bincount(pairs[toxic[pairs[:, 0]] == t, 1], minlength=len(keys)) for t in (False, True)])
+
+    words, seen = texts(plain & ~found.exact, found.word)
+    used, exact = texts(plain & found.exact, found.term)
+    usual = np.full((terms, 2), 0.5 / max(terms, 1))
+    usual[used, 1] += exact[:, 1]
+    usual[:, 1] *= MISSPELLED
+    near = np.zeros(len(words), np.int64)
+    near[np.searchsorted(words, found.word[plain & ~found.exact])] = found.term[plain & ~found.exact]
+    usual[:, 0] += np.bincount(near[seen[:, 0] == 1], minlength=terms)
+    with_hit = np.array([len(np.unique(found.text[plain & found.exact & (toxic[found.text] == t)])) for t in (False, True)])
+    clean, abused = (with_hit[0] + 0.5) / (n[0] + 1), with_hit[1] / max(n[1], 1)
+    scale = 1 / np.log(abused / clean) if abused > clean else 0.0
+    return Spelling(words, seen, usual, float(np.log(n[0] + 1) - np.log(n[1] + 1)), float(scale))
+
+
 @dataclass
 class Model:
     automaton: Automaton
-    misspelled: float
+    spelling: Spelling | None
     weights: np.ndarray
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        x = features(hits(self.automaton, texts), self.misspelled)
+        found = hits(self.automaton, texts)
+        x = features(found.table(self.spelling.weight(found) if self.spelling else np.zeros(len(found.text))))
         return sigmoid(x @ self.weights[:-1] + self.weights[-1])
 
 
+_DESCRIBED = "toxic int, words long, exact array<boolean>, quoted array<boolean>, term array<long>, word array<long>"
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from ``doc_id, text`` and labels ``doc_id, toxic`` (0 or 1); ids only pick the sample.
 
@@ -342,24 +425,32 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # Only terms that can pass are collected: each text of the bounded sample holds few of them.
     rare = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1)) >= LEAST_ODDS
     found = counted.where((F.col("toxic") >= LEAST_TEXTS) & rare).collect() if clean and toxic else []
-    automaton = Automaton(choose_terms({r.term: (r.clean, r.toxic) for r in found}, clean, toxic))
+    terms = choose_terms({r.term: (r.clean, r.toxic) for r in found}, clean, toxic)
+    automaton = Automaton(terms)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.slices(batch, "text"):
-                x = hits(automaton, part.column(0))
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), part.column(1)], names=["x", "toxic"])
-
-    misspelled, weights = 0.0, np.append(np.zeros(4), 35.0 if toxic else -35.0)
+                found = hits(automaton, part.column(0))
+                ends = np.searchsorted(found.text, np.arange(len(part) + 1)).astype(np.int32)
+                lists = [found.exact, found.quoted, found.term, found.word.view(np.int64)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(1), pa.array(found.words), *(pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in lists)],
+                    names=["toxic", "words", "exact", "quoted", "term", "word"],
+                )
+
+    spelling, weights = None, np.append(np.zeros(4), 35.0 if toxic else -35.0)
     if clean and toxic:
-        table = picked.mapInArrow(describe, "x array<double>, toxic int").collect()
-        x, y = np.array([r.x for r in table]), np.array([r.toxic for r in table], float)
-        abused, (exact, wrong) = (x[y == 1, 0] > 0).mean(), (((x[y == 0, :2] > 0).sum(0) + 0.5) / (clean + 1))
-        if abused > exact:
-            misspelled = float(np.clip(np.log(max(MISSPELLED * abused / wrong, 1)) / np.log(abused / exact), 0, 1))
-        weights = fit_logistic(features(x, misspelled), y, ridge=1e-4)
+        rows = picked.mapInArrow(describe, _DESCRIBED).collect()  # of the bounded sample
+        y = np.array([r.toxic for r in rows], float)
+        text = np.repeat(np.arange(len(rows)), [len(r.term) for r in rows])
+        kinds = {"exact": bool, "quoted": bool, "term": np.int64, "word": np.int64}
+        lists = {k: np.array([x for r in rows for x in r[k]], kind) for k, kind in kinds.items()}
+        sample = Hits(np.array([r.words for r in rows]), text, **lists | {"word": lists["word"].view(np.uint64)})
+        spelling = fit_spelling(sample, y == 1, len(terms))
+        weights = fit_logistic(features(sample.table(spelling.weight(sample, y == 1))), y, ridge=1e-4)
     release(picked)
-    return Model(automaton, misspelled, weights)
+    return Model(automaton, spelling, weights)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -86,3 +87,27 @@ def test_held_out_accuracy(spark):
     scored = QUERIES["op1_toxicity"](spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id")
     right, n = scored.selectExpr("sum(cast(predicted = toxic as int))", "count(*)").first()
     assert n > 500 and right >= 0.97 * n
+
+
+def test_misspelled_terms_on_the_given_tables(spark):
+    """One letter of every term left out: most such texts are still found, and clean texts stay clean."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    held_out = "crc32(cast(doc_id as string)) % 5 = 0"
+    model = T.fit(docs, labels.where(f"not {held_out}"))
+    rows = docs.join(labels.where(held_out), "doc_id").where("text is not null").select("text", "toxic").collect()
+    toxic, clean = ([r.text for r in rows if r.toxic == t] for t in (1, 0))
+    words = sorted({w for t in toxic for w in re.findall(r"[^\W_]+", t.lower())})
+    ends = np.cumsum([len(w.encode()) for w in words])
+    starts = ends - [len(w.encode()) for w in words]
+    edits = model.automaton.edits(np.frombuffer("".join(words).encode(), np.uint8), starts, ends)
+    terms = {w for w, e in zip(words, edits) if e == 0 and len(w) > 4}
+
+    def misspelled(match):
+        w = match[0]
+        return w[: len(w) // 2] + w[len(w) // 2 + 1 :] if w.lower() in terms else w
+
+    wrong = [re.sub(r"[^\W_]+", misspelled, t) for t in toxic]
+    assert sum(a != b for a, b in zip(wrong, toxic)) > 0.8 * len(toxic)
+    assert (model.score(pa.array(wrong)) >= 0.5).mean() > 0.5
+    assert (model.score(pa.array(clean)) >= 0.5).mean() < 0.02
