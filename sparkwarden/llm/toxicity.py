@@ -3,12 +3,13 @@
 *Lexicon.*  From a bounded sample of labelled texts (``SAMPLE`` of each label, the smallest hashes of ids, of near
 copies only a few) come the words, and the stems of inflected words, that toxic texts have far more often.  A walk down the trie of
 all prefixes keeps a prefix as a stem where its texts spread over several continuations, and a whole word
-where one word accounts for them.
+where one word accounts for them.  Words too short for a stem may be terms as whole words.  All that pass the tests are terms.
 
 *Automaton.*  The Levenshtein automata of all terms are intersected with the lexicon's trie: a state is a set of
-pairs of trie node and edits so far, made deterministic before the scan.  All distinct words of a slice of
+pairs of trie node and edits so far, made deterministic before the scan; many terms get one automaton for every ``GROUP`` of them.  All distinct words of a slice of
 texts run through it side by side, one table look-up per character.  Short terms must be spelled right, longer
-ones may have one or two edits; stems accept whatever follows.
+ones may have one or two edits; stems accept whatever follows.  Words with one or two symbols between them are looked at
+together as well (``st*pid``), where none of them is a hit by itself.
 
 *Context.*  For each hit the ``WINDOW`` words around it are looked at: quotation marks around the hit and words of
 reporting or disapproval count as signs of quotation.
@@ -40,9 +41,10 @@ from .fitting import fit_logistic, sigmoid
 from .staging import release, stage
 
 SAMPLE = 4000
-TERMS, LEAST_TEXTS = 64, 6
+GROUP, LEAST_TEXTS = 64, 6
 #: Least log odds of a term, and least log-likelihood ratio (chance alone gives 30 once in 10**7 terms).
 LEAST_ODDS, LEAST_RATIO = 2.0, 30.0
+#: Characters of the shortest and the longest stem; whole words may be shorter.
 SHORTEST, LONGEST = 4, 12
 WINDOW = 8
 #: Words that report or reject what others said; they count if they stand in the window of a hit.
@@ -199,6 +201,28 @@ def _rank(edits: int, term: int) -> int:
     return (edits << 32) + term + 1
 
 
+class Lexicon:
+    """The automata of groups of terms; terms keep their numbers."""
+
+    def __init__(self, terms: list[Term]):
+        order = sorted(range(len(terms)), key=lambda k: (terms[k].edits, terms[k].text))  # similar ones share a trie
+        groups = [order[i : i + GROUP] for i in range(0, len(order), GROUP)]
+        self.groups = [(np.array(g, np.int64), Automaton([terms[k] for k in g])) for g in groups]
+
+    def edits(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Least edits from each word to a term, 9 if there is none."""
+        return self.nearest(data, starts, ends)[0]
+
+    def nearest(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least edits from each word to a term, 9 if there is none, and the number of the nearest term, or -1."""
+        edits, terms = np.full(len(starts), 9, np.int64), np.full(len(starts), -1, np.int64)
+        for numbers, automaton in self.groups:
+            e, t = automaton.nearest(data, starts, ends)
+            closer = e < edits
+            edits[closer], terms[closer] = e[closer], numbers[t[closer]]
+        return edits, terms
+
+
 MISSPELLED = 0.05
 
 
@@ -220,7 +244,43 @@ class Hits:
         return np.column_stack([*(np.bincount(self.text, c, n) for c in columns), self.words])
 
 
-def hits(automaton: Automaton, texts: pa.Array) -> Hits:
+def _together(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of two or three words with one or two symbols between them, in all; no longer runs are in reach of two edits."""
+    gap = starts[1:] - ends[:-1]
+    blank = np.concatenate([[0], np.cumsum(data <= 32)])
+    near = (gap <= 2) & (text[1:] == text[:-1]) & (blank[starts[1:]] == blank[ends[:-1]])
+    two = np.flatnonzero(near)
+    three = np.flatnonzero(near[1:] & near[:-1] & (gap[1:] + gap[:-1] <= 2))
+    return np.concatenate([two, three]), np.concatenate([two + 1, three + 2])
+
+
+def _masked_hits(lexicon: Lexicon, data, starts, ends, hashes, text, hit) -> tuple[np.ndarray, ...]:
+    """First and last word, hash, edits and term of hits of words that symbols divide; ``hit`` marks words that are hits by themselves."""
+    first, last = _together(data, starts, ends, text)
+    known = np.concatenate([[0], np.cumsum(hit)])
+    free = known[last + 1] == known[first]
+    first, last = first[free], last[free]
+    key = W.mix(hashes[first])
+    for k in (1, 2):  # symbols and word behind the first and the second word
+        more = last - first >= k
+        at = first[more] + k
+        one, two = data[ends[at - 1]].astype(np.uint64), data[starts[at] - 1].astype(np.uint64)
+        symbols = one * np.uint64(256) + two + np.uint64(65536) * (starts[at] - ends[at - 1]).astype(np.uint64)
+        key[more] = W.mix(W.mix(key[more] * np.uint64(3) + symbols) + hashes[at])
+    _, new, which = np.unique(key, return_index=True, return_inverse=True)
+    edits, term = (x[which] for x in lexicon.nearest(data, starts[first[new]], ends[last[new]]))
+    found = np.flatnonzero(edits < 9)
+    taken = np.zeros(len(starts), bool)
+    keep = []
+    for i in found[np.lexsort((first[found], last[found] - first[found], edits[found]))]:  # a word belongs to one hit only
+        if not taken[first[i] : last[i] + 1].any():
+            taken[first[i] : last[i] + 1] = True
+            keep.append(i)
+    keep = np.array(keep, np.int64)
+    return first[keep], last[keep], key[keep], edits[keep], term[keep]
+
+
+def hits(lexicon: Lexicon, texts: pa.Array) -> Hits:
     data, offsets = W.text_bytes(texts)
     none = np.zeros(0, np.int64)
     raw, data = data, _lower(data)
@@ -229,21 +289,24 @@ def hits(automaton: Automaton, texts: pa.Array) -> Hits:
         return Hits(counts, none, none.astype(bool), none.astype(bool), none, none.astype(np.uint64))
     hashes = _word_hashes(data, starts, ends)
     _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-    edits, terms = (x[which] for x in automaton.nearest(data, starts[first], ends[first]))
-    hit = np.flatnonzero(edits < 9)
+    edits, terms = (x[which] for x in lexicon.nearest(data, starts[first], ends[first]))
     text = np.repeat(np.arange(len(counts)), counts)
+    hit = np.flatnonzero(edits < 9)
+    masked = _masked_hits(lexicon, data, starts, ends, hashes, text, edits < 9)
+    found = [np.concatenate(x) for x in zip((hit, hit, hashes[hit], edits[hit], terms[hit]), masked)]
+    hit, behind, word, edits, terms = (x[np.argsort(found[0], kind="stable")] for x in found)  # first and last words of hits
     # Signs of quotation: an odd number of marks before the hit in its text and a mark behind it in the window.
     marks = np.concatenate([[0], np.cumsum(_QUOTES[raw])])
     last = np.cumsum(counts)[text[hit]] - 1
     begin = np.maximum(hit - WINDOW, last + 1 - counts[text[hit]])
-    end = np.minimum(hit + WINDOW, last)
+    end = np.minimum(behind + WINDOW, last)
     before = marks[starts[hit]] - marks[offsets[text[hit]]]
     opened = (before % 2 == 1) & (marks[starts[hit]] > marks[starts[begin]] - (begin == last + 1 - counts[text[hit]]))
-    closed = marks[ends[end] - 1] - marks[ends[hit] - 1] + (marks[np.minimum(ends[end] + 2, offsets[text[hit] + 1])] - marks[ends[end] - 1]) > 0
+    closed = marks[ends[end] - 1] - marks[ends[behind] - 1] + (marks[np.minimum(ends[end] + 2, offsets[text[hit] + 1])] - marks[ends[end] - 1]) > 0
     telling = np.isin(hashes, _REPORTING_HASHES)
     told = np.concatenate([[0], np.cumsum(telling)])
     quoted = (opened & closed) | (told[end + 1] - told[begin] > 0)
-    return Hits(counts, text[hit], edits[hit] == 0, quoted, terms[hit], hashes[hit])
+    return Hits(counts, text[hit], edits == 0, quoted, terms, word)
 
 
 def features(found: np.ndarray) -> np.ndarray:
@@ -271,8 +334,7 @@ def _prefix_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 data = _lower(np.frombuffer((text or "").encode(), np.uint8))
                 starts, ends, _ = _spans(data, np.array([0, len(data)]))
                 raw = data.tobytes()
-                words = {raw[a:b] for a, b in zip(starts, ends) if b - a >= SHORTEST}
-                words = {w.decode(errors="replace") for w in words}
+                words = {raw[a:b].decode(errors="replace") for a, b in zip(starts, ends)}
                 keys = {w[:n] for w in words for n in range(SHORTEST, min(len(w), LONGEST) + 1)}
                 found[toxic].update(keys | {w + " " for w in words if len(w) <= 2 * LONGEST})
             keys = sorted(found[0].keys() | found[1].keys())
@@ -314,20 +376,21 @@ def choose_terms(counted: dict[str, tuple[int, int]], clean: int, toxic: int) ->
         return 2 * (b * np.log(b / ((a + b) * share)) + (a * np.log(a / ((a + b) * (1 - share))) if a else 0))
 
     good = {k for k, (_, b) in counted.items() if b >= LEAST_TEXTS and odds(k) >= LEAST_ODDS and ratio(k) >= LEAST_RATIO}
+    following: dict[str, list[str]] = {}
+    for k in good:
+        following.setdefault(k[:-1], []).append(k)
     terms = []
-    for key in sorted(good):
-        if len(key) > SHORTEST and key[:-1] in good:
-            continue  # is reached from a shorter one
-        at = key
+    starts = sorted(k for k in good if len(k) <= SHORTEST or k[:-1] not in good)  # others are reached from shorter ones
+    for at in starts:  # grows while it is walked
         while True:
-            longer = [k for k in good if len(k) == len(at) + 1 and k.startswith(at)]
-            best = max(longer, key=lambda k: (counted[k][1], k), default=None)
+            best = max(following.get(at, []), key=lambda k: (counted[k][1], k), default=None)
             if at.endswith(" ") or best is None or counted[best][1] < 0.9 * counted[at][1]:
                 break
+            starts += sorted(k for k in following[at] if k != best)
             at = best
-        # Other continuations that stand for themselves are covered by the stem.
+        # Other continuations of a stem are covered by it.
         terms.append((odds(at), counted[at][1], at))
-    terms = sorted(terms, key=lambda t: (-t[1] * t[0], t[2]))[:TERMS]
+    terms = sorted(terms, key=lambda t: (-t[1] * t[0], t[2]))
     return [Term(t.rstrip(" ").encode(), not t.endswith(" ")) for _, _, t in terms]
 
 
@@ -389,7 +452,7 @@ def fit_spelling(found: Hits, toxic: np.ndarray, terms: int) -> Spelling:
 
 @dataclass
 class Model:
-    automaton: Automaton
+    automaton: Lexicon
     spelling: Spelling | None
     weights: np.ndarray
 
@@ -426,12 +489,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rare = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1)) >= LEAST_ODDS
     found = counted.where((F.col("toxic") >= LEAST_TEXTS) & rare).collect() if clean and toxic else []
     terms = choose_terms({r.term: (r.clean, r.toxic) for r in found}, clean, toxic)
-    automaton = Automaton(terms)
+    lexicon = Lexicon(terms)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.slices(batch, "text"):
-                found = hits(automaton, part.column(0))
+                found = hits(lexicon, part.column(0))
                 ends = np.searchsorted(found.text, np.arange(len(part) + 1)).astype(np.int32)
                 lists = [found.exact, found.quoted, found.term, found.word.view(np.int64)]
                 yield pa.RecordBatch.from_arrays(
@@ -450,7 +513,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         spelling = fit_spelling(sample, y == 1, len(terms))
         weights = fit_logistic(features(sample.table(spelling.weight(sample, y == 1))), y, ridge=1e-4)
     release(picked)
-    return Model(automaton, spelling, weights)
+    return Model(lexicon, spelling, weights)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -111,3 +111,30 @@ def test_misspelled_terms_on_the_given_tables(spark):
     assert sum(a != b for a, b in zip(wrong, toxic)) > 0.8 * len(toxic)
     assert (model.score(pa.array(wrong)) >= 0.5).mean() > 0.5
     assert (model.score(pa.array(clean)) >= 0.5).mean() < 0.02
+
+
+def test_every_term_that_passes_is_kept():
+    draw = random.Random(6)
+    words = sorted({"".join(draw.choice("abcdefghijklm") for _ in range(draw.randrange(3, 11))) for _ in range(150)})
+    terms = T.choose_terms({f"{w} ": (0, 40) for w in words} | {"pathe": (0, 300), "pathet": (0, 290), "pathei": (0, 25)}, 1000, 1000)
+    assert {t.text.decode() for t in terms} == {*words, "pathet", "pathei"}
+    lexicon, tried = T.Lexicon(terms), [w[:k] + w[k + 1 :] for w in words for k in range(len(w))] + words
+    data = "".join(tried).encode()
+    ends = np.cumsum([len(w) for w in tried])
+    edits, nearest = lexicon.nearest(np.frombuffer(data, np.uint8), ends - [len(w) for w in tried], ends)
+    for word, e, k in zip(tried, edits, nearest):
+        reached = [distance(t.text, word.encode()) for t in terms if not t.stem and distance(t.text, word.encode()) <= t.edits]
+        assert e == min(reached, default=9) and (e == 9 or distance(terms[k].text, word.encode()) == e)
+
+
+def test_short_and_masked_terms(spark):
+    rows, common = labelled()
+    rows = [(i, text.replace("worthless", "zax worthless"), toxic) for i, text, toxic in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = T.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    filler = " ".join(common[:20])
+    texts = ["zax and zax", "zaxo and zxa", "worth*ess and path.tic, worth**ss", "worth ess and path tic", "worth-while and-or path/tic/of tic"]
+    found = T.hits(model.automaton, pa.array(texts))
+    assert found.table(np.ones(len(found.text)))[:, :2].tolist() == [[2, 0], [0, 0], [0, 3], [0, 0], [0, 1]]
+    short, other, masked, apart = model.score(pa.array([f"{filler} {t} {filler}" for t in texts[:4]]))
+    assert short > 0.5 > other and masked > 0.5 > apart
