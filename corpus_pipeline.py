@@ -12,8 +12,8 @@ Each stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor
 
 All but the last return the columns of ``documents``, with ``n_chars`` brought up to date where a text changed.
 Further columns are handed on.  Rows without an id can't be named by a decision: they stay until the last
-stage, which leaves them out.  Rows that repeat an id share the decisions on that id; where a text is cut,
-the smallest text of the id stands for it.
+stage, which leaves them out.  Rows that repeat an id with different texts (in the first stage also with another source or
+language) are documents of their own: one of them stands for the id, the others come after all ids.
 """
 
 from __future__ import annotations
@@ -33,9 +33,29 @@ from sparkwarden.sources.files import read_table
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    gone = ids.select(F.col("doc_id").alias("__id"))
-    return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
+def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    """The rows with a key ``__row``: the id, but for rows of an id that differ from its first kind in the columns a hash from 2**62 on."""
+    key = F.col("doc_id").cast("long")
+    often = docs.where("doc_id is not null").groupBy(key.alias("__id")).agg(F.count("*").alias("n")).where("n > 1").select("__id")
+    if often.limit(1).count() == 0:
+        return docs.withColumn("__row", key)
+    content = F.xxhash64("doc_id", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns if c in docs.columns))
+    kinds = docs.join(often, key == F.col("__id"), "left_semi").groupBy(key.alias("__id")).agg(
+        F.min(content).alias("__first"), F.max(content).alias("__last")
+    )
+    kinds = stage(kinds.where("__first <> __last").drop("__last"), "repeated_ids")
+    other = content.bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    joined = docs.join(kinds, key == F.col("__id"), "left")
+    return joined.withColumn("__row", F.when(content != F.col("__first"), other).otherwise(key)).drop("__id", "__first")
+
+
+def _by_key(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("doc_id", F.col("__row")).drop("__row")
+
+
+def _without(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    gone = keys.select(F.col("doc_id").alias("__id"))
+    return rows.join(gone, rows["__row"] == gone["__id"], "left_anti").drop("__row")
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -44,21 +64,26 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = read_table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    return _without(docs, quality.classify(docs, labels).where(~F.col("kept")))
+    rows = _keyed(docs, "text", "source", "lang")
+    others = rows.where("__row <> doc_id").select("doc_id", "__row").distinct()
+    others = labels.join(others, "doc_id").select(F.col("__row").alias("doc_id"), "label")
+    return _without(rows, quality.classify(_by_key(rows), labels.unionByName(others)).where(~F.col("kept")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     free_shuffles(spark)  # of the stage before
-    return _without(docs, near_duplicates(docs, width=5, percent=80).where(~F.col("kept")))
+    rows = _keyed(docs, "text")
+    return _without(rows, near_duplicates(_by_key(rows), width=5, percent=80).where(~F.col("kept")))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     free_shuffles(spark)  # of the stage before
-    cut = remove_repeats(docs, whole_characters=True).select(
+    rows = _keyed(docs, "text")
+    cut = remove_repeats(_by_key(rows), whole_characters=True).select(
         F.col("doc_id").alias("__id"), F.col("kept").cast("string").alias("__kept")
     )
-    joined = docs.join(cut, docs["doc_id"] == cut["__id"], "left")
-    return _counted(joined.withColumn("text", F.coalesce("__kept", "text")).drop("__id", "__kept"))
+    joined = rows.join(cut, rows["__row"] == cut["__id"], "left")
+    return _counted(joined.withColumn("text", F.coalesce("__kept", "text")).drop("__id", "__kept", "__row"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

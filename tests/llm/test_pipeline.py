@@ -2,6 +2,7 @@ from collections import defaultdict
 
 import pytest
 from odd_rows import odd_documents
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from sparkwarden.llm import quality
@@ -60,3 +61,27 @@ def test_odd_rows(spark):
             assert rows is docs or n == 0
         docs = stage(function(spark, docs, SMALL), name)
     assert 0 in {r.doc_id for r in docs.collect()}
+
+
+def test_rows_that_repeat_an_id_with_different_texts(spark):
+    from conftest import MEDIUM
+
+    def after(function, *texts):
+        rows = spark.createDataFrame(texts, "doc_id long, text string")
+        return sorted((r.doc_id, r.text) for r in stage(function(spark, rows, MEDIUM), "repeated").collect())
+
+    one, two, three = (" ".join(f"{w}{(i * k) % 97}" for i in range(60)) for w, k in (("oak", 5), ("elm", 7), ("ash", 11)))
+    assert after(P.near_dedup, (1, one), (2, one), (2, two), (2, three)) == [(1, one), (2, three), (2, two)]
+    cut = after(P.suffix_dedup, (1, one), (2, "start " + one), (2, two), (2, two + three), (3, three))
+    assert len(cut) == 5 and {(1, one), (2, "start ")} <= set(cut)
+    assert sum(two in t for _, t in cut) == sum(three in t for _, t in cut) == 1
+
+    # Of a rejected and a kept document that share an id one goes.
+    docs, labels = (spark.read.parquet(f"{MEDIUM}/{name}.parquet") for name in ("documents", "labels"))
+    kept = {r.doc_id for r in P.quality_classifier(spark, docs, MEDIUM).collect()}
+    ids = [r.doc_id for r in docs.orderBy("doc_id").collect()]
+    bad, good = next(i for i in ids if i not in kept), next(i for i in ids if i in kept)
+    texts = {r.doc_id: r.text for r in docs.where(f"doc_id in ({bad}, {good})").collect()}
+    shared = docs.withColumn("doc_id", F.when(F.col("doc_id").isin(bad, good), 10**9).otherwise(F.col("doc_id")))
+    rows = P.quality_classifier(spark, shared, MEDIUM).where(f"doc_id = {10**9}").collect()
+    assert [r.text for r in rows] == [texts[good]]
