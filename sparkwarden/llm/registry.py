@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..sources.files import read_table
 from . import pieces, quality, toxicity
 from .lm_scores import cross_entropy_difference
+from .merkle import folded, manifest, proof, row_digest
 from .near_dedup import near_duplicates
 from .neighbours import nearest
 from .packing import pack
@@ -103,6 +104,23 @@ def op10_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "vec_id")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    rest = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    leaves = docs.select(
+        "doc_id", "source", row_digest(*rest, F.col("text")).alias("leaf"),
+        F.when(tampered, row_digest(*rest, F.translate("text", upper, upper.lower()))).alias("tampered"),
+    )
+    tree = manifest(leaves, group="source", order="doc_id", leaf="leaf")
+    root = F.lit(tree.root).cast("string")
+    return tree.leaves.select(
+        "doc_id", "leaf", F.lower(F.hex("subroot")).alias("subroot"), root.alias("root"), proof(F.col("path")).alias("proof_sha256"),
+        folded(F.coalesce("tampered", "leaf"), F.col("path")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_cotraining": op2_quality_cotraining,
@@ -114,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_vector_near_dedup": op10_vector_near_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 
@@ -155,4 +174,44 @@ def _secrets_sql() -> str:
         from d left join told using (doc_id)"""
 
 
-SQL: dict[str, str] = {"op5_secret_scan": _secrets_sql()}
+def _merkle_sql(levels: int = 5) -> str:
+    """Runs of each level as lists; sources of up to 16**levels rows, and as many sources."""
+    fields = " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in ("doc_id::varchar", "source", "lang", "n_chars::varchar"))
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = f"""xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)),
+        lambda c, b: xor(c >> 8, list_reduce(list_prepend(xor(c & 255, b), range(0, 8)), lambda r, i: case when r & 1 = 1 then xor(r >> 1, 3988292384) else r >> 1 end))))"""
+    parts = [f"""d as (
+            select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as place, count(*) over (partition by source) as n,
+                   dense_rank() over (order by source nulls first) - 1 as g
+            from (select doc_id, source, sha256({fields} || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+                         case when doc_id is not null and {crc} % 5 = 0 then sha256({fields} || coalesce(strlen({lower}) || ':' || {lower}, '-')) end as tampered
+                  from documents)),
+        s0 as (select g, place, n, leaf as digest from d)"""]
+
+    def tree(name: str) -> None:
+        for k in range(levels):
+            parts.append(f"""{name}run{k} as (select g, place // 16 as place, any_value(n) as n, list(digest order by place) as run from {name}{k} group by all),
+        {name}{k + 1} as (select g, place, (n + 15) // 16 as n, case when n = 1 then run[1] else sha256(array_to_string(run, '')) end as digest from {name}run{k})""")
+
+    tree("s")
+    parts.append(f"t0 as (select 0 as g, g as place, count(*) over () as n, digest from s{levels})")
+    tree("t")
+
+    def fold(source: str, name: str, place: str, group: str, k: int) -> str:
+        slot = f"({place} // {16 ** k} % 16)"
+        alone, left, right = "n = 1", f"array_to_string(run[1:{slot}], '')", f"array_to_string(run[{slot} + 2:], '')"
+        return f"""select {source}.* exclude (siblings, folded), siblings || case when {alone} then '' else {left} || {right} end as siblings,
+            case when {alone} then folded else sha256({left} || folded || {right}) end as folded
+            from {source} join (select g as rg, place as ra, n, run from {name}run{k}) on rg = {group} and ra = {place} // {16 ** (k + 1)}"""
+
+    parts.append("f0 as (select doc_id, leaf, g as dg, place as dat, '' as siblings, coalesce(tampered, leaf) as folded from d)")
+    for k in range(levels):
+        parts.append(f"f{k + 1} as ({fold(f'f{k}', 's', 'dat', 'dg', k)})")
+    for k in range(levels):
+        parts.append(f"f{levels + k + 1} as ({fold(f'f{levels + k}', 't', 'dg', '0', k)})")
+    return f"""with {", ".join(parts)}
+        select doc_id, leaf, s.digest as subroot, r.digest as root, sha256(siblings) as proof_sha256, folded as folded_root, folded = r.digest as verified
+        from f{2 * levels} join s{levels} s on s.g = dg cross join t{levels} r"""
+
+
+SQL: dict[str, str] = {"op5_secret_scan": _secrets_sql(), "op13_merkle_manifest": _merkle_sql()}
