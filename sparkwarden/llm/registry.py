@@ -18,6 +18,7 @@ from .secret_spans import ALLOWED, CLASSES, KINDS, WINDOW, find_secrets, joined
 from .staging import one_text_per_id
 from .suffix_dedup import remove_repeats
 from .vector_dedup import near_duplicate_vectors
+from .whitening import whiten
 
 
 def _held_out(doc_id: str = "doc_id") -> Column:
@@ -104,6 +105,10 @@ def op10_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "vec_id")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", components=4).withColumnRenamed("id", "vec_id")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -132,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_vector_near_dedup": op10_vector_near_dedup,
+    "op11_whitening": op11_whitening,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
