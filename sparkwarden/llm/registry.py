@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.files import read_table
 from . import pieces, quality, toxicity
+from .fm_index import contamination
 from .lm_scores import cross_entropy_difference
 from .merkle import folded, manifest, proof, row_digest
 from .near_dedup import near_duplicates
@@ -109,6 +110,14 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", components=4).withColumnRenamed("id", "vec_id")
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -138,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_vector_near_dedup": op10_vector_near_dedup,
     "op11_whitening": op11_whitening,
+    "op12_decontamination": op12_decontamination,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -180,6 +190,24 @@ def _secrets_sql() -> str:
         from d left join told using (doc_id)"""
 
 
+_DECONTAMINATION_SQL = r"""
+    with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w, row_number() over () as r from documents),
+    b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where item_id is not null),
+    windows as (select distinct item_id, least(len(w), 10) as n, array_to_string(w[i:i + 9], ' ') as gram
+                from b, lateral (select unnest(range(1, greatest(len(w) - 9, least(len(w), 1)) + 1)) as i)),
+    sizes as (select distinct n from windows),
+    places as (select r, i, n, array_to_string(w[i:i + n - 1], ' ') as gram
+               from d, sizes, lateral (select unnest(range(1, len(w) - n + 2)) as i)),
+    found as (select r, i, n, item_id from places join windows using (n, gram)),
+    words as (select r, count(distinct p) as n_hit from (select r, unnest(range(i, i + n)) as p from (select distinct r, i, n from found)) group by r),
+    items as (select r, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct r, item_id::varchar as id from found) group by r)
+    select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+           coalesce(n_hit, 0) > 0 as contaminated
+    from d left join words using (r) left join items using (r)"""
+
+
 def _merkle_sql(levels: int = 5) -> str:
     """Runs of each level as lists; sources of up to 16**levels rows, and as many sources."""
     fields = " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in ("doc_id::varchar", "source", "lang", "n_chars::varchar"))
@@ -220,4 +248,4 @@ def _merkle_sql(levels: int = 5) -> str:
         from f{2 * levels} join s{levels} s on s.g = dg cross join t{levels} r"""
 
 
-SQL: dict[str, str] = {"op5_secret_scan": _secrets_sql(), "op13_merkle_manifest": _merkle_sql()}
+SQL: dict[str, str] = {"op5_secret_scan": _secrets_sql(), "op12_decontamination": _DECONTAMINATION_SQL, "op13_merkle_manifest": _merkle_sql()}

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from ..sources.files import shared_folder
 
 
-def stage(df: DataFrame, purpose: str) -> DataFrame:
+def stage(df: DataFrame, purpose: str, **options: int) -> DataFrame:
     path = shared_folder(df.sparkSession, purpose)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out

@@ -74,16 +74,20 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     begin[cuts] = inside[cuts]  # words don't run on into the next text
     starts = np.flatnonzero(begin)
     counts = np.diff(np.searchsorted(starts, offsets))
+    return run_hashes(data, starts, inside), counts
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs of bytes marked ``inside`` from the given starts on, after A-Z became a-z."""
     if len(starts) == 0:
-        return np.zeros(0, np.uint64), counts
+        return np.zeros(0, np.uint64)
     terms = powers(_BASE, len(data))
     terms *= _LOWER[data].astype(np.uint64) + np.uint64(1)
     terms *= inside
     sums = np.add.reduceat(terms, starts)  # blanks behind a word add nothing
     del terms
     sizes = np.add.reduceat(inside, starts, dtype=np.uint64)
-    hashes = mix(sums * _shift_back(starts)) + sizes
-    return hashes, counts
+    return mix(sums * _shift_back(starts)) + sizes
 
 
 def _shift_back(starts: np.ndarray) -> np.ndarray:
