@@ -438,7 +438,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bytes_ = pa.Array.from_buffers(
                 pa.binary(), len(part), [None, pa.py_buffer(kept.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[keep]))]
             )
-            ranges = pa.ListArray.from_arrays(spans.offsets, pa.StructArray.from_arrays([pa.array(a), pa.array(b)], names=["begin", "end"]))
+            ranges = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.StructArray.from_arrays([pa.array(a), pa.array(b)], names=["begin", "end"]))
             yield pa.RecordBatch.from_arrays([part.column(0), bytes_.cast(pa.string()), ranges], names=["doc_id", "text", "removed"])
 
 
