@@ -6,11 +6,11 @@ remains is the group's subroot; the subroots, in the order of the groups, are th
 
 1. *Numbering.*  Leaves are sorted by ranges of (group, order, leaf, row), so a group of any size is spread over
    many tasks.  A place is the offset of a (range, group) among the ranges plus the place inside it.
-2. *Levels.*  Each node is shifted to the indices of its siblings (``at XOR 1`` for binary trees, slot offsets
-   1 to ``arity - 1`` otherwise) and equijoined with the node that stands there, so every node holds its
-   siblings.  Rows in slot zero, which hold their whole run, emit the parent.  Keys (group, index) are unique.
-3. *Proofs.*  From the top down each level appends its parents' paths, so the rows of a path are read once per
-   level, and leaves only meet the paths of level one.
+2. *Levels.*  Each node with a sibling in slot zero is shifted to that sibling's index (``at XOR 1`` for binary trees,
+   less its slot otherwise) and equijoined with the node that stands there.  Rows in slot zero, which then hold their
+   whole run, emit the parent and hand the run on.  Keys (group, index) are unique.
+3. *Proofs.*  From the top down each node meets its parent, whose run less the node are its siblings and whose path
+   follows them; so a leaf is moved once, and a run and a path are held once per parent.
 
 Digests travel as 32 bytes.  Nothing but the size of the largest group and the root reaches the driver.
 
@@ -49,10 +49,6 @@ def _hex(digests: Column) -> Column:
     return F.lower(F.hex(digests))
 
 
-def _parent(*parts: Column) -> Column:
-    return F.unhex(F.sha2(F.concat(*map(_hex, parts)), 256))
-
-
 def _numbered(rows: DataFrame, group: str, *order: str) -> DataFrame:
     """The rows with ``g`` (number of their group), ``at`` (place within it) and ``n`` (its size), staged."""
     ranged = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
@@ -84,62 +80,55 @@ def _ordered(keys: DataFrame, key: str) -> DataFrame:
     return joined.select(key, (F.col("__offset") + F.col("__seq") - F.col("__first")).alias("g"))
 
 
-def _siblings(nodes: DataFrame, arity: int) -> DataFrame:
-    """Nodes with the digests of the siblings to their left and right."""
+def _parents(nodes: DataFrame, arity: int) -> DataFrame:
+    """``g, at, n, digest, run`` of the level above, where ``run`` holds the digests of the children."""
     at, slot = F.col("at"), F.col("at") % arity
-    if arity == 2:
-        shifted = F.array(at.bitwiseXOR(F.lit(1).cast("long")))
-    else:
-        shifted = F.transform(F.sequence(F.lit(1), F.lit(arity - 1)), lambda o: at - slot + (slot + o) % arity)
-    told = nodes.select(
-        F.col("g").alias("__g"), F.explode(F.filter(shifted, lambda t: t < F.col("n"))).alias("__to"),
-        slot.cast("int").alias("slot"), F.col("digest").alias("other"),
+    first = at.bitwiseXOR(F.lit(1).cast("long")) if arity == 2 else at - slot
+    told = nodes.where(slot > 0).select(
+        F.col("g").alias("__g"), first.alias("__to"), F.struct(slot.cast("int").alias("slot"), F.col("digest").alias("other")).alias("__sibling")
     )
-    joined = nodes.join(told, (F.col("g") == F.col("__g")) & (at == F.col("__to")), "left")
-    kept = [c for c in nodes.columns if c not in ("g", "at")]
-    other = F.when(F.col("slot").isNotNull(), F.struct("slot", "other"))
-    runs = joined.groupBy("g", "at").agg(*(F.first(c).alias(c) for c in kept), F.array_sort(F.collect_list(other)).alias("__run"))
-
-    def side(test) -> Column:
-        return F.aggregate(F.filter("__run", test), F.lit(_EMPTY), lambda a, s: F.concat(a, s["other"]))
-
-    return runs.withColumn("left", side(lambda s: s["slot"] < slot)).withColumn("right", side(lambda s: s["slot"] > slot)).drop("__run")
+    zero = nodes.where(slot == 0).select("g", "at", "n", "digest")
+    joined = zero.join(told, (F.col("g") == F.col("__g")) & (at == F.col("__to")), "left")
+    runs = joined.groupBy("g", "at").agg(F.first("n").alias("n"), F.first("digest").alias("digest"), F.array_sort(F.collect_list("__sibling")).alias("__run"))
+    run = F.aggregate("__run", F.col("digest"), lambda a, s: F.concat(a, s["other"]))
+    above = runs.select("g", F.floor(at / arity).alias("at"), F.ceil(F.col("n") / arity).alias("n"), run.alias("run"))
+    return above.select("g", "at", "n", F.unhex(F.sha2(_hex(F.col("run")), 256)).alias("digest"), "run")
 
 
 def _levels(nodes: DataFrame, largest: int, arity: int) -> tuple[list[DataFrame], DataFrame]:
-    """Staged nodes of each level with their siblings, and ``g, subroot``."""
+    """Staged levels above the nodes, lowest first, and ``g, subroot``."""
     levels, tops = [], nodes.where("n = 1").select("g", F.col("digest").alias("subroot"))
-    nodes = nodes.where("n > 1")
     while largest > 1:
-        level = stage(_siblings(nodes, arity), f"level{len(levels)}")
-        levels.append(level)
-        nodes = level.where(F.col("at") % arity == 0).select(
-            "g", F.floor(F.col("at") / arity).alias("at"), F.ceil(F.col("n") / arity).alias("n"), _parent(F.col("digest"), F.col("right")).alias("digest")
-        )
+        nodes = stage(_parents(nodes.where("n > 1"), arity), f"level{len(levels) + 1}")
+        levels.append(nodes)
         tops = tops.unionByName(nodes.where("n = 1").select("g", F.col("digest").alias("subroot")))
-        nodes = nodes.where("n > 1")
         largest = -(-largest // arity)
     return levels, tops
 
 
-def _paths(levels: list[DataFrame], tails: DataFrame, arity: int) -> DataFrame | None:
-    """Nodes of the lowest level with ``path``, from their own siblings up; ``tails`` are the groups' paths."""
-    above, held = None, []
-    for k in reversed(range(len(levels))):
-        rows = levels[k].withColumn("__step", F.array(F.struct("left", "right"))).drop("left", "right")
-        top = rows.where(F.col("n") <= arity).join(tails, "g")
+def _under(nodes: DataFrame, above: DataFrame, arity: int) -> DataFrame:
+    """Nodes with ``path``: the parent's run less the node, then the parent's path."""
+    joined = nodes.withColumn("__up", F.floor(F.col("at") / arity)).join(above.withColumnRenamed("run", "__run"), ["g", "__up"])
+    at = ((F.col("at") % arity) * 32).cast("int")
+    step = F.struct(
+        F.substring("__run", F.lit(1), at).alias("left"), F.substring("__run", at + 33, F.octet_length("__run")).alias("right")
+    )
+    return joined.withColumn("path", F.concat(F.array(step), "path")).drop("__up", "__run")
+
+
+def _paths(nodes: DataFrame, levels: list[DataFrame], tails: DataFrame, arity: int) -> DataFrame:
+    """Nodes with ``path``, their own siblings first; ``tails`` are the paths of the groups."""
+    above, held = None, None
+    for level in reversed(levels):
+        rows = level.where("n = 1").join(tails, "g")
         if above is not None:
-            below = rows.where(F.col("n") > arity).withColumn("__up", F.floor(F.col("at") / arity))
-            top = top.unionByName(below.join(above, ["g", "__up"]).drop("__up"))
-        rows = top.withColumn("path", F.concat("__step", "path")).drop("__step")
-        if k:
-            above = stage(rows.select("g", F.col("at").alias("__up"), *tails.drop("g").columns), f"paths{k}")
-            held.append(above)
-            if len(held) > 1:
-                release(held.pop(0))
-        else:
-            return rows
-    return None
+            rows = rows.unionByName(_under(level.where("n > 1"), above, arity).select(*rows.columns))
+        above = stage(rows.withColumnRenamed("at", "__up").drop("n", "digest"), "paths")
+        if held is not None:
+            release(held)
+        held = above
+    lone = nodes.where("n = 1").join(tails, "g")
+    return lone if above is None else lone.unionByName(_under(nodes.where("n > 1"), above, arity).select(*lone.columns))
 
 
 @dataclass
@@ -177,15 +166,12 @@ def manifest(rows: DataFrame, group: str, order: str, leaf: str, arity: int = AR
     upper, root = _levels(above, sizes.g + 1, arity)
     root = bytes(root.first().subroot).hex()
     nothing = above.limit(1).select("g", path.alias("path"))
-    tails = _paths(upper, nothing, arity)
-    tails = nothing if tails is None else tails.select(F.col("at").alias("g"), "path")
+    tails = _paths(above, upper, nothing, arity).select(F.col("at").alias("g"), "path")
     tails = stage(tails.join(tops, "g"), "tails")
     release(*upper)
 
-    lone = nodes.where("n = 1").join(tails, "g")
-    found = _paths(levels, tails, arity)
-    leaves = lone if found is None else found.unionByName(lone)
-    release(*levels[1:])
+    leaves = _paths(nodes, levels, tails, arity)
+    release(*levels)
     return Manifest(leaves.select("load.*", "digest", "subroot", "path"), tops, root)
 
 
