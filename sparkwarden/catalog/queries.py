@@ -16,7 +16,7 @@ from ..operators.lines import (
     document_lines, line_findings, redacted, redacted_text, rule_name, rule_severity, scan_lines, spread,
 )
 from ..operators.rules import LINE_RULES, PII_RULES, SECRET_RULES, is_pii_false_positive, rules_named
-from ..operators.skew import running_totals, salted_join
+from ..operators.skew import key_sketches, running_totals, salted_join
 from ..plans import incremental as inc
 from ..plans import report as rep
 from ..plans import scan as sc
@@ -82,6 +82,15 @@ def source(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return _sources[key]
 
 
+def tree_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    """Sketches of the tree's commits, written once beside the tree."""
+    key = (spark.sparkContext.applicationId, folder, "tree_sketches", _state(spark, folder))
+    if key not in _sources:
+        tree = rec.shape_tree(source(spark, folder, "raw_tree"))
+        _sources[key] = stage(key_sketches(tree, ["commit_sha"]), "tree_sketches")
+    return _sources[key]
+
+
 def doc_files(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return source(spark, folder, "doc_files").select(*columns, "text")
 
@@ -161,6 +170,7 @@ def scan_tables(spark: SparkSession, folder: str, account_table: DataFrame | Non
         tree=rec.shape_tree(source(spark, folder, "raw_tree")),
         blobs=doc_files(spark, folder, "blob_sha"),
         image_metadata=source(spark, folder, "image_metadata"),
+        tree_sketches=tree_sketches(spark, folder),
     )
 
 

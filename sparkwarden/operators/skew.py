@@ -11,13 +11,31 @@ from pyspark.sql.window import Window as W
 
 ROWS_PER_SALT = 1_000_000
 #: At most so many keys are split.  A key beyond them has less than this share of the rows, so even on as
-#: many cores it is no more than one core's even part; see ``hot_keys``.
+#: many cores it is no more than one core's even part; see ``hot_in``.
 HOT_KEYS = 10_000
 TRACKED_KEYS = 2 * HOT_KEYS
 SKETCHES = 256
 
 
+def key_sketches(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``part, sketch, n``: frequent-item sketches of the keys, of fixed size and at most ``SKETCHES`` of them.
+
+    Sketches of parts of a table, such as its versions, may be kept beside it and united: ``hot_in`` merges
+    them, so the keys of a table are counted once, when it is written.
+    """
+    return (
+        df.select(F.xxhash64(*keys).alias("h"), (F.spark_partition_id() % SKETCHES).alias("part"))
+        .groupBy("part")
+        .agg(F.expr(f"approx_top_k_accumulate(h, {TRACKED_KEYS})").alias("sketch"), F.count("*").alias("n"))
+    )
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_salt: int = ROWS_PER_SALT) -> list[tuple[int, int, int]]:
+    """The hot keys of a table, counted now."""
+    return hot_in(key_sketches(df, keys), rows_per_salt)
+
+
+def hot_in(sketches: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> list[tuple[int, int, int]]:
     """Hash, rows and salts of each key that has too many rows for one task.
 
     Too many is more than ``rows_per_salt``, or than an even share of ``HOT_KEYS`` tasks if that is more; so the
@@ -25,11 +43,6 @@ def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_salt: int = ROWS_PER_S
     merged in two steps, find the keys: no shuffle of keys.  The list only steers where rows go, never which
     rows are joined.
     """
-    sketches = (
-        df.select(F.xxhash64(*keys).alias("h"), (F.spark_partition_id() % SKETCHES).alias("part"))
-        .groupBy("part")
-        .agg(F.expr(f"approx_top_k_accumulate(h, {TRACKED_KEYS})").alias("sketch"), F.count("*").alias("n"))
-    )
     # grouped, because combining no sketches at all fails
     merged = sketches.groupBy((F.col("part") * 0).alias("all")).agg(
         F.expr(f"approx_top_k_combine(sketch, {TRACKED_KEYS})").alias("sketch"), F.sum("n").alias("total")
@@ -43,15 +56,19 @@ def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_salt: int = ROWS_PER_S
 def salted_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], spread_on: Sequence[str],
     rows_per_salt: int = ROWS_PER_SALT, counted: DataFrame | None = None, how: str = "inner",
+    sketches: DataFrame | None = None,
 ) -> DataFrame:
     """Inner or left equi-join whose hot left keys are split over salts.
 
     Rows of ``right`` for a hot key are repeated once per salt, but never into more rows than the left side has for
     the key; ``spread_on`` are columns that vary within a hot key, hashed so that a repeated task sends each
     row to the same place.  Without hot keys this is a plain join, and Catalyst broadcasts the right side if
-    its size allows.  ``counted`` is a table whose keys are cheaper to count than those of ``left``.
+    its size allows.  ``counted`` is a table whose keys are cheaper to count than those of ``left``; nothing is
+    counted if ``sketches`` of its keys are given.
     """
-    hot = hot_keys(left if counted is None else counted, keys, rows_per_salt)
+    if sketches is None:
+        sketches = key_sketches(left if counted is None else counted, keys)
+    hot = hot_in(sketches, rows_per_salt)
     if not hot:
         return left.join(right, list(keys), how)
     # At most HOT_KEYS rows of three numbers, so the broadcasts below are bounded.

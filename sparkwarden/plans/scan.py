@@ -30,6 +30,7 @@ from ..sources.files import stage
 from ..sources.records import filter_repos
 
 IMAGE, TEXT = "image", "text"
+COMMIT_COLUMNS = ["repo", "commit_sha", "commit_ord", "account_id", "repo_ord", "account_ord"]
 
 
 @dataclass(frozen=True)
@@ -40,6 +41,8 @@ class ScanTables:
     tree: DataFrame
     blobs: DataFrame
     image_metadata: DataFrame
+    #: Sketches of the tree's commits (``skew.key_sketches``), if they are kept beside it: then no scan counts the tree.
+    tree_sketches: DataFrame | None = None
 
 
 def route(path: Column, size: Column, options: ScanOptions = ScanOptions()) -> Column:
@@ -66,26 +69,33 @@ def selected_commits(
 
 
 def planned_files(
-    t: ScanTables, options: ScanOptions = ScanOptions(), rows_per_salt: int = ROWS_PER_SALT
+    t: ScanTables, options: ScanOptions = ScanOptions(), rows_per_salt: int = ROWS_PER_SALT,
+    commits: DataFrame | None = None,
 ) -> DataFrame:
-    """Every file to read, with its route; contents are not touched."""
+    """Every file to read, with its route; contents are not touched.
+
+    ``commits`` are the selected commits, if they are known already.
+    """
     files = t.tree.select(
         "commit_sha", "path", "blob_sha", route(F.col("path"), F.col("size"), options).alias("route")
     ).where(F.col("route").isNotNull())
-    return salted_join(
-        files, selected_commits(t, options, rows_per_salt), ["commit_sha"], ["path"], rows_per_salt,
-        counted=t.tree,
-    )
+    if commits is None:
+        commits = selected_commits(t, options, rows_per_salt)
+    commits = commits.select(*COMMIT_COLUMNS)
+    return salted_join(files, commits, ["commit_sha"], ["path"], rows_per_salt, counted=t.tree, sketches=t.tree_sketches)
 
 
 def skipped_files(
-    t: ScanTables, options: ScanOptions = ScanOptions(), rows_per_salt: int = ROWS_PER_SALT
+    t: ScanTables, options: ScanOptions = ScanOptions(), rows_per_salt: int = ROWS_PER_SALT,
+    commits: DataFrame | None = None,
 ) -> DataFrame:
     """Files of the chosen commits that are too large to be read."""
     large = t.tree.where(F.col("size") > options.max_file_bytes).select("commit_sha", "path", "size")
-    return salted_join(large, selected_commits(t, options, rows_per_salt), ["commit_sha"], ["path"], rows_per_salt).select(
-        "account_id", "repo", "commit_sha", "path", "size"
-    )
+    if commits is None:
+        commits = selected_commits(t, options, rows_per_salt)
+    commits = commits.select(*COMMIT_COLUMNS)
+    joined = salted_join(large, commits, ["commit_sha"], ["path"], rows_per_salt, counted=t.tree, sketches=t.tree_sketches)
+    return joined.select("account_id", "repo", "commit_sha", "path", "size")
 
 
 def blob_findings(t: ScanTables, options: ScanOptions = ScanOptions()) -> DataFrame:
@@ -150,7 +160,7 @@ def keyword_file_findings(
 
 def scan(
     t: ScanTables, options: ScanOptions = ScanOptions(), rows_per_salt: int = ROWS_PER_SALT,
-    restricted: bool = False,
+    restricted: bool = False, commits: DataFrame | None = None,
 ) -> DataFrame:
     """All findings with their order columns (``model.FINDING_COLUMNS`` + ``model.ORDER_COLUMNS``).
 
@@ -158,7 +168,7 @@ def scan(
     (some accounts or repositories, or the commits of an incremental run) looks only at the blobs of planned
     files, others are skipped by a semi join; a full scan looks at them all and needs no such join.
     """
-    files = stage(planned_files(t, options, rows_per_salt), "files")
+    files = stage(planned_files(t, options, rows_per_salt, commits), "files")
     if restricted:
         needed = files.select("blob_sha").distinct()
         t = replace(
