@@ -457,29 +457,38 @@ def keyword_patterns(spark, folder):
     return keywords.keyword_patterns(accounts(spark, folder))
 
 
-def _texts_with_patterns(spark, folder, *columns):
-    """Texts with the pattern of their account; an account with very many texts is split over tasks."""
-    patterns = keywords.keyword_patterns(accounts(spark, folder))
+def _wanted_texts(spark, folder):
+    """Texts by blob, the (text, pattern) pairs that their accounts want, and the patterns; only ids are joined."""
+    listed = accounts(spark, folder)
     files = source(spark, folder, "doc_files")
-    texts = files.select("account_id", "blob_sha", *columns, "text")
-    return salted_join(texts, patterns, ["account_id"], ["blob_sha"], counted=files.select("account_id")).drop("blob_sha")
+    owned = files.select("account_id", "blob_sha")
+    wanted = salted_join(owned, keywords.keyword_patterns(listed), ["account_id"], ["blob_sha"]).select("blob_sha", "pattern")
+    return files.select("blob_sha", "text"), wanted, keywords.distinct_patterns(listed), "blob_sha"
+
+
+def _file_columns(spark, folder, found, *columns):
+    """Findings of blobs as findings of their files."""
+    files = source(spark, folder, "doc_files").select("blob_sha", *columns)
+    return salted_join(found, files, ["blob_sha"], ["line"])
 
 
 @query
 def keyword_matches(spark, folder):
-    return flat(keywords.keyword_matches(_texts_with_patterns(spark, folder, "doc_id"), ["doc_id"]))
+    found = keywords.wanted_matches(*_wanted_texts(spark, folder))
+    return flat(_file_columns(spark, folder, found, "doc_id").select("doc_id", "line", "match_ord", "match"))
 
 
 @query
 def keyword_severity(spark, folder):
-    found = keywords.keyword_matches(_texts_with_patterns(spark, folder, "doc_id"), ["doc_id"])
+    found = keywords.wanted_matches(*_wanted_texts(spark, folder))
     return found.groupBy(F.lower("match").alias("keyword")).agg(
         F.max(keywords.keyword_severity(F.col("match"))).alias("severity"), F.count(F.lit(1)).alias("n"))
 
 
 @query
 def keyword_findings(spark, folder):
-    return _file_findings(keywords.keyword_findings(_texts_with_patterns(spark, folder, *_FILE[1:]), _FILE))
+    found = keywords.wanted_findings(*_wanted_texts(spark, folder))
+    return _file_findings(_file_columns(spark, folder, found, *_FILE).drop("blob_sha", "pattern"))
 
 
 # ---------------------------------------------------------------- image metadata

@@ -136,23 +136,19 @@ def keyword_file_findings(
 ) -> DataFrame:
     """Keyword findings of text files: each (text, pattern) pair is matched once.
 
-    Files with their patterns are staged, as two steps read them.  A text meets one row that holds all its
-    patterns: few such rows are broadcast; many meet the texts in a join on blob_sha, for which a table made
-    by ``write_blobs`` needs no shuffle of texts.
+    Files with their patterns are staged, as two steps read them.  The distinct pairs say which texts meet which
+    patterns; with many patterns an index gives the lines, so neither texts nor lists of patterns move.
     """
-    patterns = keywords.keyword_patterns(t.accounts)
     texts = stage(
         salted_join(
-            files.where(F.col("route") == TEXT), patterns, ["account_id"], ["commit_sha", "path"], rows_per_salt,
-            counted=files,
+            files.where(F.col("route") == TEXT), keywords.keyword_patterns(t.accounts), ["account_id"], ["commit_sha", "path"],
+            rows_per_salt, counted=files,
         ),
         "keyword-files",
     )
-    wanted = texts.select("blob_sha", "pattern").distinct().groupBy("blob_sha").agg(F.collect_list("pattern").alias("patterns"))
-    contents = t.blobs.select("blob_sha", "text").join(wanted, "blob_sha").select(
-        "blob_sha", "text", F.explode("patterns").alias("pattern")
-    )
-    found = keywords.keyword_findings(contents, ["blob_sha", "pattern"])
+    wanted = texts.select("blob_sha", "pattern").distinct()
+    patterns = keywords.distinct_patterns(t.accounts)
+    found = keywords.wanted_findings(t.blobs.select("blob_sha", "text"), wanted, patterns, "blob_sha")
     return salted_join(
         texts, found, ["blob_sha", "pattern"], ["commit_sha", "path"], rows_per_salt
     ).drop("pattern")
