@@ -10,7 +10,8 @@ Input tables (any extra columns are ignored):
     image_metadata  blob_sha, meta_json                    (one row per blob)
 
 A tree lists every file again for every commit, so content is scanned once per blob and the
-findings, not the texts, are joined back to the files.
+findings, not the texts, are joined back to the files.  A file that stays the same over neighbouring commits is one
+row with a bit per commit until its findings are known (``planned_blocks``).
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from ..sources.files import stage
 from ..sources.records import filter_repos
 
 IMAGE, TEXT = "image", "text"
+FILE_COLUMNS = ["account_id", "account_ord", "repo", "repo_ord", "path", "blob_sha", "route", "block", "bits"]
+SPREAD = ["repo", "block", "path"]
 COMMIT_COLUMNS = ["repo", "commit_sha", "commit_ord", "account_id", "repo_ord", "account_ord"]
 
 
@@ -70,7 +73,7 @@ def selected_commits(
 
 def planned_files(
     t: ScanTables, options: ScanOptions = ScanOptions(), rows_per_salt: int = ROWS_PER_SALT,
-    commits: DataFrame | None = None,
+    commits: DataFrame | None = None, more_columns: tuple[str, ...] = (),
 ) -> DataFrame:
     """Every file to read, with its route; contents are not touched.
 
@@ -81,10 +84,54 @@ def planned_files(
     ).where(F.col("route").isNotNull())
     if commits is None:
         commits = selected_commits(t, options, rows_per_salt)
-    commits = commits.select(*COMMIT_COLUMNS)
+    commits = commits.select(*COMMIT_COLUMNS, *more_columns)
     return salted_join(files, commits, ["commit_sha"], ["path"], rows_per_salt, counted=t.tree, sketches=t.tree_sketches)
 
 
+BLOCK = 64  # commits per row of a file
+
+
+def numbered_commits(commits: DataFrame) -> DataFrame:
+    """Commits with ``pos``, a number of their own that follows their order within a repository, staged.
+
+    Sorted by ranges, so a repository with very many commits is spread over tasks; numbers need not be dense.
+    """
+    order = ["repo", "commit_ord", "commit_sha"]
+    ranged = commits.select(*COMMIT_COLUMNS).repartitionByRange(*order).sortWithinPartitions(*order)
+    return stage(ranged.withColumn("pos", F.monotonically_increasing_id()), "commits")
+
+
+def planned_blocks(
+    t: ScanTables, commits: DataFrame, options: ScanOptions = ScanOptions(), rows_per_salt: int = ROWS_PER_SALT
+) -> DataFrame:
+    """The files to read, one row per ``BLOCK`` neighbouring commits in which a file is the same, staged.
+
+    ``bits`` tells which commits of the block have it.  Rows are combined before they are shuffled, and a key
+    has at most ``BLOCK`` rows.  A tree that lists a file of a commit twice keeps both: such blocks stay single rows.
+    """
+    files = planned_files(t, options, rows_per_salt, commits, ("pos",)).select(
+        *[c for c in FILE_COLUMNS if c not in ("block", "bits")], F.floor(F.col("pos") / BLOCK).alias("block"),
+        F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("pos") % BLOCK).cast("int")).alias("bits"),
+    )
+    keys = [c for c in FILE_COLUMNS if c != "bits"]
+    blocks = stage(files.groupBy(*keys).agg(F.bit_or("bits").alias("bits"), F.count(F.lit(1)).alias("n")), "files")
+    whole = F.bit_count("bits") == F.col("n")
+    twice = blocks.where(~whole).select(*keys)
+    if twice.isEmpty():
+        return blocks.drop("n")
+    same = [files[k].eqNullSafe(twice[k]) for k in keys]
+    return stage(blocks.where(whole).drop("n").unionByName(files.join(twice, same, "left_semi")), "files")
+
+
+def expand_blocks(rows: DataFrame, commits: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """Rows of blocks as rows of their commits, with ``commit_sha`` and ``commit_ord``."""
+    places = F.filter(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda i: F.getbit("bits", i) == 1)
+    single = rows.select("*", F.explode(places).alias("place")).withColumn("pos", F.col("block") * BLOCK + F.col("place"))
+    return salted_join(
+        single.drop("place", "bits", "block"), commits.select("pos", "commit_sha", "commit_ord"), ["pos"], ["path"], rows_per_salt
+    ).drop("pos")
+
+
 def skipped_files(
     t: ScanTables, options: ScanOptions = ScanOptions(), rows_per_salt: int = ROWS_PER_SALT,
     commits: DataFrame | None = None,
@@ -141,8 +188,8 @@ def keyword_file_findings(
     """
     texts = stage(
         salted_join(
-            files.where(F.col("route") == TEXT), keywords.keyword_patterns(t.accounts), ["account_id"], ["commit_sha", "path"],
-            rows_per_salt, counted=files,
+            files.where(F.col("route") == TEXT), keywords.keyword_patterns(t.accounts), ["account_id"], SPREAD, rows_per_salt,
+            counted=files,
         ),
         "keyword-files",
     )
@@ -150,7 +197,7 @@ def keyword_file_findings(
     patterns = keywords.distinct_patterns(t.accounts)
     found = keywords.wanted_findings(t.blobs.select("blob_sha", "text"), wanted, patterns, "blob_sha")
     return salted_join(
-        texts, found, ["blob_sha", "pattern"], ["commit_sha", "path"], rows_per_salt
+        texts, found, ["blob_sha", "pattern"], SPREAD, rows_per_salt
     ).drop("pattern")
 
 
@@ -164,22 +211,22 @@ def scan(
     (some accounts or repositories, or the commits of an incremental run) looks only at the blobs of planned
     files, others are skipped by a semi join; a full scan looks at them all and needs no such join.
     """
-    files = stage(planned_files(t, options, rows_per_salt, commits), "files")
+    if commits is None:
+        commits = selected_commits(t, options, rows_per_salt)
+    commits = numbered_commits(commits)
+    files = planned_blocks(t, commits, options, rows_per_salt)
     if restricted:
         needed = files.select("blob_sha").distinct()
         t = replace(
             t, blobs=t.blobs.join(needed, "blob_sha", "left_semi"),
             image_metadata=t.image_metadata.join(needed, "blob_sha", "left_semi"),
         )
-    columns = ["account_id", "account_ord", "repo", "repo_ord", "commit_sha", "commit_ord", "path"]
+    columns = [c for c in FILE_COLUMNS if c not in ("blob_sha", "route")]
     content = with_name_findings(
-        salted_join(
-            files, blob_findings(t, options), ["blob_sha", "route"], ["commit_sha", "path"], rows_per_salt
-        ),
-        columns,
+        salted_join(files, blob_findings(t, options), ["blob_sha", "route"], SPREAD, rows_per_salt), columns
     )
     custom = keyword_file_findings(t, files, columns, rows_per_salt)
-    return as_findings(content.unionByName(custom, allowMissingColumns=True))
+    return as_findings(expand_blocks(content.unionByName(custom, allowMissingColumns=True), commits, rows_per_salt))
 
 
 def as_findings(rows: DataFrame) -> DataFrame:
