@@ -562,5 +562,12 @@ def statements() -> dict[str, str]:
         "stream_unseen_gists": statement(["gists"], [], "select distinct account_id, gist_id from gists"),
         "stream_run_ledger": statement(doc, matches(SECRETS + PII, "doc_files", "doc_id"),
             "select 0 batch_id, count(*) findings_count from kept"),
+        "stream_ledger_totals": statement(doc, matches(SECRETS + PII, "doc_files", "account_id"),
+            "select account_id, 0 batch_id, count(*) findings_count, count(*) findings_so_far from kept group by account_id"),
+        "stream_first_findings": statement(doc, matches(PII, "doc_files", "doc_id, repo, path"),
+            f"""select doc_id, repo, path, rule, line, {REDACTED} redacted_evidence from kept
+            qualify row_number() over (partition by repo, path, rule, line order by doc_id, match_ord) = 1
+            and min(doc_id) over (partition by repo, path, rule, line) * 600 + 86400 <= (select max(doc_id) from kept) * 600 - 3600"""),
     }
+    sql["stream_assets_marked_seen"] = sql["assets_marked_seen"]
     return sql

@@ -21,7 +21,7 @@ from ..plans import incremental as inc
 from ..plans import report as rep
 from ..plans import scan as sc
 from ..sources import records as rec
-from ..sources.files import stage
+from ..sources.files import read_named_text_files, shared_folder, stage, write_text_files
 from ..streaming import queries as st
 from .inputs import load
 
@@ -63,6 +63,7 @@ SOURCE_TABLES = {
     "image_metadata": ["blob_sha"],
 }
 _sources: dict[tuple, DataFrame] = {}
+_folders: dict[tuple, str] = {}
 
 
 def _state(spark: SparkSession, folder: str) -> tuple:
@@ -248,7 +249,12 @@ def release_assets_flat(spark, folder):
 
 @query
 def files_source(spark, folder):
-    files = doc_files(spark, folder, "doc_id", "path")
+    """The texts as one file each, read back as a folder of files."""
+    key = (spark.sparkContext.applicationId, folder, "files", _state(spark, folder))
+    if key not in _folders:
+        texts = doc_files(spark, folder, "doc_id", "path")
+        _folders[key] = write_text_files(texts, shared_folder(spark, "files"), "doc_id", "path")
+    files = read_named_text_files(spark, _folders[key], "doc_id long, path string")
     return flat(files.select("doc_id", "path", F.md5("text").alias("text_md5"), F.length("text").alias("n_chars")))
 
 
@@ -775,3 +781,18 @@ def stream_unseen_gists(spark, folder):
 @query
 def stream_run_ledger(spark, folder):
     return flat(st.run_ledger(spark, folder))
+
+
+@query
+def stream_ledger_totals(spark, folder):
+    return flat(st.ledger_totals(spark, folder))
+
+
+@query
+def stream_assets_marked_seen(spark, folder):
+    return flat(st.assets_marked_seen(spark, folder))
+
+
+@query
+def stream_first_findings(spark, folder):
+    return flat(st.first_findings(spark, folder))

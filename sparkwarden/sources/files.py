@@ -1,10 +1,14 @@
-"""Readers for texts and image records, and the folder that all executors share."""
+"""Readers for texts, archives and image records, and the folder that all executors share."""
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +64,66 @@ def read_text_files(
     )
 
 
+def write_text_files(texts: DataFrame, folder: str, *names: str, text: str = "text") -> str:
+    """One file per row, in folders named after the values of ``names``, which together must be unique.
+
+    As any text file it ends with a line end, which ``read_named_text_files`` takes away again.
+    """
+    texts.select(*names, F.coalesce(text, F.lit("")).alias("text")).write.partitionBy(*names).text(folder)
+    return folder
+
+
+def read_named_text_files(spark: SparkSession, folder: str, schema: str, max_file_bytes: int | None = None) -> DataFrame:
+    """Files that ``write_text_files`` wrote, with the values in their folders' names (``schema``) as columns.
+
+    Folders are listed in parallel, and both the size filter and filters on names reach the source, so other files
+    are never opened.
+    """
+    raw = spark.read.format("binaryFile").option("basePath", folder).option("pathGlobFilter", "part-*").load(folder)
+    if max_file_bytes is not None:
+        raw = raw.where(F.col("length") <= max_file_bytes + 1)
+    names = [F.col(f.name).cast(f.dataType).alias(f.name) for f in spark.createDataFrame([], schema).schema.fields]
+    content = F.make_valid_utf8(F.substring("content", F.lit(1), F.octet_length("content") - 1).cast("string"))
+    return raw.select(*names, (F.col("length") - 1).alias("size"), content.alias("text"))
+
+
+def stream_text_files(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
+    """Whole files as they arrive in a folder or folders below it: ``path, size, text``."""
+    reader = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true")
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    raw = reader.load(folder)
+    return raw.select("path", F.col("length").alias("size"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+
+
+def read_archives(spark: SparkSession, paths: str | list[str], max_file_bytes: int | None = None) -> DataFrame:
+    """Members of zip archives as ``archive, path, size, text``; bytes that are not UTF-8 are replaced.
+
+    A member's size is looked up in the archive's list, so larger ones are not unpacked.  Members are unpacked one by
+    one; folders and members under a password are left out, and what is no archive has no members.
+    """
+    limit = max_file_bytes
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0), batch.column(1)):
+                try:
+                    archive = zipfile.ZipFile(io.BytesIO(content.as_buffer()))
+                except zipfile.BadZipFile:
+                    continue
+                for m in archive.infolist():
+                    if m.is_dir() or m.flag_bits & 1 or (limit is not None and m.file_size > limit):
+                        continue
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([path.as_py()]), pa.array([m.filename]), pa.array([m.file_size]), pa.array([archive.read(m)], pa.binary())],
+                        names=["archive", "path", "size", "content"],
+                    )
+
+    raw = spark.read.format("binaryFile").load(paths).select("path", "content")
+    found = raw.mapInArrow(members, "archive string, path string, size long, content binary")
+    return found.select("archive", "path", "size", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+
+
 def read_image_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One JSON document per file as ``path, meta_json``."""
     return read_text_files(spark, paths).select("path", F.col("text").alias("meta_json"))

@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.skew import running_totals
 from ..sources.files import shared_folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -72,6 +73,22 @@ def write_batches(
     return spark.read.parquet(f"{base}/table")
 
 
+def ledger_totals(batches: DataFrame, group: Sequence[str], count: str, total: str) -> DataFrame:
+    """Running totals over batches, from the counts of each batch.
+
+    A batch that ran twice has written its counts once (``write_batches``), so the totals are as if it ran once.  Batch ids
+    are dense positions, so no group meets in one task, however many batches it has.
+    """
+    every = batches.groupBy(*group, "batch_id").agg(F.sum(count).alias(count))
+    return running_totals(every, list(group), "batch_id", {count: total})
+
+
+def fold_ledger(batches: DataFrame, group: Sequence[str], count: str, upto: int) -> DataFrame:
+    """The batches up to ``upto`` as one row per group under that number; totals of later batches stay as they were."""
+    at = F.when(F.col("batch_id") <= upto, F.lit(upto)).otherwise(F.col("batch_id")).cast("long")
+    return batches.groupBy(*group, at.alias("batch_id")).agg(F.sum(count).alias(count))
+
+
 def unique_findings(findings: DataFrame, event_time: str | None = None, delay: str | None = None) -> DataFrame:
     """One finding per repository, file, rule and line.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog.inputs import load
 from ..operators.lines import line_findings
 from ..operators.rules import LINE_RULES, PII_RULES
-from . import jobs
+from . import jobs, state
 
 
 def _found(spark: SparkSession, folder: str, keys: list[str], rules) -> DataFrame:
@@ -51,3 +51,28 @@ def run_ledger(spark: SparkSession, folder: str) -> DataFrame:
     count = lambda batch: batch.agg(F.count(F.lit(1)).alias("findings_count"))
     batches = jobs.write_batches(found.select("doc_id"), "stream-ledger", count, "append")
     return batches.select("batch_id", "findings_count")
+
+
+def ledger_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Findings of each batch per account and their running totals over the batches."""
+    found = _found(spark, folder, ["account_id"], LINE_RULES)
+    count = lambda batch: batch.groupBy("account_id").agg(F.count(F.lit(1)).alias("findings_count"))
+    batches = jobs.write_batches(found.select("account_id"), "stream-ledger", count, "append")
+    return jobs.ledger_totals(batches, ["account_id"], "findings_count", "findings_so_far")
+
+
+def assets_marked_seen(spark: SparkSession, folder: str) -> DataFrame:
+    """The seen set of assets after a stream of listings: met assets get a new time and keep their first repository."""
+    keys, seen = ["account_id", "asset_id"], load(spark, folder, "seen_assets")
+    listed = load(spark, folder, "assets", jobs.read_stream).withColumn("seen_at", F.lit("2024-06-01T06:00:00Z"))
+    updates = state.mark_seen(listed, keys, ["repo"], ["seen_at"], seen)
+    return state.seen_table(jobs.write_batches(updates, "stream-assets", lambda batch: batch, "update"), keys, seen)
+
+
+def first_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """The first finding of each repository, file, rule and line by document, once its day and an hour have passed."""
+    found = _found(spark, folder, ["doc_id", "repo", "path", "seen_at"], PII_RULES)
+    rows = found.select("repo", "path", "rule", "line", "doc_id", "match_ord", "redacted_evidence", "seen_at")
+    keys = ["repo", "path", "rule", "line"]
+    first = state.first_findings(rows, keys, ["doc_id", "match_ord"], "seen_at", "1 hour", 86_400_000)
+    return jobs.append_to_table(first, "stream-first").select("doc_id", *keys, "redacted_evidence")
