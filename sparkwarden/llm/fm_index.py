@@ -35,6 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import shared_folder
 from . import words as W
 from .staging import stage
 
@@ -277,8 +278,10 @@ def _build(shard: int):
 def build_index(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     """One row per shard of ``doc_id, text``, staged; rows keep their places in ``doc_ids``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    path = shared_folder(docs.sparkSession, "fm_index")
     # Few rows a file, since a reader's batch holds many rows of one file.
-    return stage(rows.mapInArrow(_build(shard), _INDEX), "fm_index", maxRecordsPerFile=8)
+    rows.mapInArrow(_build(shard), _INDEX).write.options(compression="zstd", maxRecordsPerFile=8).parquet(path)
+    return docs.sparkSession.read.schema(_INDEX).parquet(path)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

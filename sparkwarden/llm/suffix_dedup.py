@@ -6,7 +6,9 @@ in the same one.  Strings are judged on the input, may overlap and never cross d
 1. *Suffix buckets.*  Each ``LENGTH``-byte string belongs to the smallest hash among its ``GRAM``-byte grams
    (the leftmost of equals), its anchor.  Equal strings have equal anchors at equal distance, so the hash of
    the anchor names the bucket in which a suffix is sorted.  Consecutive suffixes with one anchor travel as one
-   segment.  A bucket with a single segment can't hold a repeat and is not sorted.
+   segment.  A bucket with a single segment can't hold a repeat and is not sorted: buckets are counted, and
+   those with several segments set a bit in a set of ``FILTER_WORDS`` words, so that few other segments are
+   moved to meet their count.  The set is of one size; the fuller it is, the more it lets through.
 2. A segment that equals an earlier one of the same batch of rows is a repeat and goes no further, so what
    very many texts share is thinned out where it is read.  A bucket that still has over ``HOT`` segments is not
    sorted in one task: its strings are grouped one by one, by 128 bits of hashes, with pre-aggregation.
@@ -38,6 +40,7 @@ LENGTH, GRAM = 100, 32
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)  # a perfect difference set: each difference modulo 31 occurs once
 BLOCK_BYTES = 1 << 20
 HOT = 20_000
+FILTER_WORDS = 1 << 21
 
 _SPREAD = np.random.default_rng(7).integers(0, 1 << 64, size=256, dtype=np.uint64)
 _STEPS = np.random.default_rng(8).integers(0, 1 << 64, size=5, dtype=np.uint64) | np.uint64(1)
@@ -276,6 +279,26 @@ def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield work(pa.Table.from_batches(held))
 
 
+def _bits_of(buckets: DataFrame) -> np.ndarray:
+    """A bit for each bucket, by some bits of its number; ``FILTER_WORDS`` words at most reach the driver."""
+    place = F.col("bucket").bitwiseAND(F.lit(64 * FILTER_WORDS - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    rows = buckets.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    words = np.zeros(FILTER_WORDS, np.uint64)
+    words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return words
+
+
+def _in_filter(words: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.column(0).to_numpy() & np.int64(64 * FILTER_WORDS - 1)
+            met = words[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)
+            yield batch.filter(pa.array(met.astype(bool)))
+
+    return run
+
+
 def _cut(whole_characters: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -323,9 +346,12 @@ def _spans(docs: DataFrame, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     found = stage(docs.mapInArrow(_find_anchors, _FOUND), "anchors")
     free_shuffles(docs.sparkSession)
     anchors = found.where("bucket is not null").select("bucket", "doc_id", "place")
-    shared = anchors.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = stage(anchors.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    free_shuffles(docs.sparkSession)
+    anchors = anchors.mapInArrow(_in_filter(_bits_of(shared)), "bucket long, doc_id long, place long")
     zones = anchors.join(shared.select("bucket", (F.col("n") > hot).alias("hot")), "bucket")
     zones = stage(zones.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "place", "hot")).alias("zones")), "zones")
+    release(shared)
     nearby = stage(found.where("bucket is null").select("doc_id", F.col("place").alias("begin"), "end"), "spans")
     release(found)
     free_shuffles(docs.sparkSession)
