@@ -58,6 +58,19 @@ def _without(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.join(gone, rows["__row"] == gone["__id"], "left_anti").drop("__row")
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """One row of each key, the smallest; only rows whose key repeats are moved."""
+    often = rows.where("__row is not null").groupBy("__row").agg(F.count("*").alias("n")).where("n > 1").select(F.col("__row").alias("__key"))
+    if often.limit(1).count() == 0:
+        return rows
+    often = stage(often, "repeated_rows")
+    same = rows["__row"] == often["__key"]
+    order = F.struct(*(c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind))
+    merged = rows.join(often, same, "left_semi").groupBy("__row").agg(F.min_by(F.struct(*rows.columns), order).alias("row"))
+    merged = merged.select("row.*")
+    return rows.join(often, same, "left_anti").unionByName(merged)
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else docs
 
@@ -72,7 +85,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     free_shuffles(spark)  # of the stage before
-    rows = _keyed(docs, "text")
+    rows = _once(_keyed(docs, "text"))
     return _without(rows, near_duplicates(_by_key(rows), width=5, percent=80).where(~F.col("kept")))
 
 
