@@ -76,6 +76,17 @@ def test_rows_that_repeat_an_id_with_different_texts(spark):
     assert len(cut) == 5 and {(1, one), (2, "start ")} <= set(cut)
     assert sum(two in t for _, t in cut) == sum(three in t for _, t in cut) == 1
 
+    # Rows that repeat id and text are copies, whatever their other columns hold.
+    twice = spark.createDataFrame(
+        [(1, one, "b", {"k": 1}), (1, one, "a", {"k": 2}), (2, two, "c", None), (None, three, "d", None), (None, three, "d", None), (3, None, "e", None), (3, None, "e", None)],
+        "doc_id long, text string, source string, extra map<string,int>",
+    )
+    left = stage(P.near_dedup(spark, twice, MEDIUM), "copies")
+    assert sorted((r.doc_id or 0, r.source) for r in left.collect()) == [(0, "d"), (0, "d"), (1, "a"), (2, "c"), (3, "e")]
+    assert P.suffix_dedup(spark, left, MEDIUM).count() == P.secret_scan(spark, left, MEDIUM).count() == 5
+    packed = P.packing(spark, left, MEDIUM).collect()
+    assert sorted(r.doc_id for r in packed) == [1, 2, 3]
+
     # Of a rejected and a kept document that share an id one goes.
     docs, labels = (spark.read.parquet(f"{MEDIUM}/{name}.parquet") for name in ("documents", "labels"))
     kept = {r.doc_id for r in P.quality_classifier(spark, docs, MEDIUM).collect()}
