@@ -88,7 +88,7 @@ def read_named_text_files(spark: SparkSession, folder: str, schema: str, max_fil
 
 
 def stream_text_files(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
-    """Whole files as they arrive in a folder or folders below it: ``path, size, text``."""
+    """Whole files as they arrive in a folder or folders below it: ``path, size, text``.  Empty files don't arrive."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     reader = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true")
     if files_per_batch:
