@@ -475,7 +475,7 @@ def _wanted_texts(spark, folder):
 def _file_columns(spark, folder, found, *columns):
     """Findings of blobs as findings of their files."""
     files = source(spark, folder, "doc_files").select("blob_sha", *columns)
-    return salted_join(found, files, ["blob_sha"], ["line"])
+    return found.join(files, "blob_sha")
 
 
 @query

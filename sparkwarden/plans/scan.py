@@ -123,13 +123,15 @@ def planned_blocks(
     return stage(blocks.where(whole).drop("n").unionByName(files.join(twice, same, "left_semi")), "files")
 
 
-def expand_blocks(rows: DataFrame, commits: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
-    """Rows of blocks as rows of their commits, with ``commit_sha`` and ``commit_ord``."""
+def expand_blocks(rows: DataFrame, commits: DataFrame) -> DataFrame:
+    """Rows of blocks as rows of their commits, with ``commit_sha`` and ``commit_ord``.
+
+    A number names one commit, so adaptive execution can split a commit of very many rows; counting keys
+    here would work out all the findings twice.
+    """
     places = F.filter(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda i: F.getbit("bits", i) == 1)
     single = rows.select("*", F.explode(places).alias("place")).withColumn("pos", F.col("block") * BLOCK + F.col("place"))
-    return salted_join(
-        single.drop("place", "bits", "block"), commits.select("pos", "commit_sha", "commit_ord"), ["pos"], ["path"], rows_per_salt
-    ).drop("pos")
+    return single.drop("place", "bits", "block").join(commits.select("pos", "commit_sha", "commit_ord"), "pos").drop("pos")
 
 
 def skipped_files(
@@ -226,7 +228,7 @@ def scan(
         salted_join(files, blob_findings(t, options), ["blob_sha", "route"], SPREAD, rows_per_salt), columns
     )
     custom = keyword_file_findings(t, files, columns, rows_per_salt)
-    return as_findings(expand_blocks(content.unionByName(custom, allowMissingColumns=True), commits, rows_per_salt))
+    return as_findings(expand_blocks(content.unionByName(custom, allowMissingColumns=True), commits))
 
 
 def as_findings(rows: DataFrame) -> DataFrame:
