@@ -15,7 +15,7 @@ from .merkle import folded, manifest, proof, row_digest
 from .near_dedup import near_duplicates
 from .neighbours import nearest
 from .packing import pack
-from .secret_spans import ALLOWED, CLASSES, KINDS, WINDOW, find_secrets, joined
+from .secret_spans import KINDS, find_secrets, joined
 from .staging import one_text_per_id
 from .suffix_dedup import remove_repeats
 from .vector_dedup import near_duplicate_vectors
@@ -154,10 +154,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def _secrets_sql() -> str:
-    """Spans by splitting at the matches; each window's entropy worked out on its own."""
+    """Spans by splitting at the matches; each window's entropy worked out on its own.  All rules are written out here anew."""
+    width = 20
+    cut = "(?i:example|sample|dummy|placeholder|xxxx|abcdefgh|01234567|12345678)|[0-9]{4}-[0-9]{2}-[0-9]{2}"
+    uuid = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+    word = "([A-Z][a-z]{1,13}|[a-z]{1,14}|[A-Z]{1,14})"
+    words = f"^[-_/]*({word}[-_/]+)*{word}?[-_/]*[0-9]{{0,4}}$"
     name = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
     assign = name + """["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-    patterns = {"assign": (assign, 2, 6), "access": ("AKIA[A-Z0-9]+", 0, 20), "hex": ("[0-9a-f]+", 0, 24), "entropy": ("[A-Za-z0-9+/=_-]+", 0, WINDOW)}
+    patterns = {"assign": (assign, 2, 6), "access": ("AKIA[A-Z0-9]+", 0, 20), "hex": ("[0-9a-f]+", 0, 24), "entropy": ("[A-Za-z0-9+/=_-]+", 0, width)}
     parts = []
     for nth, (kind, (pattern, group, least)) in enumerate(patterns.items()):
         quoted = "'" + pattern.replace("'", "''") + "'"
@@ -166,17 +171,22 @@ def _secrets_sql() -> str:
                    cast(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) as bigint) as start
             from (select doc_id, regexp_extract_all(t, {quoted}, 0) as m, regexp_extract_all(t, {quoted}, {group}) as v, string_split_regex(t, {quoted}) as g from d),
                  lateral (select unnest(range(1, len(m) + 1)) as i)""")
-    allowed = " or ".join(f"regexp_matches(found, '{p}')" for p in ALLOWED)
-    limit = "case " + " ".join(f"when regexp_matches(found, '{p}') then {bits}" for p, bits in CLASSES[:-1]) + f" else {CLASSES[-1][1]} end"
     return f"""
         with d as (select doc_id, coalesce(text, '') as t from documents),
         every as ({" union all ".join(parts)}),
         base as (select doc_id, kind, nth, start, start + length(found) as stop from every where long and kind <> 'entropy'),
+        cut as (select doc_id, start, regexp_extract_all(found, '{cut}', 0) as m, string_split_regex(found, '{cut}') as g from every where long and kind = 'entropy'),
+        pieces as (
+            select doc_id, g[i] as piece,
+                   start + cast(coalesce(list_sum(list_transform(g[1:i - 1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) as bigint) as start
+            from cut, lateral (select unnest(range(1, len(g) + 1)) as i)),
         windows as (
-            select doc_id, start, unnest(list_filter(range(0, length(found) - {WINDOW} + 1),
-                lambda i: list_entropy(string_split(found[i + 1:i + {WINDOW}], '')) > {limit})) as w
-            from every where long and kind = 'entropy' and regexp_matches(found, '[0-9]') and regexp_matches(found, '[A-Za-z]') and not ({allowed})),
-        high as (select doc_id, 'entropy' as kind, 3 as nth, start + min(w) as b, start + max(w) + {WINDOW} as stop from windows group by doc_id, start),
+            select doc_id, start, unnest(list_filter(range(0, length(piece) - {width} + 1),
+                lambda i: list_entropy(string_split(piece[i + 1:i + {width}], '')) >
+                          case when regexp_matches(piece, '^[0-9a-fA-F]+$') then 3.05 when regexp_matches(piece, '^[A-Za-z0-9]+$') then 3.75 else 3.85 end)) as w
+            from pieces
+            where length(piece) >= {width} and regexp_matches(piece, '[A-Za-z]') and not regexp_matches(piece, '{uuid}') and not regexp_matches(piece, '{words}')),
+        high as (select doc_id, 'entropy' as kind, 3 as nth, start + min(w) as b, start + max(w) + {width} as stop from windows group by doc_id, start),
         spans as (select * from base union all select doc_id, kind, nth, b, stop from high),
         told as (
             select doc_id,

@@ -4,11 +4,13 @@ Patterns: values assigned to a secret's name (``assign``), access keys (``access
 (``hex``), leftmost and without overlap within a kind.  Matches that are too short are dropped afterwards,
 so they still use up their text.
 
-Entropy (kind ``entropy``): a candidate is a run of at least ``WINDOW`` characters of the base-64 alphabets
-with a letter and a digit.  A window of ``WINDOW`` characters slides over it; the Shannon entropy of its
-characters follows from a sum over counts that is brought up to date with the character that enters and the
-one that leaves.  The limit depends on the character class of the candidate.  The span runs from the first
-to the last window above the limit.  Candidates that the allow list matches are no secrets.
+Entropy (kind ``entropy``): a candidate is a run of at least ``WINDOW`` characters of the base-64 alphabets.
+It is cut at what the allow list matches, so no window overlaps an allowed match, and the pieces are looked at
+one by one.  A piece without a letter, an UUID, and words of letters joined by ``-_/`` with a short number at the
+end are no secrets.  In the other pieces, letters-only ones included, a window of ``WINDOW`` characters slides on;
+the Shannon entropy of its characters follows from a sum over counts that is brought up to date with the
+character that enters and the one that leaves, so the work is linear in the length.  The limit depends on the
+character class of the piece.  The span runs from its first to its last window above the limit.
 
 Only DataFrame functions are used and no row is shuffled.  Null texts are empty and have no spans; rows with
 a null id and rows that repeat an id are looked at like all others; other columns are not looked at.
@@ -32,34 +34,53 @@ WINDOW = 20
 CANDIDATE = rf"[A-Za-z0-9+/=_-]{{{WINDOW},}}"
 #: Class of a candidate: the first pattern that holds, and the entropy in bits above which a window counts.
 CLASSES = (("^[0-9a-fA-F]+$", 3.05), ("^[A-Za-z0-9]+$", 3.75), ("", 3.85))
+#: Candidates are cut at these.
 ALLOWED = (
     "(?i:example|sample|dummy|placeholder|xxxx|abcdefgh|01234567|12345678)",
-    "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    "^[A-Za-z]+([-_/][A-Za-z]+)*[-_/]?[0-9]{0,4}$",
     "[0-9]{4}-[0-9]{2}-[0-9]{2}",
 )
+UUID = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
+#: What words joined by ``-_/`` with a number of up to four digits at the end do not hold.
+NO_WORDS = "[a-z][A-Z]|[A-Z]{2}[a-z]|[A-Za-z]{15}|[0-9][^0-9]|[0-9]{5}|[+=]"
 KINDS = ("assign", "access", "hex", "entropy")
 
 
+#: Matches are walked in blocks of so many, and blocks one by one, so that a list never grows match by match beyond it.
+BLOCK = 512
+
+
 def _found(text: Column, pattern: str, group: int = 0) -> Column:
     """``start, match, value`` of every match, only worked out for texts that have one."""
+    kind = "array<struct<start:int,match:string,value:string>>"
+    empty = F.array().cast(kind)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
     between = F.transform(F.split(text, pattern, -1), F.char_length)
-    empty = F.array().cast("array<struct<start:int,match:string,value:string>>")
-    steps = F.arrays_zip(matches.alias("match"), values.alias("value"), between.alias("gap"))
-    walked = F.aggregate(
-        F.filter(steps, lambda s: s["match"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), empty.alias("found")),
-        lambda acc, s: F.struct(
-            (acc["at"] + s["gap"] + F.char_length(s["match"])).alias("at"),
-            F.array_append(
-                acc["found"],
-                F.struct((acc["at"] + s["gap"]).alias("start"), s["match"].alias("match"), s["value"].alias("value")),
-            ).alias("found"),
-        ),
-    )
-    return F.when(text.rlike(pattern), walked["found"]).otherwise(empty)
+    steps = F.filter(F.arrays_zip(matches.alias("match"), values.alias("value"), between.alias("gap")), lambda s: s["match"].isNotNull())
+
+    def place(acc: Column, s: Column) -> Column:
+        start = acc["at"] + s["gap"]
+        return F.struct(
+            (start + F.char_length(s["match"])).alias("at"),
+            F.array_append(acc["found"], F.struct(start.alias("start"), s["match"].alias("match"), s["value"].alias("value"))).alias("found"),
+        )
+
+    def blocks(steps: Column) -> Column:
+        """Matches of each block, placed from the block's begin on, and the block's length."""
+        begin = F.struct(F.lit(0).alias("at"), empty.alias("found"))
+        firsts = F.sequence(F.lit(1), F.size(steps), F.lit(BLOCK))
+        return F.transform(firsts, lambda i: F.aggregate(F.slice(steps, i, BLOCK), begin, place))
+
+    def follow(acc: Column, block: Column) -> Column:
+        moved = F.transform(
+            block["found"],
+            lambda m: F.struct((acc["at"] + m["start"]).alias("start"), m["match"].alias("match"), m["value"].alias("value")),
+        )
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.array_append(acc["found"], moved).alias("found"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("found"))
+    bound = F.transform(F.array(steps), lambda s: F.aggregate(blocks(s), begin, follow)["found"])  # steps are worked out once
+    return F.when(text.rlike(pattern), F.flatten(bound[0])).otherwise(empty)
 
 
 def _spans(found: Column, kind: str) -> Column:
@@ -81,9 +102,10 @@ def _windows(string: Column, window: int, limit: Column) -> Column:
     def count(inside: Column, character: Column) -> Column:
         return F.char_length(inside) - F.char_length(F.replace(inside, character, F.lit("")))
 
-    def step(acc: Column, i: Column) -> Column:
-        enters, leaves = F.substring(string, i, F.lit(1)), F.substring(acc["inside"], 1, 1)
-        full = i > window
+    def step(acc: Column, enters: Column) -> Column:
+        start = acc["start"] + 1
+        full = start > 0
+        leaves = F.substring(acc["inside"], 1, 1)
         rest = F.when(full, F.substring(acc["inside"], F.lit(2), F.lit(window - 1))).otherwise(acc["inside"])
         out = count(acc["inside"], leaves)
         new = count(rest, enters)
@@ -92,24 +114,34 @@ def _windows(string: Column, window: int, limit: Column) -> Column:
             - F.when(full, weight(out) - weight(out - 1)).otherwise(F.lit(0.0))
             + weight(new + 1) - weight(new)
         )
-        high = (i >= window) & (F.log2(F.lit(float(window))) - total / window > limit)
-        start = (i - window).cast("int")
+        high = (start >= 0) & (F.log2(F.lit(float(window))) - total / window > acc["limit"])
         return F.struct(
-            F.concat(rest, enters).alias("inside"), total.alias("total"),
+            F.concat(rest, enters).alias("inside"), start.alias("start"), total.alias("total"), acc["limit"].alias("limit"),
             F.when(high & (acc["first"] < 0), start).otherwise(acc["first"]).alias("first"),
             F.when(high, start).otherwise(acc["last"]).alias("last"),
         )
 
-    begin = F.struct(F.lit("").alias("inside"), F.lit(0.0).alias("total"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(string)), begin, step)
+    begin = F.struct(
+        F.lit("").alias("inside"), F.lit(-window).alias("start"), F.lit(0.0).alias("total"), limit.alias("limit"),
+        F.lit(-1).alias("first"), F.lit(-1).alias("last"),
+    )
+    return F.aggregate(F.split(string, ""), begin, step)
+
+
+def _pieces(candidate: Column, allowed: Sequence[str]) -> Column:
+    """``start, piece``: what lies between allowed matches of a candidate."""
+    if not allowed:
+        return F.array(F.struct(candidate["start"].alias("start"), candidate["match"].alias("piece")))
+    cut = "|".join(f"(?:{p})" for p in allowed)
+    ends = F.transform(_found(candidate["match"], cut), lambda m: candidate["start"] + m["start"] + F.char_length(m["match"]))
+    starts = F.concat(F.array(candidate["start"]), ends)
+    return F.arrays_zip(starts.alias("start"), F.split(candidate["match"], cut, -1).alias("piece"))
 
 
 def _entropy_spans(text: Column, window: int, allowed: Sequence[str]) -> Column:
-    def suspect(m: Column) -> Column:
-        fine = m["match"].rlike("[0-9]") & m["match"].rlike("[A-Za-z]")
-        for pattern in allowed:
-            fine = fine & ~m["match"].rlike(pattern)
-        return fine
+    def suspect(p: Column) -> Column:
+        piece = p["piece"]
+        return (F.char_length(piece) >= window) & piece.rlike("[A-Za-z]") & piece.rlike(NO_WORDS) & ~piece.rlike(UUID)
 
     def limit(string: Column) -> Column:
         out = F.lit(CLASSES[-1][1])
@@ -117,8 +149,11 @@ def _entropy_spans(text: Column, window: int, allowed: Sequence[str]) -> Column:
             out = F.when(string.rlike(pattern), F.lit(bits)).otherwise(out)
         return out
 
-    found = F.filter(_found(text, CANDIDATE), suspect)
-    high = F.transform(found, lambda m: F.struct(m["start"].alias("start"), _windows(m["match"], window, limit(m["match"])).alias("w")))
+    pieces = F.flatten(F.transform(_found(text, CANDIDATE), lambda m: _pieces(m, allowed)))
+    high = F.transform(
+        F.filter(pieces, suspect),
+        lambda p: F.struct(p["start"].alias("start"), _windows(p["piece"], window, limit(p["piece"])).alias("w")),
+    )
     return F.transform(
         F.filter(high, lambda m: m["w"]["first"] >= 0),
         lambda m: F.struct(
@@ -163,14 +198,30 @@ def joined(spans: Column) -> Column:
 
 
 def _masked(text: Column, spans: Column, mask: str) -> Column:
-    end = F.char_length(text)
-    done = F.aggregate(
-        spans,
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda acc, s: F.struct(
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)))
-            .otherwise(acc["out"]).alias("out"),
-            F.greatest(acc["at"], s["end"]).alias("at"),
-        ),
-    )
-    return F.when(F.size(spans) > 0, F.concat(done["out"], F.substring(text, done["at"] + 1, end))).otherwise(text)
+    """The text is cut at the ends of blocks of spans, so that no place is searched from the begin of a long text."""
+
+    def cover(acc: Column, s: Column) -> Column:
+        before = F.substring(acc["chunk"], acc["at"] - acc["origin"] + 1, s["start"] - acc["at"])
+        return F.struct(
+            acc["chunk"].alias("chunk"), acc["origin"].alias("origin"), F.greatest(acc["at"], s["end"]).alias("at"),
+            F.when(s["start"] >= acc["at"], F.array_append(acc["out"], F.concat(before, F.lit(mask)))).otherwise(acc["out"]).alias("out"),
+        )
+
+    nothing = F.array().cast("array<string>")
+
+    def follow(acc: Column, i: Column) -> Column:
+        block = F.slice(spans, i, BLOCK)
+        stop = F.greatest(acc["at"], F.array_max(F.transform(block, lambda s: s["end"])))
+        begin = F.struct(
+            F.substring(acc["rest"], F.lit(1), stop - acc["at"]).alias("chunk"), acc["at"].alias("origin"), acc["at"].alias("at"), nothing.alias("out"),
+        )
+        done = F.aggregate(block, begin, cover, lambda end: F.array_join(end["out"], ""))
+        return F.struct(
+            F.substring(acc["rest"], stop - acc["at"] + 1, F.char_length(acc["rest"])).alias("rest"), stop.alias("at"),
+            F.array_append(acc["out"], done).alias("out"),
+        )
+
+    begin = F.struct(text.alias("rest"), F.lit(0).alias("at"), nothing.alias("out"))
+    firsts = F.sequence(F.lit(1), F.size(spans), F.lit(BLOCK))
+    masked = F.aggregate(firsts, begin, follow, lambda acc: F.concat(F.array_join(acc["out"], ""), acc["rest"]))
+    return F.when(F.size(spans) > 0, masked).otherwise(text)
