@@ -1,20 +1,21 @@
 """Cross-entropy difference: a target and a background bigram model over one vocabulary score each document.
 
-Both models have the same order and smoothing, and one vocabulary: all ``V`` words of the background texts, of
-which every scored token is one.  With counts ``c``, target ``T`` and background ``B``, where a document's own
-counts are taken from the background while it is scored:
+Both models have the same order and smoothing, and one vocabulary: all ``V`` words of either side's texts, counted
+exactly, of which every token of both is one.  With counts ``c``, target ``T`` and background ``B``, where a document's own
+counts are taken from the background while it is scored, and ``c(v .)`` is how often a word follows ``v``:
 
-    p_B(w) = (c_B(w) + FLOOR) / (N_B + FLOOR V)    p_B(w | v) = (c_B(v w) + MU p_B(w)) / (c_B(v) + MU)
-    p_T(w) = (c_T(w) + NU p_B(w)) / (N_T + NU)     p_T(w | v) = (c_T(v w) + MU p_T(w)) / (c_T(v) + MU)
+    p_B(w) = (c_B(w) + FLOOR) / (N_B + FLOOR V)    p_B(w | v) = (c_B(v w) + MU p_B(w)) / (c_B(v .) + MU)
+    p_T(w) = (c_T(w) + NU p_B(w)) / (N_T + NU)     p_T(w | v) = (c_T(v w) + MU p_T(w)) / (c_T(v .) + MU)
 
-A token's losses are the negative logarithms of these (the first token of a text has no context); a document's score is the
-mean difference, background less target: above 0 it is closer to the target.  ``V`` is counted approximately, as
-it only enters the floor.
+Each adds up to 1 over the vocabulary.  A token's losses are the negative logarithms of these (the first token of a
+text has no context); a document's score is the mean difference, background less target: above 0 it is closer to the
+target.  Losses are added up text by text, so they don't depend on how texts fall into batches.
 
 Counts cover all texts and are never held in one place.  Texts are read in batches of about ``BATCH`` words; a
-batch asks for the counts of its distinct words and pairs, once each, cut into ranges of their hashes.  One task
-per range adds up what all batches hold and answers each; the answers go back to the batches, where tokens are
-scored.  A frequent word or pair is one entry per batch, so no range is hot.
+batch asks for the counts of its distinct words, pairs and words at the end of texts, once each, cut into ranges of their
+hashes.  One task per range adds up what all batches hold and answers each; the answers go back to the batches, where
+tokens are scored.  A frequent word or pair is one entry per batch, so no range is hot.  Only ranges that a batch has
+something in are rows, so there are never more rows than words and pairs.
 
 Null and blank texts have no tokens, losses of 0 and a score of 0.  Rows without an id are left out; rows that
 repeat an id are scored one by one (and counted one by one).  Other columns are not looked at.
@@ -36,10 +37,11 @@ from .staging import free_shuffles, stage
 BATCH = 1_200_000
 RANGE_BYTES = 16 << 20
 MU, NU, FLOOR = 8.0, 2000.0, 0.5
+_END = np.uint64(0x9E3779B97F4A7C15)  # stands for the end of a text
 
 _TOKENS = "batch long, target boolean, doc_ids array<long>, counts array<int>, words array<long>, tokens array<int>"
 _ASKED = "range int, batch long, target boolean, grams array<long>, n array<int>"
-_TOLD = "batch long, range int, background array<int>, target array<int>"
+_TOLD = "batch long, range int, background array<long>, target array<long>"
 _SCORES = "doc_id long, n_tokens long, loss_target double, loss_background double, score double"
 
 
@@ -88,27 +90,37 @@ def _pairs(tokens: np.ndarray, counts: np.ndarray, words: int) -> tuple[np.ndarr
     return tokens[at - 1].astype(np.int64) * words + tokens[at], at
 
 
+def _last(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The last token of every text that has one."""
+    return tokens[np.cumsum(counts)[counts > 0] - 1]
+
+
 def _gram_hashes(words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """One number for each distinct word and pair of a batch."""
+    """One number for each distinct word and pair of a batch, and for each of its words as the last one of a text."""
     words = words.view(np.uint64)
     v, w = np.divmod(pairs, max(len(words), 1))
-    return np.concatenate([W.mix(words), W.mix(W.mix(words[v]) * np.uint64(3) + words[w])])
+    mixed = W.mix(words)
+    return np.concatenate([mixed, W.mix(mixed[v] * np.uint64(3) + words[w]), W.mix(mixed * np.uint64(5) + _END)])
 
 
 def _ask(ranges: int):
+    starts_of = _starts(ranges)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(len(batch)):
                 counts, words, tokens = (batch.column(k)[row].values.to_numpy() for k in (2, 3, 4))
                 pairs, n_pairs = np.unique(_pairs(tokens, counts, len(words))[0], return_counts=True)
                 grams = _gram_hashes(words, pairs)
-                n = np.concatenate([np.bincount(tokens, minlength=len(words)), n_pairs])
+                n_last = np.bincount(_last(tokens, counts), minlength=len(words))
+                n = np.concatenate([np.bincount(tokens, minlength=len(words)), n_pairs, n_last])
                 order = np.argsort(grams)
                 grams, n = grams[order], n[order]
-                ends = np.searchsorted(grams, _starts(ranges)[1:]).tolist() + [len(grams)]
+                held, starts = np.unique(np.searchsorted(starts_of, grams, "right") - 1, return_index=True)
+                ends = np.append(starts[1:], len(grams)).tolist() if len(held) else []
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(ranges, dtype=np.int32)), pa.array([batch.column(0)[row].as_py()] * ranges),
-                     pa.array([batch.column(1)[row].as_py()] * ranges),
+                    [pa.array(held.astype(np.int32)), pa.array([batch.column(0)[row].as_py()] * len(held), pa.int64()),
+                     pa.array([batch.column(1)[row].as_py()] * len(held), pa.bool_()),
                      _lists(grams.view(np.int64), ends, "int64"), _lists(n, ends, "int32")],
                     names=["range", "batch", "target", "grams", "n"],
                 )
@@ -131,10 +143,10 @@ def _answer(asked: pa.Table) -> pa.Table:
     ends = np.cumsum([len(p) for p in parts])
     for end, p, c, t in zip(ends, parts, n, target):
         sums[int(t), which[end - len(p) : end]] += c
-    told = [np.minimum(sums[k], (1 << 31) - 1)[which] for k in (0, 1)]
+    told = [sums[k][which] for k in (0, 1)]
     return pa.table({
         "batch": rows.column("batch"), "range": rows.column("range"),
-        "background": _lists(told[0], ends.tolist(), "int32"), "target": _lists(told[1], ends.tolist(), "int32"),
+        "background": _lists(told[0], ends.tolist(), "int64"), "target": _lists(told[1], ends.tolist(), "int64"),
     })
 
 
@@ -152,24 +164,27 @@ def _score(n_background: int, n_target: int, vocabulary: int):
             ids, counts, words, places = (tokens.column(k)[row].values.to_numpy() for k in ("doc_ids", "counts", "words", "tokens"))
             pairs, at = _pairs(places, counts, len(words))
             pairs, which = np.unique(pairs, return_inverse=True)
+            last = _last(places, counts)
             grams = _gram_hashes(words, pairs)
             order = np.argsort(grams)
-            c = {}
+            n, c, followed = len(words), {}, {}
             for name in ("background", "target"):
                 c[name] = np.zeros(len(grams))
                 c[name][order] = told.column(name).combine_chunks().flatten().to_numpy()
-            n = len(words)
+                followed[name] = c[name][:n] - c[name][n + len(pairs) :]  # how often a word follows
+            pair = slice(n, n + len(pairs))
             text = np.repeat(np.arange(len(counts)), counts)
             own = _own(text * n + places)
-            one_b = c["background"][places] - own
-            p_b = (one_b + FLOOR) / (n_background - counts[text] + FLOOR * vocabulary)
+            p_b = (c["background"][places] - own + FLOOR) / (n_background - counts[text] + FLOOR * vocabulary)
             p_t = (c["target"][places] + NU * p_b) / (n_target + NU)
             loss_b, loss_t = -np.log(p_b), -np.log(p_t)
+            final = np.zeros(len(counts), places.dtype)
+            final[counts > 0] = last
+            before, own_followed = places[at - 1], own[at - 1] - (places[at - 1] == final[text[at]])
             own = _own(text[at] * max(len(pairs), 1) + which)
-            loss_b[at] = -np.log((c["background"][n:][which] - own + MU * p_b[at]) / (one_b[at - 1] + MU))
-            loss_t[at] = -np.log((c["target"][n:][which] + MU * p_t[at]) / (c["target"][places[at - 1]] + MU))
-            ends = np.cumsum(counts)
-            b, t = (np.diff(np.concatenate([[0.0], np.cumsum(x)])[np.concatenate([[0], ends])]) for x in (loss_b, loss_t))
+            loss_b[at] = -np.log((c["background"][pair][which] - own + MU * p_b[at]) / (followed["background"][before] - own_followed + MU))
+            loss_t[at] = -np.log((c["target"][pair][which] + MU * p_t[at]) / (followed["target"][before] + MU))
+            b, t = (np.bincount(text, x, minlength=len(counts)) for x in (loss_b, loss_t))
             size = np.maximum(counts, 1)
             out.append(pa.table({"doc_id": ids, "n_tokens": counts.astype(np.int64), "loss_target": t / size, "loss_background": b / size, "score": (b - t) / size}))
         return pa.concat_tables(out)
@@ -186,11 +201,10 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     wanted = target.select(F.lit(0).cast("long").alias("doc_id"), "text")
     read = stage(rows.mapInArrow(_read(False), _TOKENS).unionByName(wanted.mapInArrow(_read(True), _TOKENS)), "tokens")
     size = F.sum(F.size("tokens"))
-    totals = {r.target: r for r in read.groupBy("target").agg(size.alias("n"), F.sum(2 * F.size("tokens")).alias("grams")).collect()}
+    totals = {r.target: r for r in read.groupBy("target").agg(size.alias("n"), F.sum(2 * F.size("tokens") + F.size("counts")).alias("grams")).collect()}
     n_background, n_target = (totals[t].n if t in totals else 0 for t in (False, True))
     ranges = max(1, -(-12 * sum(r.grams for r in totals.values()) // RANGE_BYTES))
-    words = read.where(~F.col("target")).select(F.explode("words").alias("word"))
-    vocabulary = words.agg(F.approx_count_distinct("word", 0.01)).first()[0]
+    vocabulary = read.select(F.explode("words").alias("word")).distinct().count()
     asked = read.select("batch", "target", "counts", "words", "tokens").mapInArrow(_ask(ranges), _ASKED)
     told = stage(asked.groupBy("range").applyInArrow(_answer, _TOLD), "counts")
     free_shuffles(docs.sparkSession)
