@@ -36,12 +36,13 @@ from .staging import free_shuffles, stage
 
 BATCH = 1_200_000
 RANGE_BYTES = 16 << 20
+LOW_BITS = 31  # of a count, in the lists of answers; the rest of larger counts is told beside them
 MU, NU, FLOOR = 8.0, 2000.0, 0.5
 _END = np.uint64(0x9E3779B97F4A7C15)  # stands for the end of a text
 
 _TOKENS = "batch long, target boolean, doc_ids array<long>, counts array<int>, words array<long>, tokens array<int>"
 _ASKED = "range int, batch long, target boolean, grams array<long>, n array<int>"
-_TOLD = "batch long, range int, background array<long>, target array<long>"
+_TOLD = "batch long, range int, words long, background array<int>, target array<int>, over array<int>, high array<int>"
 _SCORES = "doc_id long, n_tokens long, loss_target double, loss_background double, score double"
 
 
@@ -96,11 +97,15 @@ def _last(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _gram_hashes(words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """One number for each distinct word and pair of a batch, and for each of its words as the last one of a text."""
+    """One number for each distinct word and pair of a batch, and for each of its words as the last one of a text.
+
+    Those of words are odd, the others even.
+    """
     words = words.view(np.uint64)
     v, w = np.divmod(pairs, max(len(words), 1))
-    mixed = W.mix(words)
-    return np.concatenate([mixed, W.mix(mixed[v] * np.uint64(3) + words[w]), W.mix(mixed * np.uint64(5) + _END)])
+    mixed, odd = W.mix(words), np.uint64(1)
+    others = np.concatenate([W.mix(mixed[v] * np.uint64(3) + words[w]), W.mix(mixed * np.uint64(5) + _END)])
+    return np.concatenate([mixed | odd, others & ~odd])
 
 
 def _ask(ranges: int):
@@ -132,22 +137,44 @@ def _starts(ranges: int) -> np.ndarray:
     return np.array([(i << 64) // ranges for i in range(ranges)], np.uint64)
 
 
-def _answer(asked: pa.Table) -> pa.Table:
+def _answer(low_bits: int):
     """For each batch the counts, over all batches, of the grams of one range it asked for."""
-    rows = asked.combine_chunks()
-    parts = [rows.column("grams")[i].values.to_numpy().view(np.uint64) for i in range(len(rows))]
-    n = [rows.column("n")[i].values.to_numpy() for i in range(len(rows))]
-    target = rows.column("target").to_pylist()
-    grams, which = np.unique(np.concatenate(parts), return_inverse=True)
-    sums = np.zeros((2, len(grams)), np.int64)
-    ends = np.cumsum([len(p) for p in parts])
-    for end, p, c, t in zip(ends, parts, n, target):
-        sums[int(t), which[end - len(p) : end]] += c
-    told = [sums[k][which] for k in (0, 1)]
-    return pa.table({
-        "batch": rows.column("batch"), "range": rows.column("range"),
-        "background": _lists(told[0], ends.tolist(), "int64"), "target": _lists(told[1], ends.tolist(), "int64"),
-    })
+
+    def run(asked: pa.Table) -> pa.Table:
+        rows = asked.combine_chunks()
+        parts = [rows.column("grams")[i].values.to_numpy().view(np.uint64) for i in range(len(rows))]
+        n = [rows.column("n")[i].values.to_numpy() for i in range(len(rows))]
+        target = rows.column("target").to_pylist()
+        grams, which = np.unique(np.concatenate(parts), return_inverse=True)
+        sums = np.zeros((2, len(grams)), np.int64)
+        ends = np.cumsum([len(p) for p in parts])
+        for end, p, c, t in zip(ends, parts, n, target):
+            sums[int(t), which[end - len(p) : end]] += c
+        words = np.zeros(len(rows), np.int64)
+        words[0] = np.count_nonzero(grams & np.uint64(1))  # told once per range
+        low = [(sums[k] & ((1 << low_bits) - 1))[which] for k in (0, 1)]
+        high = (sums >> low_bits)[:, which].T.ravel()  # both sides in turn
+        at = np.flatnonzero(high)
+        row = np.searchsorted(ends, at // 2, "right")
+        over = at - 2 * np.concatenate([[0], ends])[row]
+        until = np.searchsorted(row, np.arange(len(rows)), "right").tolist()
+        return pa.table({
+            "batch": rows.column("batch"), "range": rows.column("range"), "words": words,
+            "background": _lists(low[0], ends.tolist(), "int32"), "target": _lists(low[1], ends.tolist(), "int32"),
+            "over": _lists(over, until, "int32"), "high": _lists(high[at], until, "int32"),
+        })
+
+    return run
+
+
+def _told(told: pa.Table, low_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the background and the target of a batch's grams in order."""
+    lists = {name: told.column(name).combine_chunks() for name in ("background", "target", "over", "high")}
+    both = np.column_stack([lists[name].flatten().to_numpy().astype(np.int64) for name in ("background", "target")]).ravel()
+    sizes, many = (lists[name].value_lengths().to_numpy() for name in ("background", "over"))
+    start = 2 * (np.cumsum(sizes, dtype=np.int64) - sizes)
+    both[np.repeat(start, many) + lists["over"].flatten().to_numpy()] += lists["high"].flatten().to_numpy().astype(np.int64) << low_bits
+    return both[0::2], both[1::2]
 
 
 def _own(keys: np.ndarray) -> np.ndarray:
@@ -156,7 +183,7 @@ def _own(keys: np.ndarray) -> np.ndarray:
     return n[which]
 
 
-def _score(n_background: int, n_target: int, vocabulary: int):
+def _score(n_background: int, n_target: int, vocabulary: int, low_bits: int):
     def run(tokens: pa.Table, told: pa.Table) -> pa.Table:
         out = [pa.table({k: pa.array([], pa.int64() if k in ("doc_id", "n_tokens") else pa.float64()) for k in ("doc_id", "n_tokens", "loss_target", "loss_background", "score")})]
         told = told.sort_by("range").combine_chunks()
@@ -168,9 +195,9 @@ def _score(n_background: int, n_target: int, vocabulary: int):
             grams = _gram_hashes(words, pairs)
             order = np.argsort(grams)
             n, c, followed = len(words), {}, {}
-            for name in ("background", "target"):
+            for name, answered in zip(("background", "target"), _told(told, low_bits)):
                 c[name] = np.zeros(len(grams))
-                c[name][order] = told.column(name).combine_chunks().flatten().to_numpy()
+                c[name][order] = answered
                 followed[name] = c[name][:n] - c[name][n + len(pairs) :]  # how often a word follows
             pair = slice(n, n + len(pairs))
             text = np.repeat(np.arange(len(counts)), counts)
@@ -204,13 +231,13 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     totals = {r.target: r for r in read.groupBy("target").agg(size.alias("n"), F.sum(2 * F.size("tokens") + F.size("counts")).alias("grams")).collect()}
     n_background, n_target = (totals[t].n if t in totals else 0 for t in (False, True))
     ranges = max(1, -(-12 * sum(r.grams for r in totals.values()) // RANGE_BYTES))
-    vocabulary = read.select(F.explode("words").alias("word")).distinct().count()
     asked = read.select("batch", "target", "counts", "words", "tokens").mapInArrow(_ask(ranges), _ASKED)
-    told = stage(asked.groupBy("range").applyInArrow(_answer, _TOLD), "counts")
+    told = stage(asked.groupBy("range").applyInArrow(_answer(LOW_BITS), _TOLD), "counts")
+    vocabulary = told.agg(F.sum("words")).first()[0] or 0
     free_shuffles(docs.sparkSession)
     scored = (
         read.where(~F.col("target")).groupBy("batch")
-        .cogroup(told.groupBy("batch"))
-        .applyInArrow(_score(n_background, n_target, vocabulary), _SCORES)
+        .cogroup(told.drop("words").groupBy("batch"))
+        .applyInArrow(_score(n_background, n_target, vocabulary, LOW_BITS), _SCORES)
     )
     return scored
