@@ -11,7 +11,7 @@ texts run through it side by side, one table look-up per character.  Short terms
 ones may have one or two edits; stems accept whatever follows.  Words with one or two symbols between them are looked at
 together as well (``st*pid``), where none of them is a hit by itself.
 
-*Context.*  For each hit the ``WINDOW`` words around it are looked at: quotation marks around the hit and words of
+*Context.*  For each hit the ``WINDOW`` words around it are looked at: quotation marks, ASCII or typographic, around the hit and words of
 reporting or disapproval count as signs of quotation.
 
 *Score.*  A logistic regression on what a text holds: hits that look like abuse, their density, and hits that look like
@@ -51,11 +51,22 @@ WINDOW = 8
 REPORTING = "said says wrote called calling quote quoted quoting alleged dit disait sagte schrieb dijo escribió zitat citation cita".split()
 _QUOTES = np.zeros(256, bool)
 _QUOTES[list(b"\"`")] = True
+#: Typographic quotation marks (not the single ones that serve as apostrophes) and blanks.
+MARKS, BLANKS = "“”„‟«»‹›「」『』", "\u00a0\u2007\u2009\u202f\u3000"
+_ASCII = [(np.frombuffer(c.encode(), np.uint8), b) for s, b in ((MARKS, b'"'), (BLANKS, b" ")) for c in s]
 
 
 def _lower(data: np.ndarray) -> np.ndarray:
-    """A-Z and the capitals of Latin-1 in lower case, for UTF-8 bytes."""
+    """A-Z and the capitals of Latin-1 in lower case, for UTF-8 bytes; typographic marks and blanks as ASCII, padded with blanks."""
     out = W._LOWER[data]
+    beyond = np.flatnonzero((data == 0xC2) | (data == 0xE2) | (data == 0xE3))
+    for code, plain in _ASCII:
+        at = beyond[beyond <= len(data) - len(code)]
+        for k, byte in enumerate(code):
+            at = at[data[at + k] == byte]
+        out[at] = plain[0]
+        for k in range(1, len(code)):
+            out[at + k] = 32
     capital = np.zeros(len(out), bool)
     capital[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
     out[capital] += 32
@@ -283,7 +294,7 @@ def _masked_hits(lexicon: Lexicon, data, starts, ends, hashes, text, hit) -> tup
 def hits(lexicon: Lexicon, texts: pa.Array) -> Hits:
     data, offsets = W.text_bytes(texts)
     none = np.zeros(0, np.int64)
-    raw, data = data, _lower(data)
+    data = _lower(data)
     starts, ends, counts = _spans(data, offsets) if len(data) else (none, none, np.zeros(len(texts), np.int64))
     if len(starts) == 0:
         return Hits(counts, none, none.astype(bool), none.astype(bool), none, none.astype(np.uint64))
@@ -296,7 +307,7 @@ def hits(lexicon: Lexicon, texts: pa.Array) -> Hits:
     found = [np.concatenate(x) for x in zip((hit, hit, hashes[hit], edits[hit], terms[hit]), masked)]
     hit, behind, word, edits, terms = (x[np.argsort(found[0], kind="stable")] for x in found)  # first and last words of hits
     # Signs of quotation: an odd number of marks before the hit in its text and a mark behind it in the window.
-    marks = np.concatenate([[0], np.cumsum(_QUOTES[raw])])
+    marks = np.concatenate([[0], np.cumsum(_QUOTES[data])])
     last = np.cumsum(counts)[text[hit]] - 1
     begin = np.maximum(hit - WINDOW, last + 1 - counts[text[hit]])
     end = np.minimum(behind + WINDOW, last)
@@ -336,7 +347,7 @@ def _prefix_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 raw = data.tobytes()
                 words = {raw[a:b].decode(errors="replace") for a, b in zip(starts, ends)}
                 keys = {w[:n] for w in words for n in range(SHORTEST, min(len(w), LONGEST) + 1)}
-                found[toxic].update(keys | {w + " " for w in words if len(w) <= 2 * LONGEST})
+                found[toxic].update(keys | {w + " " for w in words})
             keys = sorted(found[0].keys() | found[1].keys())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.string()), *(pa.array([found[t][k] for k in keys], pa.int64()) for t in (0, 1))], names=["term", "clean", "toxic"]

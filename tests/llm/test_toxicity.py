@@ -138,3 +138,18 @@ def test_short_and_masked_terms(spark):
     assert found.table(np.ones(len(found.text)))[:, :2].tolist() == [[2, 0], [0, 0], [0, 3], [0, 0], [0, 1]]
     short, other, masked, apart = model.score(pa.array([f"{filler} {t} {filler}" for t in texts[:4]]))
     assert short > 0.5 > other and masked > 0.5 > apart
+
+
+def test_typographic_marks_and_long_words(spark):
+    """Marks of every language tell quotation, and stand beside words without being part of them."""
+    lexicon = T.Lexicon([T.Term(b"worthless", False)])
+    texts = [f"they wished {a}you are worthless{b} on the wall" for a, b in ("“”", "„“", "«»", "»«", "‹›", "「」", '""')]
+    texts += ["« worthless\u00a0» stands there", "they wished you are worthless on the wall", "it’s worthless"]
+    found = T.hits(lexicon, pa.array(texts))
+    assert found.text.tolist() == list(range(len(texts))) and found.exact.all()
+    assert found.quoted.tolist() == [True] * 8 + [False] * 2
+    long = "x" * 40 + "donaudampfschiff"
+    rows = [(long if t else "plain words", t) for t in (0, 1) for _ in range(3)]
+    (batch,) = pa.table({"text": [r[0] for r in rows], "toxic": [r[1] for r in rows]}).to_batches()
+    (counted,) = T._prefix_counts(iter([batch]))
+    assert {"term": long + " ", "clean": 0, "toxic": 3} in counted.to_pylist()
