@@ -1,3 +1,8 @@
+import math
+from collections import Counter
+
+import numpy as np
+import pytest
 from odd_rows import odd_documents
 from pyspark.sql import functions as F
 
@@ -43,3 +48,47 @@ def test_odd_rows(spark):
     assert all(r.kept and r.score == 1 for r in quality.classify(docs, labels.limit(1)).collect())
     assert quality.classify(docs.limit(0), labels).count() == 0
     assert quality.classify(docs.select("doc_id", "text"), labels).count() == len(rows)
+
+
+def test_rounds_against_a_plain_loop(spark):
+    """Counts, pseudo-labels and the combination of views, row by row on the given documents."""
+    folder = "/root/testdata/sf0.001"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    labels = labels.where("doc_id % 3 <> 0")  # the others are left to pseudo-labels
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = quality.describe(docs).join(labels, "doc_id", "left").collect()
+    views = [[list(r.content) for r in rows], [list(r.metadata) for r in rows]]
+    known = [r.label for r in rows]
+    y = np.array([t for t in known if t is not None], float)
+    assert 0 < y.sum() < len(y) < len(rows)
+
+    def probability(view, weights, odds):
+        total = [weights[-1] + sum(w * odds[f, b] for f, (w, b) in enumerate(zip(weights, bins))) for bins in view]
+        return [1 / (1 + math.exp(-t)) for t in total], total
+
+    sure, taught = [known, known], 0  # labels that each view learns from
+    for _ in range(quality.ROUNDS):
+        odds, weights = [], []
+        for view, labelled in zip(views, sure):
+            seen = Counter((f, b, t) for bins, t in zip(view, labelled) if t is not None for f, b in enumerate(bins))
+            all_of = Counter(t for t in labelled if t is not None)
+            size = 0.5 * quality.BINS
+            odds.append({
+                (f, b): math.log((seen[f, b, 1] + 0.5) / (all_of[1] + size)) - math.log((seen[f, b, 0] + 0.5) / (all_of[0] + size))
+                for f in range(len(view[0])) for b in range(quality.BINS)
+            })
+            evidence = [[odds[-1][f, b] for f, b in enumerate(bins)] for bins, t in zip(view, known) if t is not None]
+            weights.append(quality.fit_logistic(np.array(evidence), y, ridge=1e-3))
+        p = [probability(view, w, o) for view, w, o in zip(views, weights, odds)]
+        sure = [
+            [t if t is not None else int(q > 0.5) if q >= quality.SURE or q <= 1 - quality.SURE else None for t, q in zip(known, p[1 - k][0])]
+            for k in (0, 1)
+        ]
+        taught += sum(a is not None for s in sure for a in s) - 2 * len(y)
+    assert taught > 0
+    both = np.array([p[0][1], p[1][1]]).T
+    w = quality.fit_logistic(both[[t is not None for t in known]], y, ridge=1e-4)
+    want = {r.doc_id: 1 / (1 + math.exp(-(w[0] * a + w[1] * b + w[2]))) for r, (a, b) in zip(rows, both)}
+    got = quality.classify(docs, labels).collect()
+    assert {r.doc_id: r.score for r in got} == pytest.approx(want, abs=1e-6)
+    assert {r.doc_id: r.content_score for r in got} == pytest.approx({r.doc_id: q for r, q in zip(rows, p[0][0])}, abs=1e-6)
