@@ -13,17 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.skew import running_totals
+from ..plans.claims import names
 from ..sources.files import shared_folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Arriving parquet files of one table."""
+    """Arriving parquet files of one table, which may be files or folders of files."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").parquet(folder)
-    )
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}*.parquet")
 
 
 def keep_state_on_disk(spark: SparkSession) -> None:
@@ -54,7 +53,8 @@ def write_batches(
 ) -> DataFrame:
     """Stores ``per_batch`` of each micro-batch under its batch id.
 
-    A batch that is run again after a failure overwrites its own folder, so nothing counts twice.
+    A batch that is run again after a failure overwrites its own folder, so nothing counts twice.  A stream that
+    nothing has reached yet has no batches, and gives no rows.
     """
     spark = stream.sparkSession
     base = folder or shared_folder(spark, purpose)
@@ -70,6 +70,8 @@ def write_batches(
         .start()
     )
     query.awaitTermination()
+    if not names(spark, f"{base}/table"):
+        return per_batch(spark.createDataFrame([], stream.schema)).withColumn("batch_id", F.lit(0)).where(F.lit(False))
     return spark.read.parquet(f"{base}/table")
 
 

@@ -85,3 +85,25 @@ def test_ledger_totals_over_batches(spark, arriving, tmp_path):
     assert totals(spark.read.parquet(f"{folder}/table")) == before
     folded = totals(jobs.fold_ledger(spark.read.parquet(f"{folder}/table"), ["account_id"], "n", 1))
     assert folded == [("a0", 1, 5, 5), ("a0", 2, 3, 8), ("a1", 1, 4, 4), ("a1", 2, 3, 7)]
+
+
+def test_tables_stored_as_folders_arrive(spark, tmp_path):
+    """A table may be a folder of part files or a file; tables whose names begin alike, or folders' own file names, are not mixed up."""
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "doc_id long, text string")
+    rows.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(9, "other")], "doc_id long, text string").write.parquet(str(tmp_path / "part.parquet"))
+    read = lambda name: jobs.append_to_table(jobs.read_stream(spark, str(tmp_path), name), name)
+    assert sorted(map(tuple, read("documents").collect())) == [(1, "a"), (2, "b"), (3, "c")]
+    assert [tuple(r) for r in read("part").collect()] == [(9, "other")]
+    count = lambda batch: batch.agg(F.count("*").alias("n"))
+    stream = jobs.read_stream(spark, str(tmp_path), "documents")
+    assert [tuple(r) for r in jobs.write_batches(stream, "counts", count, "append").collect()] == [(3, 0)]
+
+
+def test_a_stream_without_batches_gives_no_rows(spark, tmp_path):
+    (tmp_path / "empty").mkdir()
+    stream = spark.readStream.schema("account_id string").parquet(str(tmp_path / "empty"))
+    count = lambda batch: batch.groupBy("account_id").agg(F.count("*").alias("n"))
+    got = jobs.write_batches(stream, "none", count, "append")
+    assert got.columns == ["account_id", "n", "batch_id"] and got.collect() == []
+    assert jobs.ledger_totals(got, ["account_id"], "n", "so_far").collect() == []
