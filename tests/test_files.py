@@ -21,6 +21,23 @@ def test_named_files_round_trip(spark, tmp_path):
     assert "LessThanOrEqual(length,6)]" in plan and "PartitionFilters" in plan
 
 
+def test_folders_are_listed_by_a_few_tasks(spark, tmp_path):
+    """One task a folder would take more time than the files."""
+    df = spark.range(150).selectExpr("id as doc_id", "'p' as path", "'x' as text").repartition(4)
+    folder = src.write_text_files(df, str(tmp_path / "files"), "doc_id", "path")
+    setting = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before, context = spark.conf.get(setting), spark.sparkContext
+    context.setJobGroup("listing", "listing")
+    try:
+        files = src.read_named_text_files(spark, folder, "doc_id long, path string")
+        jobs_ = [context.statusTracker().getJobInfo(j) for j in context.statusTracker().getJobIdsForGroup("listing")]
+        tasks = [context.statusTracker().getStageInfo(s).numTasks for job in jobs_ for s in job.stageIds]
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert tasks and max(tasks) <= 4 * context.defaultParallelism
+    assert files.count() == 150 and spark.conf.get(setting) == before
+
+
 def test_archives(spark, tmp_path):
     def pack(name, members):
         with zipfile.ZipFile(tmp_path / name, "w", zipfile.ZIP_DEFLATED) as z:
