@@ -7,6 +7,7 @@ stream's offsets.  A processor handles the new rows of one key, which it reads o
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -63,9 +64,11 @@ def mark_seen(
     """Each key that a batch lists, with its state after it and whether it ``is_new``.
 
     ``seen`` is what is known before the stream begins.  With ``forget_after_ms`` a key that is not listed for so long
-    is forgotten; without, the state grows with the keys.
+    is forgotten; without, the state grows with the keys, and Spark's own aggregates keep it.
     """
     jobs.keep_state_on_disk(listed.sparkSession)
+    if not forget_after_ms:
+        return _aggregated(listed, list(keys), list(first), list(last), seen)
     kinds = {f.name: f.dataType.simpleString() for f in listed.schema.fields}
     columns = [*keys, *first, *last]
     schema = ", ".join(f"{c} {kinds[c] if c in keys else 'string'}" for c in columns)
@@ -78,6 +81,28 @@ def mark_seen(
     return grouped.transformWithState(processor, f"{schema}, is_new boolean", "Update", mode, start)
 
 
+def _aggregated(listed: DataFrame, keys: list[str], first: list[str], last: list[str], seen: DataFrame | None) -> DataFrame:
+    """As ``MarkSeen`` without forgetting.  Batches are told apart by their time, the same if a batch runs again."""
+    text = lambda c: F.col(c).cast("string")
+    timed = lambda c: F.struct("batch_time", F.col(c).alias("value"))
+    rows = listed.select(*keys, *(text(c).alias(c) for c in (*first, *last)), F.current_timestamp().alias("batch_time"))
+    met = rows.groupBy(*keys).agg(
+        *[F.min(F.when(F.col(c).isNotNull(), timed(c)))["value"].alias(c) for c in first],
+        *[F.max(timed(c))["value"].alias(c) for c in last],
+        (F.min("batch_time") == F.max("batch_time")).alias("is_new"),
+    )
+    if seen is None:
+        return met
+    kinds = {f.name: f.dataType.simpleString() for f in listed.schema.fields}
+    known = seen.groupBy(*[F.col(k).cast(kinds[k]).alias(f"seen_{k}") for k in keys]).agg(
+        *[F.min(text(c)).alias(f"seen_{c}") for c in first], F.lit(True).alias("known")
+    )
+    joined = met.join(known, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"seen_{k}")) for k in keys]), "left")
+    return joined.select(
+        *keys, *[F.coalesce(f"seen_{c}", c).alias(c) for c in first], *last, (F.col("is_new") & F.col("known").isNull()).alias("is_new")
+    )
+
+
 def seen_table(updates: DataFrame, keys: Sequence[str], seen: DataFrame | None = None) -> DataFrame:
     """The table that the updates of all batches leave: their last row per key, and keys never listed as they were."""
     rest = [c for c in updates.columns if c not in (*keys, "batch_id", "is_new")]

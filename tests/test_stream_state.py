@@ -107,3 +107,15 @@ def test_a_stream_without_batches_gives_no_rows(spark, tmp_path):
     got = jobs.write_batches(stream, "none", count, "append")
     assert got.columns == ["account_id", "n", "batch_id"] and got.collect() == []
     assert jobs.ledger_totals(got, ["account_id"], "n", "so_far").collect() == []
+
+
+def test_kept_keys_are_aggregated_by_spark(spark, arriving):
+    """Without forgetting no Python runs per key; of rows that repeat a key in the seen table one stands, and null keys meet."""
+    arriving([(None, 1, "x/new", "t1"), ("a", 1, "a/new", "t1"), ("b", 2, "b/b", "t1"), ("b", 2, "b/a", None)], ASSETS)
+    before = spark.createDataFrame([(None, 1, "x/old", "t0"), ("a", 1, "a/old", "t0"), ("a", 1, "a/old", "t0")], ASSETS)
+    listed, keys = arriving.stream(ASSETS), ["account_id", "asset_id"]
+    updates = state.mark_seen(listed, keys, ["repo"], ["seen_at"], before)
+    assert "TransformWithState" not in updates._jdf.queryExecution().logical().toString()
+    assert "TransformWithState" in state.mark_seen(listed, keys, ["repo"], ["seen_at"], before, 1000)._jdf.queryExecution().logical().toString()
+    got = jobs.write_batches(updates, "seen", lambda batch: batch, "update").drop("batch_id").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(None, 1, "x/old", "t1", False), ("a", 1, "a/old", "t1", False), ("b", 2, "b/a", "t1", True)], key=repr)
