@@ -107,20 +107,32 @@ def planned_blocks(
     """The files to read, one row per ``BLOCK`` neighbouring commits in which a file is the same, staged.
 
     ``bits`` tells which commits of the block have it.  Rows are combined before they are shuffled, and a key
-    has at most ``BLOCK`` rows.  A tree that lists a file of a commit twice keeps both: such blocks stay single rows.
+    has at most ``BLOCK`` rows.  A tree that lists a file of a commit twice keeps both, as a second row of the block; blocks
+    with files listed more often than that stay single rows, for which the tree is read again.
     """
-    files = planned_files(t, options, rows_per_salt, commits, ("pos",)).select(
+    files = _single_bits(planned_files(t, options, rows_per_salt, commits, ("pos",)))
+    keys = [c for c in FILE_COLUMNS if c != "bits"]
+    blocks = stage(
+        files.groupBy(*keys).agg(F.bit_or("bits").alias("bits"), F.bit_xor("bits").alias("odd"), F.count(F.lit(1)).alias("n")), "files"
+    )
+    again = F.col("bits").bitwiseXOR(F.col("odd"))
+    whole = F.bit_count("bits") + F.bit_count(again) == F.col("n")
+    counted = blocks.where(whole).select(*keys, "bits").unionByName(blocks.where(whole & (again != 0)).select(*keys, again.alias("bits")))
+    often = blocks.where(~whole).select(*keys)
+    if often.isEmpty():
+        return counted
+    named = often.select("path", "blob_sha").distinct()
+    listed = stage(t.tree.join(named, [t.tree[k].eqNullSafe(named[k]) for k in named.columns], "left_semi"), "listed-often")
+    files = _single_bits(planned_files(replace(t, tree=listed, tree_sketches=None), options, rows_per_salt, commits, ("pos",)))
+    return counted.unionByName(stage(files.join(often, [files[k].eqNullSafe(often[k]) for k in keys], "left_semi"), "files"))
+
+
+def _single_bits(files: DataFrame) -> DataFrame:
+    """Planned files with ``pos`` as rows of blocks with one bit each."""
+    return files.select(
         *[c for c in FILE_COLUMNS if c not in ("block", "bits")], F.floor(F.col("pos") / BLOCK).alias("block"),
         F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("pos") % BLOCK).cast("int")).alias("bits"),
     )
-    keys = [c for c in FILE_COLUMNS if c != "bits"]
-    blocks = stage(files.groupBy(*keys).agg(F.bit_or("bits").alias("bits"), F.count(F.lit(1)).alias("n")), "files")
-    whole = F.bit_count("bits") == F.col("n")
-    twice = blocks.where(~whole).select(*keys)
-    if twice.isEmpty():
-        return blocks.drop("n")
-    same = [files[k].eqNullSafe(twice[k]) for k in keys]
-    return stage(blocks.where(whole).drop("n").unionByName(files.join(twice, same, "left_semi")), "files")
 
 
 def expand_blocks(rows: DataFrame, commits: DataFrame) -> DataFrame:

@@ -51,3 +51,19 @@ def test_files_listed_twice_stay_two(spark):
     columns = ["repo", "commit_sha", "path", "blob_sha"]
     assert files.count() == 3 * 73 + 5
     assert sorted(map(tuple, sc.expand_blocks(blocks, commits).select(columns).collect())) == sorted(map(tuple, files.select(columns).collect()))
+
+
+def test_files_listed_twice_do_not_read_the_tree_again(spark, monkeypatch):
+    """A second row of the block holds them; only files listed three times or more need the tree."""
+    read = []
+    planned = sc.planned_files
+    monkeypatch.setattr(sc, "planned_files", lambda *args, **kw: read.append(1) or planned(*args, **kw))
+    for times, reads in ((1, 1), (2, 2)):
+        t = tables(spark, 70, 3)
+        t = sc.replace(t, tree=t.tree.unionByName(spark.createDataFrame(t.tree.where("path = 'src/f1.ts'").limit(2).collect() * times, t.tree.schema)))
+        commits = sc.numbered_commits(sc.selected_commits(t))
+        read.clear()
+        blocks = sc.planned_blocks(t, commits)
+        assert len(read) == reads
+        columns = ["repo", "commit_sha", "path", "blob_sha"]
+        assert sorted(map(tuple, sc.expand_blocks(blocks, commits).select(columns).collect())) == sorted(map(tuple, planned(t).select(columns).collect()))
