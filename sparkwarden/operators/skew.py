@@ -15,6 +15,8 @@ ROWS_PER_SALT = 1_000_000
 HOT_KEYS = 10_000
 TRACKED_KEYS = 2 * HOT_KEYS
 SKETCHES = 256
+#: A right side of at most so many rows is sent to every task, whatever the left side looks like.
+FEW_ROWS = 10_000
 
 
 def key_sketches(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -56,10 +58,12 @@ def hot_in(sketches: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> list[tupl
 def salted_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], spread_on: Sequence[str],
     rows_per_salt: int = ROWS_PER_SALT, counted: DataFrame | None = None, how: str = "inner",
-    sketches: DataFrame | None = None,
+    sketches: DataFrame | None = None, few_rows: int = FEW_ROWS,
 ) -> DataFrame:
     """Inner or left equi-join whose hot left keys are split over salts.
 
+    If the right side has ``few_rows`` at most, hot keys need no salts: the left side stays where it is.
+
     Rows of ``right`` for a hot key are repeated once per salt, but never into more rows than the left side has for
     the key; ``spread_on`` are columns that vary within a hot key, hashed so that a repeated task sends each
     row to the same place.  Without hot keys this is a plain join, and Catalyst broadcasts the right side if
@@ -71,6 +75,8 @@ def salted_join(
     hot = hot_in(sketches, rows_per_salt)
     if not hot:
         return left.join(right, list(keys), how)
+    if right.limit(few_rows + 1).count() <= few_rows:
+        return left.join(F.broadcast(right), list(keys), how)
     # At most HOT_KEYS rows of three numbers, so the broadcasts below are bounded.
     spark = left.sparkSession
     table = spark.createDataFrame(hot, "h long, n long, salts int")
@@ -89,19 +95,21 @@ def salted_join(
     return salted.join(copies, [*keys, "salt"], how).drop("salt")
 
 
-def first_per_key(df: DataFrame, keys: Sequence[Column], order: Sequence[str]) -> DataFrame:
+def first_per_key(df: DataFrame, keys: Sequence[Column | str], order: Sequence[str]) -> DataFrame:
     """The row that comes first in ``order`` for every key.
 
     An aggregate, not a window: each task keeps one row per key before anything is shuffled, so
-    many copies of one key cost nothing.
+    many copies of one key cost nothing.  Keys given by name, and columns of the order, travel once.
     """
-    named = [k.alias(f"key_{i}") for i, k in enumerate(keys)]
-    columns = df.columns
-    return (
-        df.groupBy(*named)
-        .agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("row"))
-        .select("row.*")
-    )
+    plain = [k for k in keys if isinstance(k, str)]
+    named = [k if isinstance(k, str) else k.alias(f"key_{i}") for i, k in enumerate(keys)]
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    maps = [c for c, kind in kinds.items() if isinstance(kind, T.MapType)]
+    rest = [c for c in df.columns if c not in plain and c not in order]
+    # maps have no order, their entries do; rows that the order leaves equal come by their other columns
+    value = [F.col(c) for c in order if c not in plain] + [F.map_entries(c).alias(c) if c in maps else F.col(c) for c in rest]
+    back = [c if c in plain else F.map_from_entries(f"row.{c}").alias(c) if c in maps else F.col(f"row.{c}") for c in df.columns]
+    return df.groupBy(*named).agg(F.min(F.struct(*value)).alias("row")).select(*back)
 
 
 def running_totals(

@@ -339,6 +339,32 @@ def test_salted_left_join_keeps_unmatched_rows(spark):
     assert bag(salted, "k", "id", "w") == bag(left.join(right, "k", "left"), "k", "id", "w")
 
 
+def test_hot_keys_meet_a_few_rows_where_they_are(spark):
+    """A right side of a few rows is broadcast, though the plan can't know that it is small; a larger one is salted."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = spark.range(3_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), "id")
+        right = spark.range(1_000).groupBy(F.col("id").alias("k")).agg(F.max("id").alias("w"))
+        for how in ("inner", "left"):
+            few, many = (salted_join(left, right, ["k"], ["id"], 200, how=how, few_rows=n) for n in (1_000, 999))
+            plans = [df._jdf.queryExecution().executedPlan().toString() for df in (few, many)]
+            assert "BroadcastHashJoin [k" in plans[0] and "SortMergeJoin [k" not in plans[0] and "SortMergeJoin [k" in plans[1]
+            assert bag(few, "k", "id", "w") == bag(many, "k", "id", "w") == bag(left.join(right, "k", how), "k", "id", "w")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_first_per_key_sends_no_column_twice(spark):
+    df = spark.createDataFrame(
+        [("a", 1, 5, {"x": "1"}, "p"), ("a", 1, 4, None, "q"), ("a", 2, None, {"y": "2", "z": None}, "r"), (None, 1, 0, {}, "s")],
+        "repo string, line int, ord int, metadata map<string,string>, text string",
+    )
+    got = first_per_key(df, ["repo", F.coalesce("line", F.lit(0))], ["ord", "repo"])
+    assert got.columns == df.columns
+    assert bag(got) == sorted(map(repr, df.where("ord is null or ord <> 5").collect()))
+    assert "min_by" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_bucketed_blobs_join_without_moving_texts(spark, tmp_path):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     blobs = load(spark, SMALL, "doc_files").select("blob_sha", "text")
