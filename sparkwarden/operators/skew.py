@@ -15,7 +15,7 @@ ROWS_PER_SALT = 1_000_000
 HOT_KEYS = 10_000
 TRACKED_KEYS = 2 * HOT_KEYS
 SKETCHES = 256
-#: A right side of at most so many rows is sent to every task, whatever the left side looks like.
+#: For ``few_rows`` where the right side is short by nature, as accounts are: so many rows at most are sent to every task.
 FEW_ROWS = 10_000
 
 
@@ -58,11 +58,11 @@ def hot_in(sketches: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> list[tupl
 def salted_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], spread_on: Sequence[str],
     rows_per_salt: int = ROWS_PER_SALT, counted: DataFrame | None = None, how: str = "inner",
-    sketches: DataFrame | None = None, few_rows: int = FEW_ROWS,
+    sketches: DataFrame | None = None, few_rows: int = 0,
 ) -> DataFrame:
     """Inner or left equi-join whose hot left keys are split over salts.
 
-    If the right side has ``few_rows`` at most, hot keys need no salts: the left side stays where it is.
+    If the right side has ``few_rows`` at most, hot keys need no salts: the left side stays where it is.  With 0 nobody looks.
 
     Rows of ``right`` for a hot key are repeated once per salt, but never into more rows than the left side has for
     the key; ``spread_on`` are columns that vary within a hot key, hashed so that a repeated task sends each
@@ -75,7 +75,7 @@ def salted_join(
     hot = hot_in(sketches, rows_per_salt)
     if not hot:
         return left.join(right, list(keys), how)
-    if right.limit(few_rows + 1).count() <= few_rows:
+    if few_rows and right.limit(few_rows + 1).count() <= few_rows:
         return left.join(F.broadcast(right), list(keys), how)
     # At most HOT_KEYS rows of three numbers, so the broadcasts below are bounded.
     spark = left.sparkSession

@@ -26,7 +26,7 @@ from ..model import ScanOptions
 from ..operators import images, keywords, names
 from ..operators.lines import text_findings
 from ..operators.rules import LINE_RULES
-from ..operators.skew import ROWS_PER_SALT, salted_join
+from ..operators.skew import FEW_ROWS, ROWS_PER_SALT, salted_join
 from ..sources.files import stage
 from ..sources.records import filter_repos
 
@@ -65,7 +65,7 @@ def selected_commits(
     """Commits of the chosen accounts' repositories."""
     repos = filter_repos(t.repos, options).select("account_id", "repo", "repo_ord")
     owned = salted_join(
-        repos, t.accounts.select("account_id", "account_ord"), ["account_id"], ["repo"], rows_per_salt
+        repos, t.accounts.select("account_id", "account_ord"), ["account_id"], ["repo"], rows_per_salt, few_rows=FEW_ROWS
     )
     commits = t.commits.select("repo", "commit_sha", "commit_ord", *more_columns)
     return salted_join(commits, owned, ["repo"], ["commit_sha"], rows_per_salt)
@@ -203,7 +203,7 @@ def keyword_file_findings(
     texts = stage(
         salted_join(
             files.where(F.col("route") == TEXT), keywords.keyword_patterns(t.accounts), ["account_id"], SPREAD, rows_per_salt,
-            counted=files,
+            counted=files, few_rows=FEW_ROWS,
         ),
         "keyword-files",
     )
