@@ -22,11 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwarden.llm import quality
+from sparkwarden.llm.bit_set import parted
 from sparkwarden.llm.near_dedup import near_duplicates
 from sparkwarden.llm.packing import pack
 from sparkwarden.llm.secret_spans import mask_secrets
 from sparkwarden.llm.staging import free_shuffles, stage
-from sparkwarden.llm.suffix_dedup import remove_repeats
+from sparkwarden.llm.suffix_dedup import cut_repeats, find_repeats
 from sparkwarden.sources.files import read_table
 
 #: The result depends on a fitted model, on hashes and on a tokenizer.
@@ -54,8 +55,10 @@ def _by_key(rows: DataFrame) -> DataFrame:
 
 
 def _without(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    gone = keys.select(F.col("doc_id").alias("__id"))
-    return rows.join(gone, rows["__row"] == gone["__id"], "left_anti").drop("__row")
+    """The rows without those of the keys; only rows that may have one of them are moved."""
+    gone = stage(keys.select(F.col("doc_id").alias("__id")), "gone")
+    clear, others = parted(rows, "__row", gone)
+    return clear.unionByName(others.join(gone, others["__row"] == gone["__id"], "left_anti")).drop("__row")
 
 
 def _once(rows: DataFrame) -> DataFrame:
@@ -92,11 +95,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     free_shuffles(spark)  # of the stage before
     rows = _keyed(docs, "text")
-    cut = remove_repeats(_by_key(rows), whole_characters=True).select(
-        F.col("doc_id").alias("__id"), F.col("kept").cast("string").alias("__kept")
-    )
-    joined = rows.join(cut, rows["__row"] == cut["__id"], "left")
-    return _counted(joined.withColumn("text", F.coalesce("__kept", "text")).drop("__id", "__kept", "__row"))
+    found = find_repeats(_by_key(rows))
+    cut = cut_repeats(found, whole_characters=True).select(F.col("doc_id").alias("__id"), F.col("kept").cast("string").alias("__kept"))
+    clear, others = parted(rows, "__row", found.ids)
+    joined = others.join(cut, others["__row"] == cut["__id"], "left")
+    joined = joined.withColumn("text", F.coalesce("__kept", "text")).drop("__id", "__kept")
+    return _counted(clear.unionByName(joined).drop("__row"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,8 @@ in the same one.  Strings are judged on the input, may overlap and never cross d
    cover are ranked first; all others are sorted by their first 16 bytes, and ties by the rank of the next
    cover suffix, which lies at the same distance in all suffixes of a bucket with the same distance to the
    anchor.  Neighbours that agree in ``LENGTH`` bytes are repeats of the earliest of them.
-4. Runs of repeats become byte spans, which are merged per document.
+4. Runs of repeats become byte spans, which are merged per document.  Texts that certainly lose nothing (told by bits
+   of the ids with spans) are not moved to meet them.
 
 A text that equals an earlier one is removed whole (if it has ``LENGTH`` bytes) and never sorted.  Null texts
 are empty.  Rows with a null id are left out; of rows that repeat an id the smallest text stands.
@@ -27,6 +28,7 @@ Only id and text are looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .bit_set import parted
 from .staging import free_shuffles, one_text_per_id, release, stage
 
 LENGTH, GRAM = 100, 32
@@ -332,8 +335,22 @@ def _cut(whole_characters: bool):
     return run
 
 
-def _spans(docs: DataFrame, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Spans ``doc_id, begin, end`` of repeated bytes (they may overlap), the texts they are in, and whole copies."""
+@dataclass
+class Repeats:
+    """What repeats: ``doc_id, spans`` (they may overlap), all texts, and whole copies, which have no spans."""
+
+    spans: DataFrame
+    texts: DataFrame
+    copies: DataFrame
+
+    @property
+    def ids(self) -> DataFrame:
+        """Of all documents with spans and all copies."""
+        return self.spans.select("doc_id").unionByName(self.copies.select("doc_id"))
+
+
+def find_repeats(docs: DataFrame, hot: int = HOT) -> Repeats:
+    docs = one_text_per_id(docs)
     digests = docs.select("doc_id", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"))
     digests = digests.where(F.col("n_bytes") >= LENGTH)
     # Staged, so that the join below is one of two plain tables, whose skewed parts adaptive execution may split.
@@ -341,7 +358,7 @@ def _spans(docs: DataFrame, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     firsts = stage(firsts.select("digest", "first"), "firsts")
     copies = stage(digests.join(firsts, "digest").where("doc_id <> first").select("doc_id", "n_bytes"), "copies")
     release(firsts)
-    docs = docs.join(copies.select("doc_id"), "doc_id", "left_anti")
+    texts, docs = docs, docs.join(copies.select("doc_id"), "doc_id", "left_anti")
 
     found = stage(docs.mapInArrow(_find_anchors, _FOUND), "anchors")
     free_shuffles(docs.sparkSession)
@@ -361,28 +378,36 @@ def _spans(docs: DataFrame, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         segments.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sort_buckets, "doc_id long, begin long, end long"),
         "spans",
     )
-    spans = sorted_.unionByName(nearby)
+    spans, read = sorted_.unionByName(nearby), [zones, sorted_, nearby]
     warm = zones.select("doc_id", F.filter("zones", lambda z: z["hot"]).alias("zones")).where(F.size("zones") > 0)
     if warm.limit(1).count():
         single = docs.join(warm, "doc_id").select("doc_id", "text", "zones")
         single = stage(single.mapInArrow(_single_strings, "one long, two long, doc_id long, begin long"), "strings")
+        read.append(single)
         first = single.groupBy("one", "two").agg(F.min(F.struct("doc_id", "begin")).alias("first"))
         later = single.join(first, ["one", "two"]).where(F.struct("doc_id", "begin") != F.col("first"))
         spans = spans.unionByName(later.select("doc_id", "begin", (F.col("begin") + LENGTH).alias("end")))
     free_shuffles(docs.sparkSession)
-    return spans, docs, copies
+    merged = stage(spans.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "repeats")
+    release(*read)
+    free_shuffles(docs.sparkSession)
+    return Repeats(merged, texts, copies)
 
 
-def remove_repeats(docs: DataFrame, whole_characters: bool = False, hot: int = HOT) -> DataFrame:
+def cut_repeats(found: Repeats, whole_characters: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (bytes) of every document that loses something.
 
     With ``whole_characters`` a multi-byte character goes only if all its bytes are repeated, so that what
     is kept stays valid UTF-8.
     """
-    spans, texts, copies = _spans(one_text_per_id(docs), hot)
-    merged = spans.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    cut = texts.join(merged, "doc_id").mapInArrow(
+    _, texts = parted(found.texts, "doc_id", found.spans.select("doc_id"))
+    cut = texts.join(found.spans, "doc_id").mapInArrow(
         _cut(whole_characters), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     )
-    whole = copies.select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"))
+    whole = found.copies.select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"))
     return cut.where("n_removed > 0").unionByName(whole)
+
+
+def remove_repeats(docs: DataFrame, whole_characters: bool = False, hot: int = HOT) -> DataFrame:
+    """What ``cut_repeats`` leaves of the documents that lose something."""
+    return cut_repeats(find_repeats(docs, hot), whole_characters)
