@@ -81,3 +81,31 @@ def test_pairs_just_above_the_limit(spark):
     x = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * z])
     got = result(near_duplicate_vectors(frame(spark, range(10_000), x.tolist(), "double")))
     assert got == {i: (1, i % 5000, i < 5000) for i in range(10_000)}
+
+
+def test_chains_hold_together(spark):
+    """4 and 3 are linked, but 4 also to the smaller 1 and 3 to the smaller 2, and all four are in one filter."""
+    angles = np.deg2rad([0, 0.7, 1.4, 2.1])
+    x = np.stack([np.cos(angles), np.sin(angles)], 1)
+    want = brute_force([1, 4, 3, 2], x, 0.9999)
+    assert want == {1: (1, 1, True), 4: (2, 1, False), 3: (2, 1, False), 2: (1, 1, False)}
+    assert result(near_duplicate_vectors(frame(spark, [1, 4, 3, 2], x.tolist(), "double"), cosine=0.9999)) == want
+
+
+@pytest.mark.parametrize(["cosine", "block_bytes"], [(0.5, 1 << 25), (0.35, 1 << 16)])
+def test_pairs_that_share_no_direction(spark, monkeypatch, cosine, block_bytes):
+    """Far from each other, vectors seldom lie in one spherical cap; all pairs are compared."""
+    monkeypatch.setattr(vector_dedup, "BLOCK_BYTES", block_bytes, raising=False)
+    draw = np.random.default_rng(4)
+    base = draw.normal(size=(300, 32))
+    x = np.concatenate([base, base + 1.6 * draw.normal(size=(300, 32))])
+    ids = draw.permutation(len(x)) + 5
+    assert result(near_duplicate_vectors(frame(spark, ids, x.tolist(), "double"), cosine=cosine)) == brute_force(ids, x, cosine)
+
+
+def test_vectors_of_all_lengths(spark):
+    """Vectors of a rarer length are compared with each other; an id with several has the one of the usual length."""
+    rows = [(1, [1, 0]), (2, [2, 0]), (3, [0, 1]), (4, [1, 2, 3]), (5, [2, 4, 6]), (6, [1, 2, 3]), (3, [1, 2, 3]), (7, [0, -1]), (8, [-1, 0])]
+    df = frame(spark, [i for i, _ in rows], [v for _, v in rows], "double")
+    got = result(near_duplicate_vectors(df))
+    assert got == {1: (1, 1, True), 2: (1, 1, False), 3: (0, 3, True), 4: (2, 4, True), 5: (2, 4, False), 6: (2, 4, False), 7: (0, 7, True), 8: (0, 8, True)}
