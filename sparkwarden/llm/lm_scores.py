@@ -32,10 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .staging import free_shuffles, stage
+from .staging import free_shuffles, long_rows, release, stage
 
 BATCH = 1_200_000
+SCORED = 1 << 17  # tokens whose losses are worked out together
 RANGE_BYTES = 16 << 20
+ROWS, ARROW_BYTES = 4, 8 << 20  # rows read, and bytes sent to Python, together; a row of tokens has several megabytes
 LOW_BITS = 31  # of a count, in the lists of answers; the rest of larger counts is told beside them
 MU, NU, FLOOR = 8.0, 2000.0, 0.5
 _END = np.uint64(0x9E3779B97F4A7C15)  # stands for the end of a text
@@ -169,12 +171,15 @@ def _answer(low_bits: int):
 
 def _told(told: pa.Table, low_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Counts of the background and the target of a batch's grams in order."""
-    lists = {name: told.column(name).combine_chunks() for name in ("background", "target", "over", "high")}
-    both = np.column_stack([lists[name].flatten().to_numpy().astype(np.int64) for name in ("background", "target")]).ravel()
+    order = pa.array(told.column("range").to_numpy().argsort())
+    lists = {name: told.column(name).combine_chunks().take(order) for name in ("background", "target", "over", "high")}
     sizes, many = (lists[name].value_lengths().to_numpy() for name in ("background", "over"))
+    both = np.empty((len(lists["background"].flatten()), 2), np.int64)
+    for k, name in enumerate(("background", "target")):
+        both[:, k] = lists.pop(name).flatten().to_numpy()
     start = 2 * (np.cumsum(sizes, dtype=np.int64) - sizes)
-    both[np.repeat(start, many) + lists["over"].flatten().to_numpy()] += lists["high"].flatten().to_numpy().astype(np.int64) << low_bits
-    return both[0::2], both[1::2]
+    both.ravel()[np.repeat(start, many) + lists["over"].flatten().to_numpy()] += lists["high"].flatten().to_numpy().astype(np.int64) << low_bits
+    return both[:, 0], both[:, 1]
 
 
 def _own(keys: np.ndarray) -> np.ndarray:
@@ -186,34 +191,44 @@ def _own(keys: np.ndarray) -> np.ndarray:
 def _score(n_background: int, n_target: int, vocabulary: int, low_bits: int):
     def run(tokens: pa.Table, told: pa.Table) -> pa.Table:
         out = [pa.table({k: pa.array([], pa.int64() if k in ("doc_id", "n_tokens") else pa.float64()) for k in ("doc_id", "n_tokens", "loss_target", "loss_background", "score")})]
-        told = told.sort_by("range").combine_chunks()
         for row in range(len(tokens)):
             ids, counts, words, places = (tokens.column(k)[row].values.to_numpy() for k in ("doc_ids", "counts", "words", "tokens"))
-            pairs, at = _pairs(places, counts, len(words))
+            n, counts = len(words), counts.astype(np.int64)
+            pairs, at = _pairs(places, counts, n)
             pairs, which = np.unique(pairs, return_inverse=True)
-            last = _last(places, counts)
-            grams = _gram_hashes(words, pairs)
-            order = np.argsort(grams)
-            n, c, followed = len(words), {}, {}
+            at, which, m = at.astype(np.int32), which.astype(np.int32), len(pairs)
+            order = np.argsort(_gram_hashes(words, pairs))
+            del pairs
+            c, followed = {}, {}
             for name, answered in zip(("background", "target"), _told(told, low_bits)):
-                c[name] = np.zeros(len(grams))
+                c[name] = np.zeros(len(order))
                 c[name][order] = answered
-                followed[name] = c[name][:n] - c[name][n + len(pairs) :]  # how often a word follows
-            pair = slice(n, n + len(pairs))
-            text = np.repeat(np.arange(len(counts)), counts)
-            own = _own(text * n + places)
-            p_b = (c["background"][places] - own + FLOOR) / (n_background - counts[text] + FLOOR * vocabulary)
-            p_t = (c["target"][places] + NU * p_b) / (n_target + NU)
-            loss_b, loss_t = -np.log(p_b), -np.log(p_t)
+                followed[name] = c[name][:n] - c[name][n + m :]  # how often a word follows
+            del order, answered
             final = np.zeros(len(counts), places.dtype)
-            final[counts > 0] = last
-            before, own_followed = places[at - 1], own[at - 1] - (places[at - 1] == final[text[at]])
-            own = _own(text[at] * max(len(pairs), 1) + which)
-            loss_b[at] = -np.log((c["background"][pair][which] - own + MU * p_b[at]) / (followed["background"][before] - own_followed + MU))
-            loss_t[at] = -np.log((c["target"][pair][which] + MU * p_t[at]) / (followed["target"][before] + MU))
-            b, t = (np.bincount(text, x, minlength=len(counts)) for x in (loss_b, loss_t))
-            size = np.maximum(counts, 1)
-            out.append(pa.table({"doc_id": ids, "n_tokens": counts.astype(np.int64), "loss_target": t / size, "loss_background": b / size, "score": (b - t) / size}))
+            final[counts > 0] = _last(places, counts)
+            ends = np.cumsum(counts)
+            begin = 0
+            while begin < len(counts):  # whole texts of about SCORED tokens at a time
+                first = ends[begin] - counts[begin]
+                end = max(begin + 1, int(np.searchsorted(ends, first + SCORED, "right")))
+                many, here = counts[begin:end], places[first : ends[end - 1]]
+                inside = slice(*np.searchsorted(at, [first, ends[end - 1]]))
+                second, pair = at[inside] - first, n + which[inside]
+                text = np.repeat(np.arange(len(many)), many)
+                own = _own(text * n + here)
+                p_b = (c["background"][here] - own + FLOOR) / (n_background - many[text] + FLOOR * vocabulary)
+                p_t = (c["target"][here] + NU * p_b) / (n_target + NU)
+                loss_b, loss_t = -np.log(p_b), -np.log(p_t)
+                before = here[second - 1]
+                own_followed = own[second - 1] - (before == final[begin:end][text[second]])
+                own = _own(text[second] * max(m, 1) + which[inside])
+                loss_b[second] = -np.log((c["background"][pair] - own + MU * p_b[second]) / (followed["background"][before] - own_followed + MU))
+                loss_t[second] = -np.log((c["target"][pair] + MU * p_t[second]) / (followed["target"][before] + MU))
+                b, t = (np.bincount(text, x, minlength=len(many)) for x in (loss_b, loss_t))
+                size = np.maximum(many, 1)
+                out.append(pa.table({"doc_id": ids[begin:end], "n_tokens": many, "loss_target": t / size, "loss_background": b / size, "score": (b - t) / size}))
+                begin = end
         return pa.concat_tables(out)
 
     return run
@@ -232,7 +247,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     n_background, n_target = (totals[t].n if t in totals else 0 for t in (False, True))
     ranges = max(1, -(-12 * sum(r.grams for r in totals.values()) // RANGE_BYTES))
     asked = read.select("batch", "target", "counts", "words", "tokens").mapInArrow(_ask(ranges), _ASKED)
-    told = stage(asked.groupBy("range").applyInArrow(_answer(LOW_BITS), _TOLD), "counts")
+    with long_rows(docs.sparkSession, ROWS, ARROW_BYTES):
+        told = stage(asked.groupBy("range").applyInArrow(_answer(LOW_BITS), _TOLD), "counts")
     vocabulary = told.agg(F.sum("words")).first()[0] or 0
     free_shuffles(docs.sparkSession)
     scored = (
@@ -240,4 +256,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
         .cogroup(told.drop("words").groupBy("batch"))
         .applyInArrow(_score(n_background, n_target, vocabulary, LOW_BITS), _SCORES)
     )
-    return scored
+    with long_rows(docs.sparkSession, ROWS, ARROW_BYTES):
+        out = stage(scored, "scores")
+    release(read, told)
+    return out

@@ -91,3 +91,30 @@ def test_odd_rows(spark):
     assert score[3] == score[4] == 0
     assert L.cross_entropy_difference(odd_documents(spark).limit(0), target).count() == 0
     assert L.cross_entropy_difference(odd_documents(spark), target.limit(0)).count() == len(got)
+
+
+def test_memory_of_scoring_grows_little_with_a_batch():
+    """Losses are worked out some texts at a time: about 200 bytes a token were held at once."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    draw, n = np.random.default_rng(5), 600_000
+    tokens, counts = draw.integers(0, 50_000, n).astype(np.int32), np.full(n // 300, 300, np.int32)
+    words = np.unique(draw.integers(1, 1 << 62, 50_100))[:50_000]
+    columns = {"batch": [0], "target": [False], "doc_ids": [np.arange(len(counts))], "counts": [counts], "words": [words], "tokens": [tokens]}
+    kinds = dict(zip(columns, [pa.int64(), pa.bool_(), *map(pa.list_, (pa.int64(), pa.int32(), pa.int64(), pa.int32()))]))
+    read = pa.table({k: pa.array(v, kinds[k]) for k, v in columns.items()})
+    asked = list(L._ask(4)(iter(read.select(["batch", "target", "counts", "words", "tokens"]).to_batches())))
+    asked = pa.Table.from_batches(asked)
+    told = pa.concat_tables([L._answer(31)(asked.filter(pa.array(asked["range"].to_numpy() == r))) for r in range(4)])
+    score = L._score(n, 0, len(words), 31)
+    tracemalloc.start()
+    try:
+        out = score(read, told.drop_columns(["words"]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(out) == len(counts) and set(out["n_tokens"].to_pylist()) == {300}
+    assert peak < 150 * n, peak / n
