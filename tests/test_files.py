@@ -38,6 +38,34 @@ def test_folders_are_listed_by_a_few_tasks(spark, tmp_path):
     assert files.count() == 150 and spark.conf.get(setting) == before
 
 
+def test_many_named_files(spark, tmp_path):
+    """Names stay texts, rows with the same names share a file, few tasks read, and Hadoop's writer (two processes a file) has no part in it."""
+    rows = [(i, f"{i:03}", f"text {i}") for i in range(60)] + [(7, "007", "again"), (None, "a+b %41", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string").coalesce(1)
+    folder = src.write_text_files(df, str(tmp_path / "files"), "doc_id", "path")
+    assert len(list((tmp_path / "files").rglob("part-*"))) == 61 and not list((tmp_path / "files").rglob("*.crc"))
+    files = src.read_named_text_files(spark, folder, "doc_id long, path string")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        assert files.select("*").rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = {(i, p, t) for i, p, t in rows if i != 7} | {(7, "007", "text 7\nagain")}
+    assert {(r.doc_id, r.path, r.text) for r in files.collect()} == want
+    one = files.where("doc_id = 7")
+    assert one.count() == 1
+    plan = one._jdf.queryExecution().executedPlan()
+    one._jdf.collect()
+    while plan.children().size():
+        plan = plan.children().apply(0)
+    assert plan.metrics().apply("numFiles").value() == 1  # others are not opened
+    # the layout is that of Spark's own writer
+    df.write.partitionBy("doc_id", "path").text(str(tmp_path / "spark"))
+    again = src.read_named_text_files(spark, str(tmp_path / "spark"), "doc_id long, path string")
+    assert sorted(map(str, again.collect())) == sorted(map(str, files.collect()))
+
+
 def test_archives(spark, tmp_path):
     def pack(name, members):
         with zipfile.ZipFile(tmp_path / name, "w", zipfile.ZIP_DEFLATED) as z:
