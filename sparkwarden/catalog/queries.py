@@ -21,7 +21,7 @@ from ..plans import incremental as inc
 from ..plans import report as rep
 from ..plans import scan as sc
 from ..sources import records as rec
-from ..sources.files import read_named_text_files, read_table, shared_folder, stage, write_text_files
+from ..sources.files import read_named_text_files, read_table, shared_folder, stage, stage_result, write_text_files
 from ..streaming import queries as st
 from .inputs import load
 
@@ -190,7 +190,8 @@ def findings(spark: SparkSession, folder: str) -> DataFrame:
     """The findings table of one run: written once per session, read by all reports."""
     key = (spark.sparkContext.applicationId, folder, _state(spark, folder))
     if key not in _runs:
-        _runs[key] = stage(sc.scan(scan_tables(spark, folder)), "findings")
+        tables = scan_tables(spark, folder)
+        _runs[key] = stage_result(spark, lambda: sc.scan(tables), "findings")
     return _runs[key]
 
 

@@ -27,7 +27,7 @@ from ..operators import images, keywords, names
 from ..operators.lines import text_findings
 from ..operators.rules import LINE_RULES
 from ..operators.skew import FEW_ROWS, ROWS_PER_SALT, salted_join
-from ..sources.files import stage
+from ..sources.files import free_shuffles, stage
 from ..sources.records import filter_repos
 
 IMAGE, TEXT = "image", "text"
@@ -229,6 +229,7 @@ def scan(
         commits = selected_commits(t, options, rows_per_salt)
     commits = numbered_commits(commits)
     files = planned_blocks(t, commits, options, rows_per_salt)
+    free_shuffles(files.sparkSession)
     if restricted:
         needed = files.select("blob_sha").distinct()
         t = replace(

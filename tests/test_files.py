@@ -1,6 +1,7 @@
 """Folders, streams and archives of files."""
 
 import os
+import shutil
 import zipfile
 
 from pyspark.sql import functions as F
@@ -66,6 +67,33 @@ def test_many_named_files(spark, tmp_path):
     assert sorted(map(str, again.collect())) == sorted(map(str, files.collect()))
 
 
+def test_only_the_result_stays(spark, tmp_path):
+    """What a step stages on its way is deleted once its result is written, so it doesn't lie beside what later steps write."""
+    from conftest import SMALL
+    from sparkwarden.catalog import queries
+
+    kept = []
+
+    def inner():
+        kept.append(src.stage(spark.range(9).toDF("x"), "deepest").inputFiles()[0])
+        return spark.read.parquet(os.path.dirname(kept[0])).where("x > 1")
+
+    def outer():
+        middle = src.stage_result(spark, inner, "inner")
+        kept.append(middle.inputFiles()[0])
+        return middle.where("x > 2")
+
+    out = src.stage_result(spark, outer, "outer")
+    assert out.count() == 6 and not any(os.path.exists(f.removeprefix("file://")) for f in kept)
+
+    shutil.copytree(SMALL, tmp_path / "tables")
+    base = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(base))
+    found = queries.findings(spark, str(tmp_path / "tables"))
+    stayed = {name.rsplit("-", 1)[0] for name in set(os.listdir(base)) - before}
+    assert found.count() > 0 and "findings" in stayed and not stayed & {"commits", "files", "keyword-files", "keyword-lines", "keyword-grams", "line-grams"}
+
+
 def test_archives(spark, tmp_path):
     def pack(name, members):
         with zipfile.ZipFile(tmp_path / name, "w", zipfile.ZIP_DEFLATED) as z:
